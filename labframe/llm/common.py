@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Word separators: space, tab and the line controls 0x0A-0x0D. ``bytes.split()`` splits at exactly these.
-SPACE_CLASS = r"[\x20\x09-\x0D]"
-WORD_CLASS = r"[^\x20\x09-\x0D]"
+SPACE_CLASS = r"[ \t\n\x0B\f\r]"
+WORD_CLASS = r"[^ \t\n\x0B\f\r]"
 _BLANKS = " \t\n\x0b\f\r"
 
 

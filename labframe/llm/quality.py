@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from labframe.llm.common import materialize, words_col
 
 SYMBOLS = "#*$%&|<>"
-#: Up to so many repeated hashes in a text are looked up one by one.
-FEW_REPEATS = 64
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
@@ -34,22 +32,27 @@ def text_stats(df: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFr
     t = F.coalesce(F.col(text), F.lit(""))
     step = df.withColumn(f"{p}w", words_col(text))
     n = F.size(f"{p}w")
-    triples = F.when(
-        n >= 3,
-        F.arrays_zip(
-            F.slice(f"{p}w", F.lit(1), n - 2).alias("a"), F.slice(f"{p}w", F.lit(2), n - 2).alias("b"),
-            F.slice(f"{p}w", F.lit(3), n - 2).alias("c"), F.sequence(F.lit(0), n - 3).alias("i"),
-        ),
+    # A long per triple: its hash above its position, in as many low bits as the text's length needs. Sorting these longs
+    # brings equal hashes together. The hashes only pick candidates; the words themselves decide below. The triples are not
+    # kept as an array of their own, as each step copies the arrays that it passes on.
+    w, o = F.col(f"{p}w"), F.col(f"{p}o")
+    bits = F.ceil(F.log2(F.greatest(n, F.lit(2)) + 1)).cast("int")
+    step = step.withColumn(f"{p}b", bits)
+    bits = F.col(f"{p}b")
+    packed = F.transform(
+        F.slice(w, F.lit(1), F.greatest(n - 2, F.lit(0))),
+        lambda x, i: F.call_function("shiftleft", F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)), bits).bitwiseOR(i.cast("long")),
+    )
+    step = step.withColumn(f"{p}o", F.sort_array(packed))
+    equal_next = F.filter(
+        F.when(n >= 4, F.sequence(F.lit(0), n - 4)).otherwise(F.array().cast("array<int>")),
+        lambda i: F.call_function("shiftright", F.get(o, i).bitwiseXOR(F.get(o, i + 1)), bits) == 0,
     )
-    step = step.withColumn(f"{p}z", triples)
-    step = step.withColumn(f"{p}h", F.transform(f"{p}z", lambda x: F.xxhash64(x["a"], x["b"], x["c"])))
-    step = step.withColumn(f"{p}o", F.sort_array(f"{p}h"))
-    o, h, z = F.col(f"{p}o"), F.col(f"{p}h"), F.col(f"{p}z")
-    step = step.withColumn(f"{p}d", F.array_distinct(F.filter(o, lambda x, i: x == F.get(o, i + 1))))
-    # The hashes only pick candidates; the words themselves decide below. With many repeated hashes every triple is one.
-    d = F.col(f"{p}d")
-    some = F.filter(z, lambda x, i: F.array_contains(d, F.get(h, i)))
-    step = step.withColumn(f"{p}s", F.sort_array(F.when(F.size(d) == 0, F.slice(z, 1, 0)).when(F.size(d) <= FEW_REPEATS, some).otherwise(z)))
+    step = step.withColumn(f"{p}e", equal_next)
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
+    starts = F.transform(F.array_union(f"{p}e", F.transform(f"{p}e", lambda i: i + 1)), lambda k: F.get(o, k).bitwiseAND(mask).cast("int"))
+    step = step.withColumn(f"{p}s", F.sort_array(F.transform(starts, lambda i: F.struct(
+        F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i")))))
     # In sorted order equal triples are neighbours, so a triple is repeated if it equals the one before or after it.
     s = F.col(f"{p}s")
 
@@ -79,7 +82,7 @@ def text_stats(df: DataFrame, text: str = "text", prefix: str = "_q_") -> DataFr
         F.size(f"{p}l").cast("long").alias("n_lines"),
         (F.length(t) - F.length(F.regexp_replace(t, "[A-Z]+", ""))).cast("long").alias("n_upper"),
     )
-    return step.withColumn(f"{p}stats", stats).drop(*[f"{p}{x}" for x in "wzhodsrl"])
+    return step.withColumn(f"{p}stats", stats).drop(*[f"{p}{x}" for x in "wbeosrl"])
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
