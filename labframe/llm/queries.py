@@ -6,17 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import quality
+from labframe.llm import bpe, quality
 from labframe.llm.common import read_table
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(read_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_quality": op5_quality}
+    return {"op5_quality": op5_quality, "op9_bpe": op9_bpe}
 
 
 def oracle_sql() -> dict[str, str]:
