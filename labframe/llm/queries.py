@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import bpe, chat, quality
-from labframe.llm.common import read_table
+from labframe.llm import bpe, chat, mixing, quality, sharding, warc
+from labframe.llm.common import materialize, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    shared = materialize(warc.shared_payloads(pages), "payloads")
+    path = scratch_path(spark, "warc")
+    warc.write_archives(pages, shared, path)
+    return warc.page_digests(warc.read_archives(spark, path))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     m AS (SELECT *, strlen(h) >= 1000 AND page_id < max(page_id) OVER (PARTITION BY h) AS again, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN last END AS refers_to
+FROM m
+"""
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -43,6 +60,46 @@ FROM g GROUP BY conv_id
 """
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(read_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5(doc_id::VARCHAR || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
+  FROM documents
+), s AS (
+  SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source
+), o AS (
+  SELECT *, 3.0::DOUBLE * n / w AS ratio,
+         (sum(n) OVER () - 3 * coalesce(sum(n) OVER (ORDER BY 3.0::DOUBLE * n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+           / sum(w) OVER (ORDER BY 3.0::DOUBLE * n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM s
+), t AS (
+  SELECT source, n, CASE WHEN level > ratio THEN 3.0::DOUBLE * n ELSE (SELECT arg_min(level, ratio) FROM o WHERE level <= ratio) * w END AS target FROM o
+), b AS (
+  SELECT *, CASE WHEN n = 0 THEN 1 ELSE least(3, floor(target / n)) END AS whole FROM t
+), g AS (
+  SELECT d.source, d.h, sum(size) AS n, sum(sum(size)) OVER (PARTITION BY d.source ORDER BY d.h) - sum(size) AS before
+  FROM d GROUP BY d.source, d.h
+), e AS (
+  SELECT b.source, arg_max(g.h, g.h) AS h, arg_max(g.n, g.h) AS n, arg_max(g.before, g.h) AS before
+  FROM b JOIN g ON g.source IS NOT DISTINCT FROM b.source AND g.before <= b.target - b.whole * b.n GROUP BY b.source
+), r AS (
+  SELECT b.*, CASE WHEN b.n = 0 OR b.whole >= 3 OR b.target - b.whole * b.n <= 0 THEN 0
+                   ELSE e.h + CASE WHEN e.n - (b.target - b.whole * b.n - e.before) < b.target - b.whole * b.n - e.before THEN 1 ELSE 0 END END AS threshold
+  FROM b LEFT JOIN e ON e.source IS NOT DISTINCT FROM b.source
+)
+SELECT d.doc_id, d.size, r.n AS source_size, r.target, (d.size * (r.whole + CASE WHEN d.h < r.threshold THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source
+"""
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_documents(read_table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
@@ -56,8 +113,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_chat": op3_chat, "op5_quality": op5_quality, "op9_bpe": op9_bpe}
+    return {
+        "op1_warc": op1_warc, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_sharding": op7_sharding,
+        "op9_bpe": op9_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": OP3_SQL}
+    return {"op1_warc": OP1_SQL, "op3_chat": OP3_SQL, "op4_mixing": OP4_SQL}
