@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import bpe, chat, mixing, quality, sharding, warc
+from labframe.llm import bpe, chat, mixing, quality, sharding, simhash, warc
 from labframe.llm.common import materialize, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -112,10 +112,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN).drop("text")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_sharding": op7_sharding,
-        "op9_bpe": op9_bpe,
+        "op9_bpe": op9_bpe, "op10_simhash": op10_simhash,
     }
 
 
