@@ -32,7 +32,8 @@ def components(links: DataFrame, max_rounds: int = 40) -> DataFrame:
     for _ in range(max_rounds):
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if tuple(mark) == before or mark["n"] == 0:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            found = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            return found.unionByName(found.select(F.col("root").alias("node"), "root").distinct())
         before = tuple(mark)
         edges = materialize(_small(_large(edges)), "links")
     raise RuntimeError("links did not settle")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import bpe, chat, mixing, quality, sharding, simhash, warc
+from labframe.llm import bpe, chat, lines, mixing, quality, sharding, simhash, warc
 from labframe.llm.common import materialize, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -105,6 +105,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_report(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -119,7 +123,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_sharding": op7_sharding,
-        "op9_bpe": op9_bpe, "op10_simhash": op10_simhash,
+        "op8_lines": op8_lines, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash,
     }
 
 
