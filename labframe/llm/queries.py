@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import bpe, chat, lines, mixing, quality, sharding, simhash, warc
+from labframe.llm import ann, bpe, chat, lines, mixing, quality, sharding, simhash, warc
 from labframe.llm.common import materialize, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -96,6 +96,10 @@ FROM d JOIN r ON r.source IS NOT DISTINCT FROM d.source
 """
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row")
 
@@ -122,7 +126,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_warc": op1_warc, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op7_sharding": op7_sharding,
+        "op1_warc": op1_warc, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_sharding": op7_sharding,
         "op8_lines": op8_lines, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash,
     }
 
