@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import ann, bpe, chat, lines, mixing, quality, sharding, simhash, warc
+from labframe.llm import ann, bpe, chat, lines, mixing, quality, sharding, simhash, substrings, warc
 from labframe.llm.common import materialize, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,11 @@ FROM m
 """
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedup_documents(docs).drop("kept_text")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
@@ -126,7 +131,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_warc": op1_warc, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_sharding": op7_sharding,
+        "op1_warc": op1_warc, "op2_substrings": op2_substrings, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_sharding": op7_sharding,
         "op8_lines": op8_lines, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash,
     }
 
