@@ -170,7 +170,8 @@ def filter_quality(docs: DataFrame, text: str = "text", keep_from: float = 0.5)
     """The rows of ``docs`` that are kept, with their columns. The verdict is computed in the row, so doc_id needn't be unique."""
     stats = materialize(text_stats(docs.select(text), text).select("_q_stats"), "quality")
     model = fit_accuracies(histogram(stats, "_q_stats"))
-    judged = text_stats(docs, text)
-    s = F.col("_q_stats")
+    # Explode keeps the filter above the statistics: pushed below, it would repeat their expressions inside one another.
+    judged = text_stats(docs, text).select(*docs.columns, F.explode(F.array("_q_stats")).alias("_q_row"))
+    s = F.col("_q_row")
     keep = ~base_failed(s["n_words"], s["n_repeat_words"]) & (posterior(votes(s), model) >= keep_from)
     return judged.filter(keep).select(*docs.columns)
