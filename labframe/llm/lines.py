@@ -289,10 +289,11 @@ def dedup_report(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the lines that go, in the same columns."""
-    gone = removed_lines(docs, text).select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_row"), "removed")
-    joined = docs.withColumn("_key", F.xxhash64(text)).join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_row")), "left")
-    kept = F.array_join(F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    out = joined.withColumn(text, F.when(F.col("removed").isNull(), F.col(text)).otherwise(kept))
+    gone = removed_lines(docs.select("doc_id", text), text).select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_row"), "removed")
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"), F.xxhash64(text).alias("own_row"), F.col(text).alias("body"))
+    joined = packed.join(gone, F.col("own_id").eqNullSafe(F.col("gone_id")) & (F.col("own_row") == F.col("gone_row")), "left")
+    kept = F.array_join(F.filter(F.split("body", "\n"), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    cut = F.col("doc").withField(f"`{text}`", kept)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("removed").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return out.select(*docs.columns)
+        cut = cut.withField("n_chars", F.length(kept).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("removed").isNull(), F.col("doc")).otherwise(cut).alias("doc")).select("doc.*")

@@ -7,7 +7,7 @@ it holds a single hash. No documents are sorted, and thresholds are nested: a la
 
 Cases: null and blank texts have size 0 and are taken like others (their copies cost nothing). The null source is a source
 and comes last. Rows with equal doc_id and text have one hash and are taken or left together. An empty table gives an empty
-result. Extra columns, whatever their names, pass through ``mix_documents``. Only totals per source reach the driver.
+result. Extra columns, whatever their names, pass through. Only totals per source reach the driver.
 """
 
 from __future__ import annotations
@@ -95,13 +95,13 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int =
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """``docs`` with _size, source_size, target and copies (how often the mix takes the document)."""
-    own = docs.select("*", word_count().alias("_size"), document_hash().alias("_hash"), F.col("source").alias("_source"))
+    """doc (the row as a struct, so no column can clash), size, source_size, target, copies (how often the mix takes it)."""
+    own = docs.select(F.struct("*").alias("doc"), word_count().alias("_size"), document_hash().alias("_hash"), F.col("source").alias("_source"))
     sized = materialize(own.select("_source", "_size", "_hash"), "mix")
     table = plan(sized, weights, max_repeat)
     joined = own.join(F.broadcast(table), own["_source"].eqNullSafe(table["_source"]), "left").drop(table["_source"])
     copies = F.col("whole") + F.when((F.col("_hash") < F.col("threshold")) & (F.col("whole") < max_repeat), 1).otherwise(0)
-    return joined.withColumn("copies", copies).drop("_source", "_hash", "whole", "threshold")
+    return joined.select("doc", F.col("_size").alias("size"), "source_size", "target", copies.alias("copies"))
 
 
 def taken_words(docs: DataFrame) -> DataFrame:
@@ -116,4 +116,4 @@ def taken_words(docs: DataFrame) -> DataFrame:
 def repeat_documents(docs: DataFrame) -> DataFrame:
     """The mix itself: rows of ``docs`` as often as they are taken, with their columns."""
     mixed = mix_documents(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return mixed.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")

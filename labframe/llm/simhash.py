@@ -227,8 +227,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     """The document with the smallest doc_id of every component, with the columns of ``docs``; repeated rows once."""
-    marked = fingerprints(docs, text, "_fp")
-    prints = materialize(marked.select("doc_id", F.col("_fp").alias("fp")), "prints")
-    keep = prints.join(component_table(prints), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("fp").alias("_f"), F.col("doc_id").alias("_id")).distinct()
-    on = F.col("_fp").eqNullSafe(F.col("_f")) & F.col("doc_id").eqNullSafe(F.col("_id"))
-    return marked.join(keep, on, "left_semi").dropDuplicates(["doc_id", "_fp"]).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("own_id"), F.col(text).alias("body"))
+    marked = fingerprints(packed, "body", "own_fp").drop("body")
+    prints = materialize(fingerprints(docs.select("doc_id", text), text).select("doc_id", "fp"), "prints")
+    keep = prints.join(component_table(prints), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    keep = keep.select(F.col("fp").alias("keep_fp"), F.col("doc_id").alias("keep_id")).distinct()
+    on = (F.col("own_fp") == F.col("keep_fp")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
+    return marked.join(keep, on, "left_semi").dropDuplicates(["own_id", "own_fp"]).select("doc.*")

@@ -144,7 +144,8 @@ def text_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key of the documents whose whole text a document with a smaller doc_id has; stored."""
     own = docs.filter("doc_id is not null and text is not null").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), F.xxhash64("text").alias("text_key"))
     own = materialize(own, "texts")
-    first = own.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Stored, so that the join reads two plain exchanges and Spark can split a text that very many documents share.
+    first = materialize(own.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "first")
     return materialize(own.join(first, "h").filter("doc_id > first").select("doc_id", "text_key").distinct(), "copies")
 
 
