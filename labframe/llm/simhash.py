@@ -210,12 +210,12 @@ def link_fingerprints(distinct: DataFrame, group_limit: int = GROUP_LIMIT) -> Da
 
 
 def component_table(prints: DataFrame) -> DataFrame:
-    """fp, component_id for every fingerprint of ``prints`` (doc_id, fp)."""
+    """fp, root, component_id for every fingerprint of ``prints`` (doc_id, fp)."""
     nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "prints")
     roots = components(link_fingerprints(nodes.select("fp")))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    return rooted.join(least, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -231,6 +231,7 @@ def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
     marked = fingerprints(packed, "body", "own_fp").drop("body")
     prints = materialize(fingerprints(docs.select("doc_id", text), text).select("doc_id", "fp"), "prints")
     keep = prints.join(component_table(prints), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = keep.select(F.col("fp").alias("keep_fp"), F.col("doc_id").alias("keep_id")).distinct()
+    # Rows may share the kept id; of their fingerprints in one component the least one stays.
+    keep = keep.groupBy("root").agg(F.min("fp").alias("keep_fp"), F.min("doc_id").alias("keep_id"))
     on = (F.col("own_fp") == F.col("keep_fp")) & F.col("own_id").eqNullSafe(F.col("keep_id"))
     return marked.join(keep, on, "left_semi").dropDuplicates(["own_id", "own_fp"]).select("doc.*")
