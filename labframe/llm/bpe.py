@@ -48,6 +48,11 @@ class PrefixEncoder:
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
+        #: Lengths of the tokens by their last three bytes (or by all, if fewer), longest first.
+        self.lengths: dict[bytes, list[int]] = {}
+        for n in sorted({len(b) for b in ranks}, reverse=True):
+            for end in {b[-3:] for b in ranks if len(b) == n}:
+                self.lengths.setdefault(end, []).append(n)
         self.pieces_of = regex.compile(pattern).findall
         #: Prefixes of all pieces seen: an entry depends on nothing that follows, so pieces share them.
         self.prefixes: dict[bytes, int] = {}
@@ -59,12 +64,17 @@ class PrefixEncoder:
 
     def merged(self, data: bytes) -> list[int]:
         """Merge by lowest rank, for the two or fewer tokens' worth of bytes that decide on a pair."""
+        none, rank = 1 << 60, self.ranks.get
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best, at = min(((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1)))
-            if best == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        order = [rank(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while order and (best := min(order)) != none:
+            i = order.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del order[i]
+            if i < len(order):
+                order[i] = rank(parts[i] + parts[i + 1], none)
+            if i:
+                order[i - 1] = rank(parts[i - 1] + parts[i], none)
         return [self.ranks[p] for p in parts]
 
     def may_follow(self, a: int | None, b: int) -> bool:
@@ -135,24 +145,27 @@ class PrefixTable:
 
     def _extend(self, data: bytes, end: int) -> int:
         e, last = self.encoder, self.last
-        known = e.prefixes.get(prefix := data[:end])
-        if known is not None:
-            return known
-        for start in range(max(0, end - e.longest), end):
-            token = e.ranks.get(data[start:end])
-            if token is not None and e.may_follow(last[start], token):
+        rank, pairs = e.ranks.get, e.pairs
+        for n in (*e.lengths.get(data[max(0, end - 3) : end], ()), 2, 1) if end > 2 else (2, 1):
+            start = end - n
+            token = rank(data[start:end]) if start >= 0 else None
+            if token is None:
+                continue
+            fits = pairs.get((last[start], token))
+            if e.may_follow(last[start], token) if fits is None else fits:
                 if end <= LONGEST_KEY:
                     if len(e.prefixes) >= CACHE_PIECES:
                         e.prefixes.clear()
-                    e.prefixes[prefix] = token
+                    e.prefixes[data[:end]] = token
                 return token
         raise ValueError(f"no token ends at byte {end}")
 
     def append(self, data: bytes) -> None:
         """Exact: the entries of earlier prefixes stay as they are."""
-        whole = self.data + data
+        whole, known, add = self.data + data, self.encoder.prefixes.get, self.last.append
         for end in range(len(self.data) + 1, len(whole) + 1):
-            self.last.append(self._extend(whole, end))
+            token = known(whole[:end])
+            add(self._extend(whole, end) if token is None else token)
         self.data = whole
 
     def replace(self, start: int, stop: int, data: bytes) -> int:
