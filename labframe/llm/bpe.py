@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Pieces that a task remembers; beyond that it starts anew.
-CACHE_PIECES = 400_000
+#: Entries of one generation of a cache. A full generation becomes the old one and the old one goes; what is still in use
+#: is taken over from it, so common pieces stay. A worker holds two generations of each cache.
+CACHE_ENTRIES = 125_000
 #: Prefixes up to so many bytes are shared between pieces.
 LONGEST_KEY = 64
 #: Runs of white space that a space may split in the wrong place.
@@ -56,12 +57,22 @@ class PrefixEncoder:
         self.pieces_of = regex.compile(pattern).findall
         #: Prefixes of all pieces seen: an entry depends on nothing that follows, so pieces share them.
         self.prefixes: dict[bytes, int] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.seen: dict[str, tuple[str, int, bytes]] = {}
         self.chunks: dict[str, tuple[str, int, bytes]] = {}
+        self.old: dict[str, dict] = {"prefixes": {}, "pairs": {}, "seen": {}, "chunks": {}}
         # A token whose own bytes merge to something else can never be in an encoding.
         self.whole: dict[int, bool] = {}
 
+    def remember(self, cache: str, key, value):
+        now = getattr(self, cache)
+        if len(now) >= CACHE_ENTRIES:
+            self.old[cache] = now
+            now = {}
+            setattr(self, cache, now)
+        now[key] = value
+        return value
+
     def merged(self, data: bytes) -> list[int]:
         """Merge by lowest rank, for the two or fewer tokens' worth of bytes that decide on a pair."""
         none, rank = 1 << 60, self.ranks.get
@@ -82,11 +93,11 @@ class PrefixEncoder:
             if b not in self.whole:
                 self.whole[b] = self.merged(self.bytes_of[b]) == [b]
             return self.whole[b]
-        known = self.pairs.get((a, b))
+        key = a << 24 | b
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= CACHE_PIECES:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.old["pairs"].get(key)
+            known = self.remember("pairs", key, self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b] if known is None else known)
         return known
 
     def piece_ids(self, data: bytes) -> list[int]:
@@ -94,11 +105,11 @@ class PrefixEncoder:
 
     def entry(self, piece: str) -> tuple[str, int, bytes]:
         """(ids joined by commas, their number, the bytes that the ids decode to) of a piece."""
-        ids = self.piece_ids(piece.encode("utf-8", "surrogatepass"))
-        if len(self.seen) >= CACHE_PIECES:
-            self.seen.clear()
-        found = self.seen[piece] = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
-        return found
+        found = self.seen.get(piece) or self.old["seen"].get(piece)
+        if found is None:
+            ids = self.piece_ids(piece.encode("utf-8", "surrogatepass"))
+            found = (",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids)))
+        return self.remember("seen", piece, found)
 
     def encode(self, text: str) -> list[int]:
         return [i for p in self.pieces_of(text) for i in self.piece_ids(p.encode("utf-8", "surrogatepass"))]
@@ -107,15 +118,15 @@ class PrefixEncoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def _joined(self, text: str) -> tuple[str, int, bytes]:
-        found = [self.seen.get(p) or self.entry(p) for p in self.pieces_of(text)]
+        seen = self.seen
+        found = [seen.get(p) or self.entry(p) for p in self.pieces_of(text)]
+        if len(found) == 1:
+            return found[0]
         return ",".join([x[0] for x in found]), sum([x[1] for x in found]), b"".join([x[2] for x in found])
 
     def _chunk(self, chunk: str) -> tuple[str, int, bytes]:
         """The same for a space and what follows it up to the next space."""
-        if len(self.chunks) >= CACHE_PIECES:
-            self.chunks.clear()
-        found = self.chunks[chunk] = self._joined(" " + chunk)
-        return found
+        return self.remember("chunks", chunk, self.chunks.get(chunk) or self.old["chunks"].get(chunk) or self._joined(" " + chunk))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the decoded bytes.
@@ -145,19 +156,17 @@ class PrefixTable:
 
     def _extend(self, data: bytes, end: int) -> int:
         e, last = self.encoder, self.last
-        rank, pairs = e.ranks.get, e.pairs
+        token = e.old["prefixes"].get(data[:end])
+        if token is not None:
+            return e.remember("prefixes", data[:end], token)
+        rank = e.ranks.get
         for n in (*e.lengths.get(data[max(0, end - 3) : end], ()), 2, 1) if end > 2 else (2, 1):
             start = end - n
             token = rank(data[start:end]) if start >= 0 else None
             if token is None:
                 continue
-            fits = pairs.get((last[start], token))
-            if e.may_follow(last[start], token) if fits is None else fits:
-                if end <= LONGEST_KEY:
-                    if len(e.prefixes) >= CACHE_PIECES:
-                        e.prefixes.clear()
-                    e.prefixes[data[:end]] = token
-                return token
+            if e.may_follow(last[start], token):
+                return e.remember("prefixes", data[:end], token) if end <= LONGEST_KEY else token
         raise ValueError(f"no token ends at byte {end}")
 
     def append(self, data: bytes) -> None:
