@@ -195,6 +195,14 @@ def q_extract_results(spark, sf):
     return got.join(known, ["report_id", "field_name"], "left_anti").select("report_id", "field_name", "value", "unit", "flag", "ref")
 
 
+@query("""SELECT o_orderkey, field_name, value FROM (SELECT o_orderkey, unnest(['patient_name', 'patient_id', 'patient_sex', 'specimen_type', 'collection_date']) AS field_name,
+  unnest(['Jane Roe', 'A-' || o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'male' ELSE 'F' END, 'whole blood', strftime(o_orderdate, '%Y-%m-%d')]) AS value FROM orders)""")
+def q_extract_header(spark, sf):
+    pages = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "1 as page_num", """concat('Physician Name: Dr Rao\\nPatient Name: Jane Roe  DOB: unknown\\nMRN # A-', o_orderkey,
+      '\\nSex: ', if(o_custkey % 2 = 0, 'male', 'F'), '\\nSpecimen Type: whole blood\\nCollected on ', date_format(o_orderdate, 'yyyy-MM-dd'), '\\nReceived: pending') as text""")
+    return E.extract_header(pages, "o_orderkey").select("o_orderkey", "field_name", "value")
+
+
 @query(duck("rpt_fields") + """SELECT report_id, CAST(CASE WHEN value IS NULL OR value = 'pending' THEN 2 ELSE 1 END AS INT) AS page_num FROM rpt_fields WHERE field_name = 'glucose'""")
 def q_first_page_wins(spark, sf):
     return E.extract_results(_pages(spark, sf), "report_id", ["glucose"], repeat_on_page_2=True).select("report_id", "page_num")
