@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import materialize, split_words
+from labframe.llm.common import materialize
 from labframe.llm.components import components
 
 RADIUS = 2
@@ -38,8 +38,7 @@ BLOCK_QUERIES, BLOCK_ITEMS = 256, 8192
 def fingerprint(text: str | None) -> int:
     import xxhash
 
-    words = split_words(text and text)
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split() if words else []
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     n = len(words)
     if not n:
         return 0
