@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages, each written to the shared folder and read again by the next.
 
-Quality rules drop documents, line dedup drops repeated lines, SimHash leaves one document of each near-duplicate group,
+Quality rules drop documents, line dedup drops repeated lines, near-dedup leaves one document of each group that an exact
+join at a similarity of 0.8 over five-word shingles links (SimHash of a radius that can be searched misses most such pairs),
 mixing repeats or drops documents to meet the source weights, and byte-level BPE encodes what is left.
 """
 
@@ -11,7 +12,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import bpe, lines, mixing, quality, simhash
+from labframe.llm import bpe, lines, mixing, quality, similar
 from labframe.llm.common import materialize, read_table
 from labframe.llm.queries import VOCABULARY
 
@@ -24,8 +25,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(docs)
 
 
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return similar.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
-    ("SimHash near-dedup", simhash_stage),
+    ("near-dedup", near_stage),
     ("mixing", mixing_stage),
     ("byte-level BPE", bpe_stage),
 ]
