@@ -5,14 +5,15 @@ line of length l is cut into EDITS + 1 even segments; one of them survives any E
 (length, number, bytes); a line probes the indexes of its own and slightly smaller lengths with those substrings only that
 can still be the surviving segment. Lines that meet are verified by a bit-parallel automaton that keeps a band of
 2 * EDITS + 1 diagonals. Linked lines form classes; of a class, only the first line in the order of (doc_id, line number)
-stays in the corpus.
+stays in the corpus. For lines under ``MIN_CHARS`` characters two edits would link different words, so no edit is allowed
+there: these lines are not indexed, and equal ones form a class.
 
 Equal lines are one line before they are indexed, and each task of the first pass emits a line once, so a line that stands
 in every document costs a few rows per task. Inside a meeting group only a spanning forest of the links is emitted. In
 large groups a filter on character counts comes before the verification; it loses no link.
 
-Cases: lines are compared without white space at their ends; those under ``MIN_CHARS`` characters stay as they are. Null
-texts have no lines. Repeated rows (same doc_id and text) are one document and lose the same lines. Null doc_ids come
+Cases: lines are compared without white space at their ends; blank lines stay, as they only part others. Null texts have no
+lines. Repeated rows (same doc_id and text) are one document and lose the same lines. Null doc_ids come
 first. Empty tables give empty results. Columns of other names pass through ``dedup_lines``; n_chars follows the new text.
 """
 
@@ -29,6 +30,7 @@ from labframe.llm.common import materialize
 from labframe.llm.components import components
 
 EDITS = 2
+#: Lines from this length on are linked by edits, shorter ones only if they are equal.
 MIN_CHARS = 30
 SEED = 42
 #: A task remembers so many lines that it has emitted; then it starts anew.
@@ -107,10 +109,10 @@ def _line_hash(column):
     return F.xxhash64(column).bitwiseAND(F.lit(-2).cast("long"))
 
 
-def occurrences(docs: DataFrame, text: str = "text") -> DataFrame:
+def occurrences(docs: DataFrame, text: str = "text", min_chars: int = 1) -> DataFrame:
     """doc_id, row_key, line_no, line for every line that takes part. row_key tells rows of one doc_id apart."""
     lines = docs.select("doc_id", F.xxhash64(text).alias("row_key"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return lines.withColumn("line", F.btrim("line", F.lit(_BLANKS))).filter(F.length("line") >= MIN_CHARS)
+    return lines.withColumn("line", F.btrim("line", F.lit(_BLANKS))).filter(F.length("line") >= min_chars)
 
 
 def _keys(docs: DataFrame, text: str) -> DataFrame:
@@ -237,7 +239,7 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
     met = materialize(meetings(docs, text), "meeting")
     ids = materialize(met.select("id").distinct(), "ids")
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    lines = occurrences(docs, text).select(_line_hash(F.col("line")).alias("id"), "line")
+    lines = occurrences(docs, text, MIN_CHARS).select(_line_hash(F.col("line")).alias("id"), "line")
     lines = lines.join(F.broadcast(ids) if small else ids, "id", "left_semi").distinct()
     grouped = met.join(lines, "id").repartition("key").sortWithinPartitions("key")
 

@@ -146,6 +146,15 @@ def test_lines_against_brute_force(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_report(empty).count() == 0
 
 
+def test_short_lines_go_if_equal(spark):
+    rows = [(1, "All rights reserved.\n\nshort\n" + "a" * 29), (2, " All rights reserved.\nAll rights reserved!\nx\n\n" + "a" * 28 + "b"), (3, "x\n" + "a" * 29 + "\nshort\nshort"), (4, "c" * 30), (5, "c" * 29)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.removed_lines, r.first_ids) for r in lines.dedup_report(df).collect()}
+    assert got == {1: ([], []), 2: ([0], [1]), 3: ([0, 1, 2, 3], [1, 2]), 4: ([], []), 5: ([], [])}
+    text = {r.doc_id: r.text for r in lines.dedup_lines(df).collect()}
+    assert text[2] == "All rights reserved!\nx\n\n" + "a" * 28 + "b" and text[3] == "" and text[1] == rows[0][1]
+
+
 def plain_fingerprint(t):
     w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode().split()
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
