@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -255,7 +257,7 @@ def test_bpe_equals_the_library(docs, empty, coders):
         t = "".join(rng.choice(["a", "é", "ß", "\x1c", "\x85", "​", " ", "\n", "1", "٣", "漢", "🙂", "'s", "'", "\t", "ab", "　", "\r\n", "ſ"]) for _ in range(rng.randrange(40)))
         ids = theirs.encode_ordinary(t)
         assert mine.encode(t) == ids and mine.decode(ids) == t.encode()
-        assert mine.digest(t) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
+        assert mine.digests(pa.array([t, "a", t], pa.large_string()))[2] == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest())
     out = bpe.encode_documents(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     assert "doc" in out.columns and out.columns.count("n_tokens") == 1
     for r in out.collect():
@@ -263,6 +265,18 @@ def test_bpe_equals_the_library(docs, empty, coders):
     assert bpe.encode_documents(empty, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).count() == 0
 
 
+def test_bpe_long_unbroken_text_in_linear_time(coders):
+    mine, theirs = coders
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghinorst") for _ in range(1_000_000))
+    start = time.process_time()
+    (n, ids, data), = mine.digests(pa.array([text], pa.large_string()))
+    assert time.process_time() - start < 60
+    assert data == hashlib.sha256(text.encode()).hexdigest()
+    assert mine.encode(text[:20_000]) == theirs.encode_ordinary(text[:20_000])
+    assert not any(len(k) > bpe.LONGEST_KEY for c in (mine.seen, mine.chunks, mine.prefixes) for k in [*c.new, *c.old])
+
+
 def test_bpe_appends_and_edits(coders):
     mine, theirs = coders
     rng = random.Random(8)
