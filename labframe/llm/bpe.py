@@ -37,7 +37,7 @@ CACHE_ENTRIES = 100_000
 #: Longer pieces are not cached. An entry of a cache thus takes some 500 bytes at most.
 LONGEST_KEY = 48
 #: Texts are encoded together up to so many bytes.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 3_000_000
 #: White space of Unicode, for engines whose own class holds less.
 _SPACE = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 #: Runs of white space that a space may split in the wrong place, and controls on which libraries differ.
@@ -57,12 +57,13 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class _Cache:
     """A dictionary of two generations."""
 
-    def __init__(self):
+    def __init__(self, entries: int):
+        self.entries = entries
         self.new: dict = {}
         self.old: dict = {}
 
     def keep(self, key, value):
-        if len(self.new) >= CACHE_ENTRIES:
+        if len(self.new) >= self.entries:
             self.old, self.new = self.new, {}
         self.new[key] = value
         return value
@@ -99,7 +100,7 @@ class PrefixEncoder:
         self.pieces_of = regex.compile(pattern).findall
         self.parts: dict[int, tuple[int, int] | None] = {}
         self.history: dict[int, bool] = {}
-        self.pairs, self.prefixes, self.seen, self.chunks = _Cache(), _Cache(), _Cache(), _Cache()
+        self.pairs, self.prefixes, self.chunks, self.seen = _Cache(CACHE_ENTRIES), _Cache(CACHE_ENTRIES), _Cache(CACHE_ENTRIES), _Cache(CACHE_ENTRIES // 3)
 
     def merged(self, data: bytes, down_to: int = 1) -> list[bytes]:
         """Merge by lowest rank until nothing merges or so many parts are left."""
@@ -210,21 +211,27 @@ class PrefixEncoder:
         return out[::-1]
 
     def _piece(self, piece: str) -> str:
-        """The ids of a piece, joined by commas."""
-        ids = self.seen.old.get(piece) or ",".join(map(str, self.piece_ids(piece.encode("utf-8", "surrogatepass"))))
-        return self.seen.keep(piece, ids) if len(piece) <= LONGEST_KEY else ids
+        """The ids of a piece, joined by commas. Pieces that a space begins are stretches too and stand in their cache."""
+        cache, key = (self.chunks, piece[1:]) if piece[0] == " " and piece[1:] and not piece[1].isspace() else (self.seen, piece)
+        ids = cache.new.get(key)
+        if ids is not None:
+            return ids
+        ids = cache.old.get(key) or ",".join(map(str, self.piece_ids(piece.encode("utf-8", "surrogatepass"))))
+        return cache.keep(key, ids) if len(piece) <= LONGEST_KEY else ids
 
     def joined(self, text: str) -> str:
         """The decimal ids of a text, joined by commas."""
-        pieces, seen = self.pieces_of(text), self.seen.new.get
-        if len(pieces) == 1:
-            return seen(pieces[0]) or self._piece(pieces[0])
-        return ",".join([seen(p) or self._piece(p) for p in pieces])
+        return ",".join(map(self._piece, self.pieces_of(text)))
 
     def _chunk(self, chunk: str) -> str:
         """The ids of a space and what follows it up to the next space."""
-        ids = self.chunks.old.get(chunk) or self.joined(" " + chunk)
-        return self.chunks.keep(chunk, ids) if len(chunk) <= LONGEST_KEY else ids
+        ids = self.chunks.old.get(chunk)
+        if ids is None:
+            pieces = self.pieces_of(" " + chunk)
+            if len(pieces) == 1:
+                return self._piece(pieces[0])
+            ids = ",".join(map(self._piece, pieces))
+        return self.chunks.keep(chunk, ids) if len(chunk) < LONGEST_KEY else ids
 
     def id_texts(self, texts: pa.Array) -> pa.Array:
         """``joined`` for many texts.
@@ -259,14 +266,18 @@ class PrefixEncoder:
 
     def digests(self, texts: pa.Array) -> list[tuple[int, str, str]]:
         """Number of ids, SHA-256 of the decimal ids joined by commas, SHA-256 of the bytes that these ids decode to."""
+        out = []
         ids = self.id_texts(texts)
-        full = ids.filter(pc.not_equal(ids, ""))
-        names = pc.split_pattern(full, ",")
-        tokens = self.vocabulary.take(names.flatten().cast(pa.int32()))
-        decoded = iter(pc.binary_join(pa.LargeListArray.from_arrays(names.offsets.cast(pa.int64()), tokens), pa.scalar(b"", pa.large_binary())).to_pylist())
-        return [
-            (i.count(",") + bool(i), hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(next(decoded) if i else b"").hexdigest()) for i in ids.to_pylist()
-        ]
+        for at in range(0, len(ids), 100):
+            some = ids.slice(at, 100)
+            full = some.filter(pc.not_equal(some, ""))
+            names = pc.split_pattern(full, ",")
+            tokens = self.vocabulary.take(names.flatten().cast(pa.int32()))
+            decoded = iter(pc.binary_join(pa.LargeListArray.from_arrays(names.offsets.cast(pa.int64()), tokens), pa.scalar(b"", pa.large_binary())).to_pylist())
+            for i in some.to_pylist():
+                out.append((i.count(",") + bool(i), hashlib.sha256(i.encode()).hexdigest(), hashlib.sha256(next(decoded) if i else b"").hexdigest()))
+        pa.default_memory_pool().release_unused()
+        return out
 
 
 class PrefixTable:
