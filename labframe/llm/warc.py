@@ -6,12 +6,16 @@ separator is the blank line that ends a WARC record, so archives go through Spar
 
 Reading: an archive is checked record by record (version line, header, length, end mark, payload digest; for compressed
 members also the gzip trailer). After a failed check the reader looks for the next version line or member that passes all
-checks, goes on there, and logs the bytes between as a quarantined gap.
+checks, goes on there, and logs the bytes between as a quarantined gap. Where only the digest fails and the end mark stands
+where the length says, the reader goes on behind the record, so nothing inside a damaged payload is taken for a record.
+Compressed members are inflated in pieces and may hold one record, many, or a whole archive. The records and gaps inside a
+member bear the bytes of the member, as the archive has no finer ones. Of a member that breaks off, those records stay whose
+payload digest holds; the rest of it is a gap.
 
 Cases: null html is an empty payload; null url leaves the header out; control characters and spaces in a url are percent-
 encoded. Pages that share both page_id and payload with the largest page_id are all responses. A null page_id counts as
 smaller than any other; where all are null, all are responses. Empty tables write no record and read as no rows. Other
-columns of the pages, whatever their names, are ignored. An archive is read whole, so the writer bounds its records.
+columns of the pages, whatever their names, are ignored. An archive is read whole, so the writer bounds its bytes.
 """
 
 from __future__ import annotations
@@ -26,13 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_REVISIT_BYTES = 1000
-#: Records in one archive file.
-RECORDS_PER_FILE = 2000
+#: Records in one archive file, where none exceeds so many bytes; larger ones go to archives of fewer records.
+RECORDS_PER_FILE, RECORD_BYTES = 1000, 256 << 10
 #: A table of shared payloads up to so many rows (about 100 bytes each) is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
-#: A gzip member that unpacks to more is taken for damaged.
-MAX_MEMBER = 1 << 28
+#: Members are inflated in pieces of so many bytes.
+PIECE = 1 << 18
 END = b"\r\n\r\n"
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 RECORDS = (
     "path string, kind string, start long, end long, reason string, record_type string, page_id long, refers_to long,"
@@ -77,68 +82,150 @@ def records(pages: DataFrame, shared: DataFrame, date: str = "2024-01-01T00:00:0
 
 
 def write_archives(pages: DataFrame, shared: DataFrame, path: str) -> None:
-    records(pages, shared).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
-
-
-def _parse(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
-    """End, header and payload of the record at ``at``; ValueError says which check failed."""
-    if not _START.match(data, at) or data[at : at + 2] == b"\x1f\x8b":
-        raise ValueError("no version line")
-    stop = data.find(END, at)
-    if stop < 0:
-        raise ValueError("header without end")
-    header = {}
-    for line in data[at:stop].split(b"\r\n")[1:]:
-        name, colon, value = line.partition(b":")
+    """Archives under ``path``, each of about RECORDS_PER_FILE * RECORD_BYTES bytes at most, or of one larger record."""
+    size = F.octet_length(F.coalesce("html", F.lit(""))) + F.octet_length(F.coalesce("url", F.lit("")))
+    largest = pages.agg(F.max(size).alias("n")).first()["n"] or 0
+    step, sizes = RECORDS_PER_FILE, [(-1, RECORD_BYTES, RECORDS_PER_FILE)]
+    while sizes[-1][1] < largest:  # each class of sizes is up to ten times larger, with a tenth of the records in a file
+        step = max(1, step // 10)
+        sizes.append((sizes[-1][1], sizes[-1][1] * 10, step))
+    for above, up_to, most in sizes:
+        some = pages if len(sizes) == 1 else pages.filter((size > above) & (size <= up_to))
+        records(some, shared).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).mode("append").text(path)
+
+
+class Damaged(ValueError):
+    """A failed check. ``resume`` is where the next record must begin, if the frame is whole."""
+
+    def __init__(self, reason: str, resume: int | None = None):
+        super().__init__(reason)
+        self.resume = resume
+
+
+def _parse(data: bytes | bytearray, at: int) -> tuple[int, dict[str, str], bytes]:
+    """End, header and payload of the record at ``at``; Damaged says which check failed. IndexError: the data end too early."""
+    if not _VERSION.match(data, at):
+        if len(data) - at < 10 and b"WARC/1.".startswith(bytes(data[at : at + 7])):
+            raise IndexError("version line cut off")
+        raise Damaged("no version line")
+    header, line = {}, data.find(b"\r\n", at) + 2
+    while (stop := data.find(b"\r\n", line)) != line:
+        if stop < 0:
+            raise IndexError("header without end")
+        name, colon, value = data[line:stop].partition(b":")
         if not colon:
-            raise ValueError("header line without a colon")
+            raise Damaged("header line without a colon")
         header[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
+        line = stop + 2
     length = header.get("content-length", "")
-    if not length.isdigit():
-        raise ValueError("no content length")
-    block, end = stop + 4, stop + 4 + int(length)
+    if not (length.isascii() and length.isdigit()):
+        raise Damaged("no content length")
+    block, end = line + 2, line + 2 + int(length)
     if data[end : end + 4] != END:
-        raise ValueError("no end mark where the length says")
-    payload = data[block:end]
+        if len(data) < end + 4:
+            raise IndexError("no end mark where the length says")
+        raise Damaged("no end mark where the length says")
+    payload = bytes(data[block:end])
     if header.get("content-type", "").startswith("application/http"):
         payload = payload.partition(END)[2]
-    algorithm, _, digest = header.get("warc-payload-digest", "").partition(":")
-    if header.get("warc-type") == "response" and algorithm == "sha1" and len(digest) == 40 and hashlib.sha1(payload).hexdigest() != digest.lower():
-        raise ValueError("payload digest differs")
+    if _digest_of(header) and hashlib.sha1(payload).hexdigest() != _digest_of(header):
+        raise Damaged("payload digest differs", end + 4)
     return end + 4, header, payload
 
 
-def _member(data: bytes, at: int) -> tuple[int, dict[str, str], bytes]:
-    """The same for a gzip member that holds one record."""
-    unpack = zlib.decompressobj(31)
-    try:
-        inner = unpack.decompress(memoryview(data)[at:], MAX_MEMBER)
-    except zlib.error as e:
-        raise ValueError("damaged member") from e
-    if not unpack.eof:
-        raise ValueError("member without end")
-    end, header, payload = _parse(inner, 0)
-    if end != len(inner):
-        raise ValueError("more than one record in a member")
-    return len(data) - len(unpack.unused_data), header, payload
+def _digest_of(header: dict[str, str]) -> str:
+    """The SHA-1 that a response must have, in hex; empty where it names none of this kind."""
+    algorithm, _, digest = header.get("warc-payload-digest", "").partition(":")
+    return digest.lower() if header.get("warc-type") == "response" and algorithm == "sha1" and len(digest) == 40 else ""
+
+
+def _inflated(data: bytes, at: int) -> Iterator[tuple[bytes, int]]:
+    """Pieces of the member at ``at``, each with the member's end, which is -1 until the trailer has been checked."""
+    unpack, view, rest = zlib.decompressobj(31), memoryview(data), at
+    while not unpack.eof:
+        if rest >= len(data) and not unpack.unconsumed_tail:
+            raise Damaged("member without end")
+        some = unpack.unconsumed_tail or view[rest : rest + PIECE]
+        rest += 0 if unpack.unconsumed_tail else len(some)
+        try:
+            piece = unpack.decompress(some, PIECE)
+        except zlib.error as e:
+            raise Damaged("damaged member") from e
+        yield piece, rest - len(unpack.unused_data) if unpack.eof else -1
+
+
+def _member_end(data: bytes, at: int) -> int:
+    """Where the member at ``at`` ends; Damaged if it is not whole. Nothing of it is kept."""
+    return max(end for _, end in _inflated(data, at))
+
+
+Found = tuple[str, int, int, str, dict[str, str], bytes]
+
+
+def _member(data: bytes, at: int, end: int | None) -> Iterator[Found]:
+    """Records and gaps inside the member at ``at``. Without ``end`` it breaks off: only records with a digest are given."""
+    held, whole, until = bytearray(), end is not None, end if end is not None else at
+    pieces = _inflated(data, at)
+    bad, more = "", True
+    while more or held:
+        try:
+            stop, header, payload = _parse(held, 0)
+        except IndexError as e:
+            if more:
+                try:
+                    held += next(pieces)[0]
+                except (StopIteration, Damaged):
+                    more = False
+                continue
+            bad, stop, header = bad or str(e), _next_version(held, 1), None
+        except Damaged as e:
+            bad, stop, header = bad or str(e), e.resume or _next_version(held, 1), None
+        if header is not None and (whole or _digest_of(header)):
+            if bad and whole:
+                yield "gap", at, until, bad, {}, b""
+            bad = ""
+            yield "record", at, until, "", header, payload
+        del held[:stop]
+    if bad and whole:
+        yield "gap", at, until, bad, {}, b""
+
+
+def _next_version(data: bytes | bytearray, at: int) -> int:
+    """The next version line at ``at`` or later; where there is none, all but what may be the beginning of one."""
+    found = _VERSION.search(data, at)
+    return found.start() if found else max(at, len(data) - 9)
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, str, dict[str, str], bytes]]:
+def salvage(data: bytes) -> Iterator[Found]:
     """(kind, start, end, reason, header, payload) for all bytes in order; kind is record or gap, the rest empty for gaps."""
     at, bad_from, reason = 0, -1, ""
     while at < len(data):
         try:
-            end, header, payload = (_member if data[at : at + 2] == b"\x1f\x8b" else _parse)(data, at)
-        except ValueError as e:
+            if data[at : at + 2] == b"\x1f\x8b":
+                end = _member_end(data, at)
+                inside = _member(data, at, end)
+            else:
+                end, header, payload = _parse(data, at)
+                inside = [("record", at, end, "", header, payload)]
+        except (Damaged, IndexError) as e:
+            if data[at : at + 3] == b"\x1f\x8b\x08":
+                for one in _member(data, at, None):
+                    if 0 <= bad_from < at:
+                        yield "gap", bad_from, at, reason, {}, b""
+                    bad_from = -1
+                    yield one
             if bad_from < 0:
                 bad_from, reason = at, str(e)
-            found = _START.search(data, at + 1)
-            at = found.start() if found else len(data)
+            resume = getattr(e, "resume", None)
+            if resume is None:
+                found = _START.search(data, at + 1)
+                resume = found.start() if found else len(data)
+            at = resume
             continue
         if bad_from >= 0:
             yield "gap", bad_from, at, reason, {}, b""
             bad_from = -1
-        yield "record", at, end, "", header, payload
+        yield from inside
         at = end
     if bad_from >= 0:
         yield "gap", bad_from, len(data), reason, {}, b""
