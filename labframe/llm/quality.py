@@ -167,13 +167,12 @@ def score_documents(docs: DataFrame, text: str = "text", keep_from: float = 0.5,
 
 
 def filter_quality(docs: DataFrame, text: str = "text", keep_from: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. The verdict is computed in the row, so doc_id needn't be unique."""
-    stats = materialize(text_stats(docs.select(F.col(text).alias("body")), "body").select("_q_stats"), "quality")
-    model = fit_accuracies(histogram(stats, "_q_stats"))
-    # The rows travel as one struct, so no column of theirs can clash. Explode keeps the filter above the statistics: pushed
-    # below, it would repeat their expressions inside one another.
+    """The rows of ``docs`` that are kept, with their columns. The verdict is computed in the row, so doc_id needn't be unique.
+    Rows are stored with their counts, so texts are analysed once."""
+    # The rows travel as one struct, so no column of theirs can clash.
     packed = docs.select(F.struct("*").alias("doc"), F.col(text).alias("body"))
-    judged = text_stats(packed, "body").select("doc", F.explode(F.array("_q_stats")).alias("stats"))
-    s = F.col("stats")
+    stored = materialize(text_stats(packed, "body").select("doc", "_q_stats"), "quality", compression="zstd")
+    model = fit_accuracies(histogram(stored, "_q_stats"))
+    s = F.col("_q_stats")
     keep = ~base_failed(s["n_words"], s["n_repeat_words"]) & (posterior(votes(s), model) >= keep_from)
-    return judged.filter(keep).select("doc.*")
+    return stored.filter(keep).select("doc.*")
