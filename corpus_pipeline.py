@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages, each written to the shared folder and read again by the next.
 
-Quality rules drop documents, line dedup drops repeated lines, near-dedup leaves one document of each group that an exact
-join at a similarity of 0.8 over five-word shingles links (SimHash of a radius that can be searched misses most such pairs),
-mixing repeats or drops documents to meet the source weights, and byte-level BPE encodes what is left.
+Quality rules drop documents, line dedup drops repeated lines, SimHash near-dedup leaves one document of each group that a
+similarity of 0.8 over five-word shingles links (bit-sliced comparison of wide fingerprints within groups that share least
+hashes; a radius that such texts need can't be searched by equal blocks of bits), mixing repeats or drops documents to meet the
+source weights, and byte-level BPE encodes what is left.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_stage),
     ("line dedup", line_stage),
-    ("near-dedup", near_stage),
+    ("SimHash near-dedup", near_stage),
     ("mixing", mixing_stage),
     ("byte-level BPE", bpe_stage),
 ]

@@ -69,18 +69,19 @@ def fingerprints(docs: DataFrame, text: str = "text", into: str = "fp") -> DataF
 
 
 def planes(x: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Vertical layout: row b has bit ``bits[b]`` of all items, 64 items a word."""
+    """Vertical layout: row b has bit ``bits[b]`` of all items, 64 items a word. Items have one column for each 64 bits."""
     width = -(-len(x) // 64) * 64
     rows = np.zeros((len(bits), width), np.uint8)
-    rows[:, : len(x)] = ((x[None, :] >> bits[:, None].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
+    rows[:, : len(x)] = ((x.T[bits // 64] >> (bits % 64)[:, None].astype(np.uint64)) & np.uint64(1)).astype(np.uint8)
     return np.packbits(rows, axis=1, bitorder="little").view("<u8")
 
 
 def near(x: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j), i < j, of a group's items that differ in at most ``radius`` bits, block by block."""
-    n = len(x)
-    spread = np.bitwise_or.reduce(x ^ x[0])
-    bits = np.array([b for b in range(64) if spread >> np.uint64(b) & np.uint64(1)])
+    """Index pairs (i, j), i < j, of a group's items that differ in at most ``radius`` bits, block by block. Fingerprints of
+    more than 64 bits have a column for each 64."""
+    n, x = len(x), x.reshape(len(x), -1)
+    spread = np.bitwise_or.reduce(x ^ x[0], axis=0)
+    bits = np.array([b for b in range(64 * x.shape[1]) if spread[b // 64] >> np.uint64(b % 64) & np.uint64(1)], np.int64)
     counters = max(1, radius.bit_length())
     full = ~np.uint64(0)
     for at in range(0, n, BLOCK_ITEMS):
@@ -91,7 +92,7 @@ def near(x: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.n
             count = [np.zeros((len(asked), vertical.shape[1]), np.uint64) for _ in range(counters)]
             over = np.zeros_like(count[0])
             for k, b in enumerate(bits):
-                flip = np.where(asked >> np.uint64(b) & np.uint64(1), full, np.uint64(0))
+                flip = np.where(asked[:, b // 64] >> np.uint64(b % 64) & np.uint64(1), full, np.uint64(0))
                 carry = vertical[k][None, :] ^ flip[:, None]
                 for c in range(counters):  # carry-save addition of one bit to every pair's counter
                     count[c], carry = count[c] ^ carry, count[c] & carry

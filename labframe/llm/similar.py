@@ -1,14 +1,16 @@
-"""Near-duplicate documents by an exact similarity join.
+"""Near-duplicate documents at a similarity of 0.8: SimHash's bit-sliced comparison on candidates from min-wise bands.
 
 Two texts are linked if of their different five-word shingles together at least four in five are common to both (Jaccard
-similarity of 0.8). All shingles are put in one order, those that many texts hold last. Of a text with n shingles the first
-n - ceil(0.8 n) + 1 are looked up: two linked texts share at least one of these, so no pair is missed. The order is free; it
-takes the common shingles from a sample of the texts, which bears on the cost alone.
+similarity of 0.8). Such texts differ in a sixth of the bits of their SimHash, so no grouping by equal blocks of bits finds
+them; the grouping here is by bands of least hashes instead. ``BANDS`` keys of ``ROWS`` least hashes each are made per text; a
+pair at the limit shares none of them with probability (1 - 0.8 ** 4) ** 40, under one in a billion. Inside a group,
+fingerprints of 128 bits are compared as vertical bit planes (``simhash.near``); RADIUS lies 5.9 standard deviations above the
+distance expected at the limit. Texts of few shingles have rough fingerprints and skip that filter. What passes is verified on
+all shingles.
 
-Texts that meet are compared in two rounds. First each with its neighbour by size in every group; where this leaves a group
-with more than one component, all its pairs of different components follow, cut into blocks where the group is large. Number
-and places of the shared shingles rule out most pairs; the others are verified on all their shingles. A group of many
-near-copies thus costs a few rows per text, and is left alone as soon as it is one component.
+It goes in two rounds. First each text and its neighbour by size, one pair per text; the components of what is linked so
+leave most groups with one component, and these are done. In the others all pairs of different components follow, cut into
+blocks where the group is large. A group of many near-copies thus costs a few rows per text.
 
 Cases: words are compared in lower case; texts of up to five words are one shingle. Null, empty and blank texts are alike.
 Texts with the same shingles are one node. Repeated rows are one document. Null doc_ids are linked but never stay, unless all
@@ -26,17 +28,22 @@ from pyspark.sql import functions as F
 
 from labframe.llm.common import materialize
 from labframe.llm.components import components
+from labframe.llm.simhash import near
 
 SHINGLE = 5
 #: Similarity as a fraction.
 SHARE, OF = 4, 5
 SEED = 42
-#: One text in so many is sampled for common shingles; those seen so often there count as common, and at most so many of them.
-SAMPLE, COMMON_FROM, COMMON_LIMIT = 16, 4, 20_000
+BANDS, ROWS = 40, 4
+RADIUS = 43
+#: Texts of so many shingles or fewer are compared without fingerprints.
+FEW = 64
 #: Groups above this size are cut into blocks of half of it.
-GROUP_LIMIT = 1024
-#: A task remembers so many texts that it has emitted, and so many hashes of words; then it starts anew.
-SEEN_TEXTS, SEEN_WORDS = 1_000_000, 200_000
+GROUP_LIMIT = 2048
+#: A task remembers so many hashes of words; then it starts anew.
+SEEN_WORDS = 200_000
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class _Words(dict):
@@ -59,7 +66,7 @@ def shingles(text: str | None, words: _Words) -> np.ndarray:
         return h
     out = np.full(n - size + 1, size, np.uint64)
     for k in range(size):
-        out = (out ^ h[k : n - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[k : n - size + 1 + k]) * _MIX
         out ^= out >> np.uint64(29)
     return np.unique(out)
 
@@ -70,83 +77,52 @@ def node_of(s: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(s.tobytes(), SEED)
 
 
-def prefix_length(n):
-    return n - (SHARE * n + OF - 1) // OF + 1
+def band_keys(s: np.ndarray) -> np.ndarray:
+    """One key per band: the least hashes under ROWS multipliers, mixed with the number of the band."""
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(s), 1024):
+        least = np.minimum(least, (s[at : at + 1024, None] * _FACTORS).min(axis=0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * _MIX
+        out ^= out >> np.uint64(31)
+    return out
 
 
-def similar(common, n, m):
-    """Whether sets of n and m shingles with so many in common are near duplicates."""
-    return (SHARE + OF) * common >= SHARE * (n + m)
-
+def fingerprint(s: np.ndarray) -> np.ndarray:
+    """SimHash of 128 bits: a bit is 1 if set in over half the shingles' hashes; the second word is of the hashes mixed again."""
+    ones = np.zeros(128, np.int64)
+    for at in range(0, len(s), 1 << 14):
+        part = s[at : at + (1 << 14)]
+        again = (part ^ (part >> np.uint64(32))) * _FACTORS[0]
+        both = np.stack([part * _MIX, again ^ (again >> np.uint64(31))], axis=1).astype("<u8").view(np.uint8)
+        ones += np.unpackbits(both, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(s), bitorder="little").view("<u8")
 
-def _may_be_similar(n, pos, m, at):
-    """Whether sets of n and m that share the shingle at these places of the order can be near duplicates."""
-    return similar(np.minimum(pos, at) + 1 + np.minimum(n - pos, m - at) - 1, n, m)
 
-
-def nodes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the hash of its shingles as ``node``."""
-
-    @F.pandas_udf("long")
-    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = _Words()
-        for batch in batches:
-            yield pd.Series(np.array([node_of(shingles(t, words)) for t in batch], dtype=np.uint64).view(np.int64))
-
-    return docs.withColumn("node", node(F.col(text)))
+def alike(common, n, m):
+    """Whether sets of n and m shingles with so many in common are near duplicates."""
+    return (SHARE + OF) * common >= SHARE * (n + m)
 
 
-def common_shingles(docs: DataFrame, text: str, sample: int = SAMPLE) -> list[int]:
-    """Shingles that many texts hold, rising in number."""
+def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, row_key, node, n, f0, f1, bands for every row: the hash of its shingles, their number, fingerprint, band keys."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
         for batch in batches:
-            for t in batch.iloc[:, 0]:
-                yield pd.DataFrame({"key": shingles(t, words).view(np.int64)})
-
-    some = docs.select(text).filter(F.pmod(F.xxhash64(text), F.lit(sample)) == 0)
-    counts = some.mapInPandas(emit, "key long").groupBy("key").count().filter(F.col("count") >= COMMON_FROM)
-    return [r.key for r in counts.orderBy(F.desc("count"), "key").limit(COMMON_LIMIT).collect()][::-1]
+            for lo in range(0, len(batch), 1000):
+                part = batch.iloc[lo : lo + 1000]
+                sets = [shingles(t, words) for t in part.text]
+                prints = np.array([fingerprint(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+                yield pd.DataFrame({
+                    "doc_id": part.doc_id, "row_key": part.row_key, "node": np.array([node_of(s) for s in sets], np.uint64).view(np.int64),
+                    "n": np.array([len(s) for s in sets], np.int64), "f0": prints[:, 0], "f1": prints[:, 1],
+                    "bands": [band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets],
+                })
 
-
-def ordered(s: np.ndarray, common: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order. ``common`` is sorted and has the ranks of its shingles beside it."""
-    place = np.zeros(len(s), np.int64)
-    if len(common) and len(s):
-        at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-        place = np.where(common[at] == s, rank[at], 0)
-    return s[np.argsort(place, kind="stable")[: prefix_length(len(s))]]
-
-
-def _prefixes(docs: DataFrame, text: str, common: list[int]) -> DataFrame:
-    """key, node, n, pos: the shingles by which a text is found, and their places in the order."""
-    known = np.array(common, np.int64).view(np.uint64)
-    by = np.argsort(known)
-    known, rank = known[by], by + 1
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, seen = _Words(), set()
-        for batch in batches:
-            keys, ids, sizes = [np.zeros(0, np.uint64)], [], []
-            for t in batch.iloc[:, 0]:
-                s = shingles(t, words)
-                node = node_of(s)
-                if not len(s) or node in seen:
-                    continue
-                if len(seen) >= SEEN_TEXTS:
-                    seen.clear()
-                seen.add(node)
-                keys.append(ordered(s, known, rank))
-                ids.append(node)
-                sizes.append(len(s))
-            many = np.array([len(k) for k in keys[1:]], np.int64)
-            yield pd.DataFrame({
-                "key": np.concatenate(keys).view(np.int64), "node": np.repeat(np.array(ids, np.uint64).view(np.int64), many),
-                "n": np.repeat(np.array(sizes, np.int32), many), "pos": np.concatenate([np.zeros(0, np.int32), *[np.arange(k, dtype=np.int32) for k in many]]),
-            })
-
-    return docs.select(text).mapInPandas(emit, "key long, node long, n int, pos int")
+    own = docs.select("doc_id", F.xxhash64(text).alias("row_key"), F.col(text).alias("text"))
+    return own.mapInPandas(emit, "doc_id long, row_key long, node long, n long, f0 long, f1 long, bands array<long>")
 
 
 def _runs(batches: Iterator[pd.DataFrame], names: list[str], handle) -> Iterator[pd.DataFrame]:
@@ -165,64 +141,77 @@ def _runs(batches: Iterator[pd.DataFrame], names: list[str], handle) -> Iterator
         yield handle(pd.concat(held))
 
 
-def meetings(docs: DataFrame, text: str, common: list[int]) -> DataFrame:
-    """key, node, n, pos, prev: the groups of two texts or more, each with its neighbour by size if that one can be similar."""
+def _starts(k: np.ndarray) -> list[int]:
+    """Where the runs of equal rows begin, and the end."""
+    return [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """key, node, n, f0, f1, prev: the groups of two texts or more, each with its neighbour by size if that one can be alike."""
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["key", "node"])
-        k, node, n, pos = (frame[c].to_numpy() for c in ("key", "node", "n", "pos"))
-        follows = np.concatenate(([False], k[1:] == k[:-1])) if len(k) else np.zeros(0, bool)
-        keep = follows | np.concatenate((follows[1:], [False]))
-        near = follows & _may_be_similar(n, pos, np.roll(n, 1), np.roll(pos, 1))
+        k, node, n = (frame[c].to_numpy() for c in ("key", "node", "n"))
+        f = frame[["f0", "f1"]].to_numpy().view(np.uint64)
+        follows = np.concatenate(([False], k[1:] == k[:-1]))[: len(k)]
+        keep = follows | np.concatenate((follows[1:], [False]))[: len(k)]
+        far = np.bitwise_count(f ^ np.roll(f, 1, axis=0)).sum(axis=1)
+        before = np.roll(n, 1)
+        near_ = follows & (OF * before >= SHARE * n) & ((far <= RADIUS) | (before <= FEW))
         prev = pd.array(np.roll(node, 1), dtype="Int64")
-        prev[~near] = pd.NA
-        return pd.DataFrame({"key": k, "node": node, "n": n, "pos": pos, "prev": prev})[keep]
+        prev[~near_] = pd.NA
+        return pd.DataFrame({"key": k, "node": node, "n": n, "f0": frame.f0, "f1": frame.f1, "prev": prev})[keep]
 
-    rows = _prefixes(docs, text, common).repartition("key").sortWithinPartitions("key", "n", "node")
-    return rows.mapInPandas(lambda batches: _runs(batches, ["key"], meet), "key long, node long, n int, pos int, prev long")
+    rows = nodes.select(F.explode("bands").alias("key"), "node", "n", "f0", "f1").repartition("key").sortWithinPartitions("key", "n", "node")
+    return rows.mapInPandas(lambda batches: _runs(batches, ["key"], meet), "key long, node long, n long, f0 long, f1 long, prev long")
 
 
-def pairs(met: DataFrame, roots: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """u, v: the pairs of different components that meet often enough to be similar.
+def near_pairs(n: np.ndarray, f: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of a group that can be alike. Sizes are in rising order."""
+    few = int(np.searchsorted(n, FEW * OF // SHARE, side="right"))
+    for i in range(few - 1):
+        j = np.arange(i + 1, min(few, int(np.searchsorted(n, n[i] * OF // SHARE, side="right"))))
+        yield np.full(len(j), i), j
+    first = int(np.searchsorted(n, FEW, side="right"))
+    if len(n) - first > 1:
+        for i, j in near(f[first:], RADIUS):
+            i, j = i + first, j + first
+            ok = (OF * n[i] >= SHARE * n[j]) & (j >= few)
+            yield i[ok], j[ok]
 
-    What two texts share beyond the shingles looked up lies behind those of the one whose last comes first in the order.
-    """
-    rooted = met.select("key", "node", "n", "pos").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+def pairs(met: DataFrame, roots: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """u, v: the pairs of different components that meet and can be alike."""
+    rooted = met.select("key", "node", "n", "f0", "f1").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = rooted.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b")
     blocks = F.when(F.col("size") > group_limit, F.ceil(F.col("size") / (group_limit // 2))).otherwise(1).cast("int")
     dealt = rooted.join(sizes.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "n", "pos", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    dealt = dealt.select("key", "node", "n", "f0", "f1", "root", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
 
     def meet(frame: pd.DataFrame) -> pd.DataFrame:
-        k = frame[["key", "lo", "hi"]].to_numpy()
-        node, n, pos, root, own = (frame[c].to_numpy().astype(np.int64) for c in ("node", "n", "pos", "root", "own"))
-        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
-        u, v, need = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        k, f = frame[["key", "lo", "hi"]].to_numpy(), frame[["f0", "f1"]].to_numpy().view(np.uint64)
+        node, n, root, own = (frame[c].to_numpy().astype(np.int64) for c in ("node", "n", "root", "own"))
+        edges = _starts(k)
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for lo, hi in zip(edges, edges[1:], strict=False):
-            across = hi > lo and k[lo, 1] != k[lo, 2]
-            for i in range(lo, hi - 1):
-                end = lo + int(np.searchsorted(n[lo:hi], n[i] * OF // SHARE, side="right"))  # sorted by size
-                j = np.arange(i + 1, end)
-                ok = _may_be_similar(n[j], pos[j], n[i], pos[i]) & (root[j] != root[i])
-                j = j[ok & (own[j] != own[i])] if across else j[ok]
-                u.append(np.full(len(j), node[i]))
-                v.append(node[j])
-                behind = np.maximum(n[i] - prefix_length(n[i]), n[j] - prefix_length(n[j]))
-                need.append((SHARE * (n[i] + n[j]) + SHARE + OF - 1) // (SHARE + OF) - behind)
+            for i, j in near_pairs(n[lo:hi], f[lo:hi]) if hi > lo else ():
+                i, j = i + lo, j + lo
+                ok = (root[i] != root[j]) & ((own[i] != own[j]) | (k[lo, 1] == k[lo, 2]))
+                u.append(node[i[ok]])
+                v.append(node[j[ok]])
         a, b = np.concatenate(u), np.concatenate(v)
-        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b), "need": np.concatenate(need)})
+        return pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)}).drop_duplicates()
 
     names = ["key", "lo", "hi"]
     dealt = dealt.repartition(*names).sortWithinPartitions(*names, "n", "node")
-    met = dealt.mapInPandas(lambda batches: _runs(batches, names, meet), "u long, v long, need long")
-    return met.groupBy("u", "v", "need").count().filter("count >= need").select("u", "v")
+    return dealt.mapInPandas(lambda batches: _runs(batches, names, meet), "u long, v long").distinct()
 
 
-def verified(asked: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The pairs (u, v) that are near duplicates. The shingles of the texts in question are made again."""
+def verified(asked: DataFrame, docs: DataFrame, own: DataFrame, text: str) -> DataFrame:
+    """The pairs (u, v) that are near duplicates. The shingles of the texts in question are made again, one text per node."""
     asked = materialize(asked, "asked")
-    wanted = asked.select("u").union(asked.select("v")).distinct().withColumnRenamed("u", "node")
+    wanted = asked.select(F.col("u").alias("node")).union(asked.select("v")).distinct()
+    places = own.join(wanted, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = _Words()
@@ -230,31 +219,32 @@ def verified(asked: DataFrame, docs: DataFrame, text: str) -> DataFrame:
             sets = [shingles(t, words).view(np.int64) for t in batch.text]
             yield pd.DataFrame({"node": batch.node, "s": sets})
 
-    texts = docs.join(wanted, "node", "left_semi").select("node", F.col(text).alias("text")).dropDuplicates(["node"])
-    sets = materialize(texts.mapInPandas(emit, "node long, s array<long>"), "sets")
+    texts = docs.select(F.xxhash64(text).alias("row_key"), F.col(text).alias("text")).join(places, "row_key").dropDuplicates(["node"])
+    sets = materialize(texts.select("node", "text").mapInPandas(emit, "node long, s array<long>"), "sets")
 
     @F.pandas_udf("boolean")
-    def near(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in zip(a, b, strict=True)], dtype=bool)
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([bool(alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))) for x, y in zip(a, b, strict=True)], dtype=bool)
 
     left = asked.join(sets.select(F.col("node").alias("u"), F.col("s").alias("a")), "u")
     both = left.join(sets.select(F.col("node").alias("v"), F.col("s").alias("b")), "v")
-    return materialize(both.filter(near("a", "b")).select("u", "v"), "similar")
+    return materialize(both.filter(similar("a", "b")).select("u", "v"), "similar")
 
 
-def component_table(docs: DataFrame, text: str = "text", sample: int = SAMPLE, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """node, root for every node that has a near duplicate. ``docs`` has the texts and their nodes."""
-    met = materialize(meetings(docs, text, common_shingles(docs, text, sample)), "meeting")
-    chain = met.filter("prev IS NOT NULL").select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
-    found = verified(chain, docs, text)
-    rest = verified(pairs(met, components(found), group_limit), docs, text)
+def component_table(docs: DataFrame, own: DataFrame, text: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """node, root for every node that has a near duplicate. ``own`` comes from ``sketches`` of ``docs``."""
+    nodes = own.select("node", "n", "f0", "f1", "bands").filter("n > 0").dropDuplicates(["node"])
+    met = materialize(meetings(nodes), "meeting")
+    chain = met.filter("prev IS NOT NULL").groupBy("node").agg(F.min("prev").alias("prev")).select(F.least("node", "prev").alias("u"), F.greatest("node", "prev").alias("v")).distinct()
+    found = verified(chain, docs, own, text)
+    rest = verified(pairs(met, components(found), group_limit), docs, own, text)
     return components(found.unionByName(rest))
 
 
-def keep_one(docs: DataFrame, text: str = "text", sample: int = SAMPLE, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
     """The document with the smallest doc_id of every component, with the columns of ``docs``; repeated rows once."""
-    own = materialize(nodes(docs.select("doc_id", F.col(text).alias("text"), F.xxhash64(text).alias("row_key"))), "nodes")
-    roots = component_table(own.select("node", "text"), "text", sample, group_limit)
+    own = materialize(sketches(docs, text), "sketches")
+    roots = component_table(docs, own, text, group_limit)
     rooted = own.select("doc_id", "row_key", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Rows may share the least id; of their texts the one with the least hash stays.
     first = F.min_by(F.struct("doc_id", "row_key"), F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row_key")))

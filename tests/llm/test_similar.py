@@ -58,7 +58,7 @@ def test_near_stage_reaches_all_pairs_of_four_fifths(spark):
     want = kept(rows)
     assert 12 < len(want) < len(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, df, "").collect()) == want
-    assert sorted(r.doc_id for r in similar.keep_one(df, sample=1, group_limit=4).collect()) == want
+    assert sorted(r.doc_id for r in similar.keep_one(df, group_limit=4).collect()) == want
 
 
 def test_near_stage_on_awkward_rows(docs, empty):
