@@ -32,21 +32,22 @@ COUNTS = ["white_blood_cell_count", "platelet_count"]
 ADULT_AGE, RAW_COUNT, FAR_FACTOR = 18, 1000, 4
 
 DEC = "decimal(18,6)"
-_NUMBER = r"-?(?:\d{1,3}(?:,\d{3})+(?:\.\d+)?|\d+,\d{1,2}(?![\d,])|\d+(?:\.\d+)?)"
-_PLAIN = r"\d[\d,]*(?:\.\d+)?"
-_PAIR = rf"(?i)(-?{_PLAIN})\s*(?:-|–|to)\s*(-?{_PLAIN})"
-_BOUND = rf"(<=?|>=?|≤|≥)\s*({_PLAIN})"
+#: A run of digits with its points and commas; what it means is decided by its form.
+RUN = r"-?\d[\d.,]*"
 
 
-def to_decimal(text: Column) -> Column:
-    """A matched number: one or two digits after a lone comma are decimals, other commas separate thousands."""
-    comma = text.rlike(r"^-?\d+,\d{1,2}$")
-    return F.when(comma, F.replace(text, F.lit(","), F.lit("."))).otherwise(F.replace(text, F.lit(","), F.lit(""))).try_cast(DEC)
+def to_decimal(run: Column) -> Column:
+    """A run of digits as a decimal: commas between groups of three go, a lone comma before one or two digits is a decimal point,
+    and of a run of no known form the leading whole or decimal number counts."""
+    t = F.rtrim(run, F.lit(".,"))
+    grouped, decimal_comma = t.rlike(r"^-?\d{1,3}(,\d{3})+([.]\d+)?$"), t.rlike(r"^-?\d+,\d{1,2}$")
+    plain = F.when(grouped, F.replace(t, F.lit(","), F.lit(""))).when(decimal_comma, F.replace(t, F.lit(","), F.lit(".")))
+    return plain.otherwise(F.regexp_extract(t, r"^-?\d+([.]\d+)?", 0)).try_cast(DEC)
 
 
 def parse_number(text: Column) -> Column:
     """The first number anywhere in a text, as a decimal; null if there is none."""
-    return to_decimal(F.nullif(F.regexp_extract(text, _NUMBER, 0), F.lit("")))
+    return to_decimal(F.nullif(F.regexp_extract(text, RUN, 0), F.lit("")))
 
 
 def normalize_unit(unit: Column) -> Column:
@@ -60,16 +61,14 @@ def format_number(value: Column) -> Column:
 
 
 def printed_range(text: Column) -> Column:
-    """struct<lower, upper> of a printed range; null where it can't be read or its ends are swapped."""
-    lo, hi = (to_decimal(F.nullif(F.regexp_extract(text, _PAIR, g), F.lit(""))) for g in (1, 2))
-    sign = F.regexp_extract(text, _BOUND, 1)
-    bound = to_decimal(F.nullif(F.regexp_extract(text, _BOUND, 2), F.lit("")))
-    none = F.lit(None).cast(DEC)
-    pair = F.regexp_extract(text, _PAIR, 1) != ""
+    """struct<lower, upper> of a printed range; null where it can't be read or its ends are swapped. One end may be open."""
+    both, one = rf"({RUN})\s*(?:-|–|(?i:to))\s*({RUN})", rf"([<>≤≥])=?\s*({RUN})"
+    lo, hi, bound = (to_decimal(F.nullif(F.regexp_extract(text, p, g), F.lit(""))) for p, g in ((both, 1), (both, 2), (one, 2)))
+    sign, pair, none = F.regexp_extract(text, one, 1), text.rlike(both), F.lit(None).cast(DEC)
     return (
         F.when(pair & (lo <= hi), F.struct(lo.alias("lower"), hi.alias("upper")))
-        .when(~pair & sign.isin("<", "<=", "≤"), F.struct(none.alias("lower"), bound.alias("upper")))
-        .when(~pair & sign.isin(">", ">=", "≥"), F.struct(bound.alias("lower"), none.alias("upper")))
+        .when(~pair & sign.isin("<", "≤"), F.struct(none.alias("lower"), bound.alias("upper")))
+        .when(~pair & sign.isin(">", "≥"), F.struct(bound.alias("lower"), none.alias("upper")))
     )
 
 

@@ -10,6 +10,7 @@ RESULT_LABELS = {
     "glucose": ["glucose", "glu"], "hemoglobin": ["hemoglobin", "haemoglobin", "hgb", "hb"], "hematocrit": ["hematocrit", "haematocrit", "hct"],
     "white_blood_cell_count": ["white", "wbc", "leukocyte", "leukocytes", "leucocytes"], "platelet_count": ["platelet", "platelets", "plt"],
 }
+UNKNOWN_SEX = ["u", "unknown", "unk", "other", "o", "x", "not specified", "not stated", "undisclosed", "n/a", "na"]
 LABEL_WINDOW = 12
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 
@@ -34,6 +35,11 @@ def normalize_sex(c: Column) -> Column:
     return F.when(s.isin("m", "male", "man"), "M").when(s.isin("f", "female", "woman"), "F")
 
 
+def unknown_sex(c: Column) -> Column:
+    """Spellings that say the sex isn't known; they don't hold a document."""
+    return F.lower(normalize_text(c)).isin(UNKNOWN_SEX)
+
+
 def normalize_flag(c: Column) -> Column:
     f = F.upper(F.trim(c))
     return F.when(f.isin("H", "HH", "HIGH"), "H").when(f.isin("L", "LL", "LOW"), "L")
@@ -50,29 +56,41 @@ def uuid_or_null(c: Column) -> Column:
     return F.when(c.rlike(UUID), c)
 
 
-def printed_on_page(value: Column, page: Column, field: Column) -> Column:
-    """Whether a value stands on the page as whole words, results within LABEL_WINDOW words after their label.
+def page_tokens(page: Column) -> Column:
+    """The words of a page without case and punctuation."""
+    return F.filter(F.transform(F.split(F.coalesce(page, F.lit("")), r"\s+"), squash), lambda t: t != "")
+
+
+def stands_in(value: Column, tokens: Column, field: Column) -> Column:
+    """Whether a value stands among the tokens as whole words, results within LABEL_WINDOW words after their label.
 
-    Tokens are compared without case and punctuation. A value may span tokens; digits may be glued to a unit.
+    A value may span tokens; digits may be glued to a unit. Only tokens that begin as the value does are looked at. ``tokens``
+    should be a column of its own, not the expression that makes it, or each step makes it again.
     """
     v = squash(value)
-    tokens = F.filter(F.transform(F.split(F.coalesce(page, F.lit("")), r"\s+"), squash), lambda t: t != "")
     labels = F.array().cast("array<string>")
     for name, words in RESULT_LABELS.items():
         labels = F.when(field == name, F.array(*[F.lit(w) for w in words])).otherwise(labels)
 
     def at(i: Column) -> Column:
-        spans = F.exists(F.sequence(F.lit(1), F.length(v)), lambda n: F.array_join(F.slice(tokens, i, n), "") == v)
         token = F.get(tokens, i - 1)
+        spans = F.exists(F.sequence(F.lit(1), F.length(v)), lambda n: F.array_join(F.slice(tokens, i, n), "") == v)
         rest = F.substr(token, F.length(v) + 1)
         glued = v.rlike("^[0-9]+$") & token.startswith(v) & rest.rlike("^[a-z%]+[a-z0-9]*$")
         before = F.slice(tokens, F.greatest(F.lit(1), i - LABEL_WINDOW), F.least(i - 1, F.lit(LABEL_WINDOW)))
         return (spans | glued) & ((F.size(labels) == 0) | F.arrays_overlap(before, labels))
 
-    found = F.when(F.size(tokens) > 0, F.exists(F.sequence(F.lit(1), F.size(tokens)), at)).otherwise(False)
+    every = F.sequence(F.lit(1), F.size(tokens))
+    likely = F.filter(every, lambda i: v.startswith(F.get(tokens, i - 1)) | F.get(tokens, i - 1).startswith(v))
+    found = F.when(F.size(tokens) > 0, F.exists(likely, at)).otherwise(False)
     return F.when(F.coalesce(v, F.lit("")) == "", True).otherwise(found)
 
 
+def printed_on_page(value: Column, page: Column, field: Column) -> Column:
+    """``stands_in`` for a page's text."""
+    return stands_in(value, page_tokens(page), field)
+
+
 def password_ok(password: Column, username: Column) -> Column:
     classes = sum(password.rlike(p).cast("int") for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     return (F.length(password) >= 12) & (F.trim(password) == password) & ~F.contains(F.lower(password), F.lower(username)) & (classes >= 3)

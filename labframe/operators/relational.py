@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from labframe import schema
+from labframe.functions import numbers as N
 from labframe.functions.text import csv_cell
+from labframe.operators import fold
 
 EXPORT_LIMIT = 10_000
 
@@ -37,15 +39,52 @@ def priority() -> list[Column]:
     return [F.col("attention").desc(), F.col("created_at").asc(), F.col("doc_id").asc()]
 
 
-def export_wide(fields: DataFrame, wanted: list[str], by: str = "report_id") -> DataFrame:
-    """One row per report, one group of columns per field; the pivot values are fixed, so no pass looks for them."""
-    cells = [csv_cell(F.last(c, ignorenulls=False)).alias(c) for c in ("value", "unit", "flag")]
-    return fields.groupBy(by).pivot("field_name", wanted).agg(*cells)
+EXPORT_FIELDS = [
+    "patient_name", "patient_id", "date_of_birth", "patient_sex", "specimen_type", "collection_date", "received_date", "glucose", "hemoglobin", "hematocrit",
+    "white_blood_cell_count", "platelet_count",
+]
+EXPORT_BASE = ["document_id", "filename", "status", "uploaded_at", "extractor", "overall_confidence"]
 
 
-def export_nested(fields: DataFrame, by: str = "report_id") -> DataFrame:
-    item = F.struct("field_name", F.struct("value", "unit", "flag", "state").alias("item"))
-    return fields.groupBy(by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(item)))).alias("fields"))
+def final_flag() -> Column:
+    """H or L of the final value against its range; against what is plausible where it has none."""
+    lo, hi = N.plausible(F.col("field_name"))
+    open_ = F.col("lower").isNull() & F.col("upper").isNull()
+    n = F.col("normalized")
+    return F.when(n > F.when(open_, hi).otherwise(F.col("upper")), "H").when(n < F.when(open_, lo).otherwise(F.col("lower")), "L")
+
+
+def export_items(fields: DataFrame) -> DataFrame:
+    """``fields`` of a validated document with ``item``, the nine keys of an exported field: the final value in its canonical
+    unit beside what was printed."""
+    item = F.struct(
+        F.coalesce(F.nullif("normalized_value", F.lit("")), "value").alias("value"), F.coalesce(N.canonical_unit(F.col("field_name")), F.col("unit")).alias("unit"),
+        final_flag().alias("flag"), F.col("value").alias("printed_value"), F.col("unit").alias("printed_unit"), F.col("abnormal_flag").alias("printed_flag"),
+        "reference_range", F.col("state").alias("validation_state"), F.coalesce("is_corrected", F.lit(False)).alias("corrected"),
+    )
+    return fields.withColumn("item", item)
+
+
+def export_wide(items: DataFrame, docs: DataFrame, by: str = "document_id") -> DataFrame:
+    """The CSV export: EXPORT_BASE, then value, unit, flag, reference range and state of each of EXPORT_FIELDS; guarded cells.
+
+    ``items`` has ``by``, field_name, page_num and item; of rows that name a field twice the one of the last page counts. The
+    pivot values are fixed, so no pass looks for them.
+    """
+    last = F.max_by("item", F.struct("page_num", "item.value"))
+    wide = items.groupBy(by).pivot("field_name", EXPORT_FIELDS).agg(last)
+    cells = [
+        csv_cell(F.col(name)[key]).alias(name + suffix)
+        for name in EXPORT_FIELDS for key, suffix in (("value", ""), ("unit", "_unit"), ("flag", "_flag"), ("reference_range", "_reference_range"), ("validation_state", "_state"))
+    ]
+    return docs.join(wide, by, "left").select(*[csv_cell(F.col(c)).alias(c) for c in EXPORT_BASE], *cells)
+
+
+def export_nested(items: DataFrame, by: str = "document_id") -> DataFrame:
+    """The JSON export of a document's fields, nine keys each."""
+    last = items.groupBy(by, "field_name").agg(F.max_by("item", F.struct("page_num", "item.value")).alias("item"))
+    listed = last.filter(F.col("field_name").isin(EXPORT_FIELDS))
+    return listed.groupBy(by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "item"))))).alias("fields"))
 
 
 def guarded_export(docs: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
@@ -120,39 +159,18 @@ def redact(audit: DataFrame, purged: DataFrame) -> DataFrame:
 
 
 def greedy(events: DataFrame, keys: list[str], window_seconds: int, limit: int, inclusive: bool) -> DataFrame:
-    """key, n_events, n_allowed: an event is allowed while fewer than ``limit`` allowed ones lie in the window before it.
-
-    The state keeps the last ``limit`` allowed times only, so it is as small as the limit.
-    """
-    times = F.sort_array(F.collect_list(F.unix_timestamp("ts")))
-    empty = F.struct(F.array().cast("array<bigint>").alias("last"), F.lit(0).cast("bigint").alias("n"))
-
-    def step(acc: Column, t: Column) -> Column:
-        after = (lambda x: x >= t - window_seconds) if inclusive else (lambda x: x > t - window_seconds)
-        full = F.size(F.filter(acc["last"], after)) >= limit
-        grown = F.concat(acc["last"], F.array(t))
-        kept = F.slice(grown, F.greatest(F.lit(1), F.size(grown) - limit + 1), F.lit(limit))
-        return F.when(full, acc).otherwise(F.struct(kept.alias("last"), (acc["n"] + 1).alias("n")))
-
-    return events.groupBy(*keys).agg(F.count("*").alias("n_events"), F.aggregate(times, empty, step, lambda a: a["n"]).alias("n_allowed"))
+    """key, n_events, n_allowed: an event is allowed while fewer than ``limit`` allowed ones lie in the window before it."""
+    timed = events.withColumn("_t", F.unix_timestamp("ts"))
+    kinds = dict(events.dtypes)
+    schema_ = ", ".join([*[f"{k} {kinds[k]}" for k in keys], "n_events long", "n_allowed long"])
+    return fold.ordered_fold(timed, keys, ["_t"], ["_t"], lambda: fold.Window(window_seconds, limit, inclusive), fold.Window.step, schema_)
 
 
 def lockouts(events: DataFrame, failures: int = 5, minutes: int = 15) -> DataFrame:
     """user_id, n_locks, n_refused from failed ('error') and successful ('signup') attempts in order."""
-    tries = F.sort_array(F.collect_list(F.struct(F.unix_timestamp("ts").alias("t"), F.col("event_id"), (F.col("event_type") == "error").alias("bad"))))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("fails"), zero.alias("until"), zero.alias("locks"), zero.alias("refused"))
-
-    def step(a: Column, x: Column) -> Column:
-        locks_now = x["bad"] & (a["fails"] + 1 >= failures)
-        fails = F.when(locks_now | ~x["bad"], zero).otherwise(a["fails"] + 1)
-        until = F.when(locks_now, x["t"] + minutes * 60).otherwise(zero)
-        counted = F.struct(fails.alias("fails"), until.alias("until"), (a["locks"] + locks_now.cast("bigint")).alias("locks"), a["refused"].alias("refused"))
-        refused = F.struct(a["fails"].alias("fails"), a["until"].alias("until"), a["locks"].alias("locks"), (a["refused"] + 1).alias("refused"))
-        return F.when(x["t"] < a["until"], refused).otherwise(counted)
-
-    done = events.filter(F.col("event_type").isin("error", "signup")).groupBy("user_id").agg(F.aggregate(tries, start, step).alias("s"))
-    return done.select("user_id", F.col("s.locks").alias("n_locks"), F.col("s.refused").alias("n_refused"))
+    tries = events.filter(F.col("event_type").isin("error", "signup")).withColumns({"_t": F.unix_timestamp("ts"), "_bad": F.col("event_type") == "error"})
+    out = f"user_id {dict(events.dtypes)['user_id']}, n_locks long, n_refused long"
+    return fold.ordered_fold(tries, ["user_id"], ["_t", "event_id"], ["_t", "_bad"], lambda: fold.Lockout(failures, minutes * 60), fold.Lockout.step, out)
 
 
 def expired_claims(claims: DataFrame, as_of: str, minutes: int = 60) -> DataFrame:
@@ -196,3 +214,64 @@ def outcomes(rows: DataFrame, by: str) -> DataFrame:
         right.alias("n_correct"), F.count_if(F.col("outcome") == "wrong").alias("n_wrong"), F.count_if(F.col("outcome") == "missing").alias("n_missing"),
         F.round(right / F.count("*"), 6).alias("accuracy"),
     )
+
+
+def list_documents(docs: DataFrame, fields: DataFrame, statuses: list[str] | None = None, term: str | None = None, since: str | None = None, until: str | None = None, corrections: DataFrame | None = None) -> DataFrame:
+    """The list's rows: filters, then patient name and id, needs_attention (any field in ATTENTION_STATES), confidence in percent.
+
+    ``fields`` has doc_id, field_id, field_name, value, current_value, state of the current extraction. Filters on the documents
+    come before any join; the fields of what is left are aggregated once.
+    """
+    rows = docs.filter(F.col("status").isin(statuses)) if statuses else docs
+    rows = rows.filter(F.col("created_at") >= F.lit(since).cast("timestamp")) if since else rows
+    rows = rows.filter(F.col("created_at") < F.lit(until).cast("timestamp")) if until else rows
+    names = F.col("field_name").isin("patient_name", "patient_id")
+    of_doc = fields
+    hit = F.lit(False)
+    if term and term.strip():
+        literal = F.lit(term.strip().lower())
+        hit = names & F.coalesce(F.contains(F.lower("value"), literal), F.lit(False))
+        if corrections is not None:
+            found = corrections.filter(F.contains(F.lower("new_value"), literal)).select("field_id", F.lit(True).alias("_hit")).distinct()
+            of_doc = of_doc.join(found, "field_id", "left")
+            hit = hit | (names & F.coalesce("_hit", F.lit(False)))
+    of_doc = of_doc.groupBy("doc_id").agg(
+        F.max(F.when(F.col("field_name") == "patient_name", F.col("current_value"))).alias("patient_name"), F.max(F.when(F.col("field_name") == "patient_id", F.col("current_value"))).alias("patient_id"),
+        F.coalesce(F.bool_or(F.col("state").isin(schema.ATTENTION_STATES)), F.lit(False)).alias("needs_attention"), F.bool_or(hit).alias("_found"))
+    rows = rows.join(of_doc, "doc_id", "left")
+    if term and term.strip():
+        rows = rows.filter(F.contains(F.lower("filename"), F.lit(term.strip().lower())) | F.coalesce("_found", F.lit(False)))
+    return rows.withColumns({"needs_attention": F.coalesce("needs_attention", F.lit(False)), "overall_confidence": F.round(F.col("overall_confidence") * 100, 1)}).drop("_found", "attention")
+
+
+def after_local_day(until_day: str, zone: str) -> Column:
+    """The first moment behind a day in a reader's own time zone: the end of a closed range of days."""
+    return F.to_utc_timestamp(F.date_add(F.lit(until_day).cast("date"), 1).cast("timestamp"), zone)
+
+
+def next_target(queue: DataFrame, current_id: int) -> DataFrame:
+    """The first document of the review queue other than the one at hand."""
+    return page(queue.filter(F.col("doc_id") != current_id), priority(), 1, 1)
+
+
+def latency_histogram(timings: DataFrame, bounds: list[float]) -> DataFrame:
+    """le, n: cumulative counts of seconds up to each bound, the last one without bound."""
+    bars = [F.struct(F.lit(str(b)).alias("le"), F.count_if(F.col("seconds") <= b).alias("n")) for b in bounds]
+    counts = timings.agg(F.array(*bars, F.struct(F.lit("inf").alias("le"), F.count("seconds").alias("n"))).alias("bars"))
+    return counts.select(F.explode("bars").alias("b")).select("b.*")
+
+
+def gates(correct: DataFrame, accepted_right: DataFrame, fields: float = 0.97, precision: float = 1.0, share: float = 0.5) -> DataFrame:
+    """gate, value, passed. ``correct``: outcome per field. ``accepted_right``: accepted and all_correct per document."""
+    a = correct.agg((F.count_if(F.col("outcome") == "correct") / F.count("*")).alias("value")).select(F.lit("fields").alias("gate"), "value")
+    b = accepted_right.agg((F.count_if(F.col("accepted") & F.col("all_correct")) / F.count_if("accepted")).alias("precision"), (F.count_if("accepted") / F.count("*")).alias("share"))
+    both = a.unionByName(b.unpivot([], ["precision", "share"], "gate", "value"))
+    least = F.when(F.col("gate") == "fields", fields).when(F.col("gate") == "precision", precision).otherwise(share)
+    return both.select("gate", F.round("value", 6).alias("value"), (F.coalesce("value", F.lit(0.0)) >= least).alias("passed"))
+
+
+def case_outcomes(got: DataFrame, truth: DataFrame, by: str) -> DataFrame:
+    """by, field_name, outcome: correct, wrong or missing. Results within tolerance are correct."""
+    joined = truth.join(got.select(by, "field_name", F.col("normalized_value").alias("got")), [by, "field_name"], "left")
+    blank = F.coalesce(F.trim("got"), F.lit("")) == ""
+    return joined.select(by, "field_name", F.when(blank, "missing").when(N.tolerance_match(F.col("got"), F.col("truth")), "correct").otherwise("wrong").alias("outcome"))

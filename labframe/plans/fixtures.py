@@ -76,6 +76,32 @@ SELECT vec_id, label, CAST(vec_id % 3 + 1 AS INT) AS page, vec_id % 101 AS confi
 FROM embeddings
 """
 
+RPT_DOCS = """
+SELECT r.report_id, o.o_orderkey, o.printed, o.collected, o.received, o.dob
+FROM (SELECT DISTINCT event_id {div} 5 AS report_id FROM events) r LEFT JOIN (""" + RPT_DATES + """) o ON o.o_orderkey = r.report_id
+"""
+
+RPT_HEADER = """
+SELECT report_id, field_name, value FROM (
+  SELECT report_id, 'patient_name' AS field_name, CASE WHEN report_id % 7 = 0 THEN 'maria Lopez' ELSE 'Jane Roe' END AS value FROM rpt_docs_ d1
+  UNION ALL SELECT report_id, 'patient_id', CASE WHEN report_id % 11 <> 0 THEN concat('A-', CAST(report_id AS STRING)) END FROM rpt_docs_ d2
+  UNION ALL SELECT report_id, 'patient_sex', CASE report_id % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'F' ELSE 'Unknown' END FROM rpt_docs_ d3
+  UNION ALL SELECT report_id, 'specimen_type', 'whole blood' FROM rpt_docs_ d4
+  UNION ALL SELECT report_id, 'date_of_birth', CAST(dob AS STRING) FROM rpt_docs_ d5
+  UNION ALL SELECT report_id, 'collection_date', printed FROM rpt_docs_ d6
+  UNION ALL SELECT report_id, 'received_date', CASE WHEN report_id % 31 = 0 THEN '31/31/2020' ELSE CAST(received AS STRING) END FROM rpt_docs_ d7
+) h WHERE value IS NOT NULL
+""".replace("rpt_docs_", "(" + RPT_DOCS + ")")
+
+#: Requests for reviews: twenty users, some fifty documents, an admin among the users.
+REQUESTS = """
+SELECT CAST(event_id % 53 AS BIGINT) AS document_id, event_id AS seq, event_id * 420 AS t, (event_id * 7) {div} 3 % 20 AS user_id, (event_id * 7) {div} 3 % 20 = 0 AS admin,
+  CASE event_type WHEN 'click' THEN 'claim' WHEN 'view' THEN 'heartbeat' WHEN 'purchase' THEN 'claim' WHEN 'error' THEN 'release'
+       ELSE CASE WHEN event_id % 5 = 0 THEN 'approve' WHEN event_id % 5 = 1 THEN 'reject' ELSE 'claim' END END AS action,
+  CASE WHEN event_id % 3 = 0 THEN 'unreadable' WHEN event_id % 3 = 1 THEN ' ' END AS reason
+FROM events
+"""
+
 SPARK = {
     "div": "div", "sha": "sha2(d.text, 256)", "minutes": "make_dt_interval(0, 0, CAST(d.doc_id * 37 AS INT))", "iso": "date_format(collected, 'yyyy-MM-dd')",
     "mm": "date_format(collected, 'MM')", "dd": "date_format(collected, 'dd')", "yy": "date_format(collected, 'yyyy')", "mon": "date_format(collected, 'MMM')",
@@ -88,7 +114,7 @@ DUCK = {
 }
 VIEWS = {
     "rpt_fields": RPT_FIELDS, "doc_catalog": DOC_CATALOG, "rpt_dates": RPT_DATES, "corrections": CORRECTIONS, "jobs": JOBS, "audit": AUDIT,
-    "eval_rows": EVAL, "boxes": BOXES,
+    "eval_rows": EVAL, "boxes": BOXES, "rpt_docs": RPT_DOCS, "rpt_header": RPT_HEADER, "requests": REQUESTS,
 }
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "labels", "conversations"]
 

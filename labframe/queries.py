@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,71 +9,20 @@ from labframe import schema
 from labframe.functions import dates as D
 from labframe.functions import numbers as N
 from labframe.functions import text as X
-from labframe.operators import extract as E
 from labframe.operators import relational as R
 from labframe.operators import validate as V
 from labframe.operators import layout as L
 from labframe.plans.fixtures import duck, view
+from labframe.registry import DECIDED as _DECIDED
+from labframe.registry import QUERIES, SQL, query
 from labframe.sources import files as S
 from labframe.streaming import streams as T
 
 AS_OF = "2024-01-31"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 # The numeric decision in SQL, on the derived fields ---------------------------------------------------------------------
 
-_DECIDED = duck("rpt_fields") + r""", n1 AS (
-  SELECT *, try_cast(nullif(regexp_extract(value, '-?[0-9]+(\.[0-9]+)?'), '') AS DECIMAL(18,6)) AS raw,
-    CASE field_name WHEN 'glucose' THEN CASE unit WHEN 'mg/dL' THEN 1 WHEN 'mmol/L' THEN 18.016 END WHEN 'hemoglobin' THEN CASE unit WHEN 'g/dL' THEN 1 WHEN 'g/L' THEN 0.1 END
-      WHEN 'hematocrit' THEN CASE unit WHEN '%' THEN 1 WHEN 'L/L' THEN 100 END ELSE CASE unit WHEN 'x10^3/uL' THEN 1 WHEN '/uL' THEN 0.001 END END::DECIMAL(9,6) AS factor,
-    CASE field_name WHEN 'glucose' THEN 10 WHEN 'hemoglobin' THEN 2 WHEN 'hematocrit' THEN 5 WHEN 'white_blood_cell_count' THEN 0.01 ELSE 1 END AS p_lo,
-    CASE field_name WHEN 'glucose' THEN 2000 WHEN 'hemoglobin' THEN 25 WHEN 'hematocrit' THEN 75 WHEN 'white_blood_cell_count' THEN 1000 ELSE 3000 END AS p_hi,
-    CASE WHEN age < 18 THEN NULL ELSE CASE field_name WHEN 'glucose' THEN 70 WHEN 'hemoglobin' THEN CASE sex WHEN 'M' THEN 13.5 ELSE 12 END
-      WHEN 'hematocrit' THEN CASE sex WHEN 'M' THEN 41 ELSE 36 END WHEN 'white_blood_cell_count' THEN 4.5 ELSE 150 END END AS b_lo,
-    CASE WHEN age < 18 THEN NULL ELSE CASE field_name WHEN 'glucose' THEN 100 WHEN 'hemoglobin' THEN CASE sex WHEN 'F' THEN 15.5 ELSE 17.5 END
-      WHEN 'hematocrit' THEN CASE sex WHEN 'F' THEN 44 ELSE 50 END WHEN 'white_blood_cell_count' THEN 11 ELSE 450 END END AS b_hi
-  FROM rpt_fields
-), n2 AS (
-  SELECT *, CASE WHEN unit IS NULL AND field_name IN ('white_blood_cell_count', 'platelet_count') AND raw >= 1000 THEN 0.001 WHEN unit IS NULL THEN 1 ELSE factor END::DECIMAL(9,6) AS scale
-  FROM n1
-), n3 AS (
-  SELECT *, round(raw * coalesce(scale, 1), 6)::DECIMAL(18,6) AS normalized,
-    CASE WHEN reference_range IS NULL THEN b_lo ELSE regexp_extract(reference_range, '^([0-9.]+)', 1)::DECIMAL(18,6) * scale END AS lower,
-    CASE WHEN reference_range IS NULL THEN b_hi ELSE regexp_extract(reference_range, '([0-9.]+)$', 1)::DECIMAL(18,6) * scale END AS upper,
-    CASE WHEN reference_range IS NOT NULL THEN 'report' WHEN b_lo IS NOT NULL THEN 'adult' END AS basis
-  FROM n2
-), n4 AS (
-  SELECT *, CASE WHEN normalized > upper THEN 'H' WHEN normalized < lower THEN 'L' END AS direction FROM n3
-), decided AS (
-  SELECT *, CASE WHEN value IS NULL THEN 'MISSING' WHEN raw IS NULL THEN 'INVALID_FORMAT' WHEN unit IS NOT NULL AND factor IS NULL THEN 'UNRECOGNIZED_UNIT'
-    WHEN unit IS NULL AND field_name IN ('glucose', 'hemoglobin') THEN 'UNRECOGNIZED_UNIT' WHEN normalized < p_lo OR normalized > p_hi THEN 'EXTREME_VALUE'
-    WHEN basis IS NULL THEN 'NO_REFERENCE_RANGE' WHEN normalized > 4 * upper OR normalized * 4 < lower THEN 'EXTREME_VALUE'
-    WHEN direction IS NOT NULL OR abnormal_flag IS NOT NULL THEN 'OUTSIDE_REFERENCE_RANGE' ELSE 'VALID' END AS state
-  FROM n4
-), flagged AS (
-  SELECT * EXCLUDE (state), CASE WHEN state IN ('VALID', 'OUTSIDE_REFERENCE_RANGE') AND bool_or(abnormal_flag IS NOT NULL) OVER (PARTITION BY report_id)
-    AND CASE WHEN basis = 'report' THEN abnormal_flag IS DISTINCT FROM direction ELSE coalesce(abnormal_flag <> direction, false) END THEN 'FLAG_MISMATCH' ELSE state END AS state
-  FROM decided
-), scored AS (
-  SELECT *, round(confidence / 100.0 * CASE WHEN state IN ('MISSING', 'INVALID_FORMAT') THEN 0.5 ELSE 1 END, 4)::DOUBLE AS conf FROM flagged
-), cat AS (
-  SELECT *, CASE WHEN conf >= 0.9 THEN 'HIGH' WHEN conf >= 0.7 THEN 'REVIEW_RECOMMENDED' ELSE 'LOW' END AS category FROM scored
-)
-"""
-
-
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
     return V.decide_numbers(view(spark, sf, "rpt_fields"))
 
@@ -183,46 +130,12 @@ def q_date_state(spark, sf):
 
 # Extraction from text -----------------------------------------------------------------------------------------------------
 
-def _pages(spark: SparkSession, sf: str) -> DataFrame:
-    return E.report_pages(view(spark, sf, "rpt_fields"))
-
-
-@query(duck("rpt_fields") + r"""SELECT report_id, field_name, value, unit, abnormal_flag AS flag, reference_range AS ref
-FROM rpt_fields WHERE value IS NOT NULL AND value <> 'pending' AND (unit IS DISTINCT FROM 'furlongs') AND NOT (unit = '/uL' AND FALSE)""")
-def q_extract_results(spark, sf):
-    got = E.extract_results(_pages(spark, sf), "report_id")
-    known = view(spark, sf, "rpt_fields").filter("coalesce(unit, '') = 'furlongs'").select("report_id", "field_name")
-    return got.join(known, ["report_id", "field_name"], "left_anti").select("report_id", "field_name", "value", "unit", "flag", "ref")
-
-
-@query("""SELECT o_orderkey, field_name, value FROM (SELECT o_orderkey, unnest(['patient_name', 'patient_id', 'patient_sex', 'specimen_type', 'collection_date']) AS field_name,
-  unnest(['Jane Roe', 'A-' || o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN 'male' ELSE 'F' END, 'whole blood', strftime(o_orderdate, '%Y-%m-%d')]) AS value FROM orders)""")
-def q_extract_header(spark, sf):
-    pages = spark.read.parquet(f"{sf}/orders.parquet").selectExpr("o_orderkey", "1 as page_num", """concat('Physician Name: Dr Rao\\nPatient Name: Jane Roe  DOB: unknown\\nMRN # A-', o_orderkey,
-      '\\nSex: ', if(o_custkey % 2 = 0, 'male', 'F'), '\\nSpecimen Type: whole blood\\nCollected on ', date_format(o_orderdate, 'yyyy-MM-dd'), '\\nReceived: pending') as text""")
-    return E.extract_header(pages, "o_orderkey").select("o_orderkey", "field_name", "value")
-
-
-@query(duck("rpt_fields") + """SELECT report_id, CAST(CASE WHEN value IS NULL OR value = 'pending' THEN 2 ELSE 1 END AS INT) AS page_num FROM rpt_fields WHERE field_name = 'glucose'""")
-def q_first_page_wins(spark, sf):
-    return E.extract_results(_pages(spark, sf), "report_id", ["glucose"], repeat_on_page_2=True).select("report_id", "page_num")
-
-
 @query("SELECT c_custkey, regexp_matches(c_name, '[0-9]') AS misread, upper(regexp_replace(lower(c_name), '[^0-9a-z]+', '', 'g')) AS squashed FROM customer")
 def q_name_misread(spark, sf):
     c = spark.read.parquet(f"{sf}/customer.parquet")
     return c.select("c_custkey", X.name_misread(F.col("c_name")).alias("misread"), F.upper(X.squash(F.col("c_name"))).alias("squashed"))
 
 
-@query(duck("rpt_fields") + """SELECT event_id, true AS agrees, CASE WHEN value = 'pending' THEN NULL ELSE false END AS agrees_elsewhere FROM rpt_fields WHERE value IS NOT NULL""")
-def q_source_agreement(spark, sf):
-    f = view(spark, sf, "rpt_fields").filter("value is not null")
-    line = F.concat_ws(" ", F.lit("Result of"), E.label(F.col("field_name")), F.col("value"), F.col("unit"))
-    other = F.concat_ws(" ", F.lit("Result of cholesterol"), F.col("value"), F.col("unit"))
-    return f.select("event_id", X.printed_on_page(F.col("value"), line, F.col("field_name")).alias("agrees"),
-                    F.when(F.col("value") != "pending", X.printed_on_page(F.col("value"), other, F.col("field_name"))).alias("agrees_elsewhere"))
-
-
 # Catalogue ------------------------------------------------------------------------------------------------------------------
 
 _CAT = duck("doc_catalog")
@@ -305,29 +218,10 @@ def q_foreign_corrections(spark, sf):
     return R.foreign_corrections(view(spark, sf, "corrections"), own).select("field_id", "seq")
 
 
-def _export(spark: SparkSession, sf: str) -> DataFrame:
-    return _decided(spark, sf).select("report_id", "field_name", F.coalesce(N.format_number(F.col("normalized")), F.col("value")).alias("value"),
-                                      F.coalesce(N.canonical_unit(F.col("field_name")), F.col("unit")).alias("unit"), F.col("direction").alias("flag"), "state")
-
-
 _SHOWN = r"coalesce(regexp_replace(normalized::DECIMAL(18,3)::VARCHAR, '\.?0+$', ''), value)"
 _UNIT = "CASE field_name WHEN 'glucose' THEN 'mg/dL' WHEN 'hemoglobin' THEN 'g/dL' WHEN 'hematocrit' THEN '%' ELSE 'x10^3/uL' END"
 
 
-@query(_DECIDED + "SELECT report_id, " + ", ".join(
-    f"coalesce(max({_SHOWN}) FILTER (field_name = '{f}'), '') AS {f}_value, coalesce(max({_UNIT}) FILTER (field_name = '{f}'), '') AS {f}_unit, coalesce(max(direction) FILTER (field_name = '{f}'), '') AS {f}_flag"
-    for f in schema.NUMERIC_FIELDS) + " FROM decided GROUP BY report_id")
-def q_export_wide(spark, sf):
-    return R.export_wide(_export(spark, sf), schema.NUMERIC_FIELDS).fillna("")
-
-
-@query(_DECIDED + f"SELECT report_id, field_name, {_SHOWN} AS value, {_UNIT} AS unit, direction AS flag, state FROM decided")
-def q_export_nested(spark, sf):
-    nested = R.export_nested(_export(spark, sf))
-    item = "map<string,struct<value:string,unit:string,flag:string,state:string>>"
-    return nested.select("report_id", F.explode(F.from_json("fields", item)).alias("field_name", "i")).select("report_id", "field_name", "i.*")
-
-
 @query("""SELECT doc_id, CASE WHEN regexp_matches(t, '^[=+@\t\r]') OR (starts_with(t, '-') AND try_cast(t AS DOUBLE) IS NULL) THEN '''' || t ELSE t END AS cell
 FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN '=' WHEN 1 THEN '-' WHEN 2 THEN '-1' WHEN 3 THEN '@' WHEN 4 THEN '+' ELSE '' END || CASE WHEN doc_id % 6 = 2 THEN '' ELSE lang END AS t FROM documents)""")
 def q_export_cells(spark, sf):
@@ -533,3 +427,6 @@ def q_stream_view_throttle(spark, sf):
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL")
 def q_stream_daily_counts(spark, sf):
     return T.daily_counts(spark, sf)
+
+
+from labframe import queries_flow  # noqa: E402, F401  registers its queries

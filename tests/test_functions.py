@@ -107,6 +107,49 @@ def test_result_cells(spark, line, want):
     assert (tuple(rows[0][c] for c in ("value", "unit", "flag", "ref")) if rows else None) == want
 
 
+HEADER = "Patient Name: Aarav Mehta\nPatient ID: P-10293\nDOB: 1980-04-12 Sex: Male\nSpecimen Type: Blood\nCollection Date: 2026-01-10 Received Date: 2026-01-11\n"
+RESULTS = "Glucose 90 mg/dL 70 - 100\nHemoglobin 14.5 g/dL 13.5 - 17.5\nHematocrit 44.0 % 41 - 50\nWBC 7.5 K/uL 4.5 - 11.0\nPlatelets 250 K/uL 150 - 450\n"
+LAYOUTS = {
+    "clean": (HEADER + RESULTS, {"patient_id": "P-10293", "glucose": "90", "patient_sex": "Male", "date_of_birth": "1980-04-12", "received_date": "2026-01-11", "specimen_type": "Blood"}),
+    "id number": (HEADER.replace("Patient ID: P-10293", "Patient ID Number: P-10293"), {"patient_id": "P-10293"}),
+    "mrn": (HEADER.replace("Patient ID: P-10293", "MRN No. 778812"), {"patient_id": "778812"}),
+    "blank id": (HEADER.replace("P-10293", ""), {"patient_id": None, "date_of_birth": "1980-04-12"}),
+    "physician": ("Physician Name: Dr Rao\n" + HEADER, {"patient_name": "Aarav Mehta"}),
+    "name ends its line": (HEADER.replace("Aarav Mehta", "Aarav Mehta\nComplete Blood Count"), {"patient_name": "Aarav Mehta"}),
+    "name before a label": ("Patient: Mehta, Aarav, DOB 01/02/1980\n", {"patient_name": "Mehta, Aarav", "date_of_birth": "01/02/1980"}),
+    "range only": (RESULTS.replace("14.5 g/dL 13.5 - 17.5", "13.5 - 17.5 g/dL"), {"hemoglobin": None, "hematocrit": "44.0"}),
+    "other analytes": ("Mean Cell Hemoglobin 24.0 pg 27 - 33\nEstimated Average Glucose 140 mg/dL\nHemoglobin A1c 5.5 %\n" + RESULTS, {"hemoglobin": "14.5", "glucose": "90"}),
+    "one line": ((HEADER + RESULTS).replace("\n", " "), {"patient_name": "Aarav Mehta", "platelet_count": "250", "white_blood_cell_count": "7.5", "collection_date": "2026-01-10"}),
+    "empty": ("", {"glucose": None}),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_layouts(spark, layout):
+    text, want = LAYOUTS[layout]
+    got = {r.field_name: r.value for r in E.extract_fields(spark.createDataFrame([(1, 1, text)], "d int, page_num int, text string"), "d").collect()}
+    assert {k: got.get(k) for k in want} == want
+
+
+@pytest.mark.parametrize(("line", "field", "want"), [
+    ("Glucose 12.0 3.9 - 5.6 mmol/L", "glucose", ("12.0", "mmol/L", None, "3.9 - 5.6")), ("Glucose 90 70 - 100", "glucose", ("90", None, None, "70 - 100")),
+    ("Glucose 5.5 mmol/1", "glucose", ("5.5", "mmol/1", None, None)), ("Glucose, fasting: 182H mg/dL (70 - 100)", "glucose", ("182", "mg/dL", "H", "70 - 100")),
+    ("Hct 0.42 L/L", "hematocrit", ("0.42", "L/L", None, None)), ("WBC 7.5 x10^3/µL low", "white_blood_cell_count", ("7.5", "x10^3/µL", "LOW", None)),
+    ("Platelets 250,000 /uL >= 150,000", "platelet_count", ("250,000", "/uL", None, ">= 150,000")), ("Platelet Count 250 109/L", "platelet_count", ("250", "109/L", None, None)),
+    ("Glucose 12.5.3 mg/dL", "glucose", None), ("Glucose 90 High Sensitivity", "glucose", ("90", None, "HIGH", None)),
+])
+def test_cells_of_all_shapes(spark, line, field, want):
+    rows = E.extract_results(spark.createDataFrame([(1, 1, line)], "d int, page_num int, text string"), "d", [field]).collect()
+    assert (tuple(rows[0][c] for c in ("value", "unit", "flag", "ref")) if rows else None) == want
+
+
+def test_boxes_of_a_value(spark):
+    pages = spark.createDataFrame([(1, 1, "Patient Name: Jane Roe\nGlucose: 92 mg/dL 70 - 100")], "d int, page_num int, text string")
+    words = E.words_of(pages, "d").withColumns({"confidence": F.lit(90.0) + F.col("nth"), "box": F.array(F.col("nth") * 0.1, F.col("line_no") * 0.03, F.lit(0.08), F.lit(0.02))})
+    got = {r.field_name: (r.confidence, [round(x, 6) for x in r.box]) for r in E.field_boxes(E.extract_fields(pages, "d"), words, "d").collect()}
+    assert got == {"patient_name": (92.5, [0.2, 0.0, 0.18, 0.02]), "glucose": (91.5, [0.1, 0.03, 0.18, 0.02])}
+
+
 def test_rows_anchor_on_their_first_word(spark):
     words = [("b", 0.5, 0.101, 0.1, 0.02), ("a", 0.1, 0.10, 0.1, 0.02), ("d", 0.5, 0.14, 0.1, 0.02), ("c", 0.1, 0.141, 0.1, 0.02)]
     df = spark.createDataFrame([(words,)], "w array<struct<text:string,x:double,y:double,w:double,h:double>>")
