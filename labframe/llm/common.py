@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +57,19 @@ def words_col(text: str = "text"):
 def split_words(text: str | None) -> list[bytes]:
     """The same words in Python, as UTF-8 bytes."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def whole_runs(batches: Iterator[pd.DataFrame], names: list[str], handle: Callable[[pd.DataFrame], pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Calls ``handle`` with frames that hold whole runs of equal ``names``; the batches are sorted by them."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        same = (batch[names] == batch[names].iloc[-1]).all(axis=1).to_numpy()
+        cut = len(same) - (len(same) if same.all() else int(np.argmin(same[::-1])))
+        if cut or (held and not (held[-1][names].iloc[-1] == batch[names].iloc[-1]).all()):
+            yield handle(pd.concat([*held, batch.iloc[:cut]]))
+            held = []
+        held.append(batch.iloc[cut:])
+    if held:
+        yield handle(pd.concat(held))

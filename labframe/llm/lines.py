@@ -10,7 +10,9 @@ there: these lines are not indexed, and equal ones form a class.
 
 Equal lines are one line before they are indexed, and each task of the first pass emits a line once, so a line that stands
 in every document costs a few rows per task. Inside a meeting group only a spanning forest of the links is emitted. In
-large groups a filter on character counts comes before the verification; it loses no link.
+large groups a filter on character counts comes before the verification; it loses no link. A group of more than ``GROUP_LIMIT``
+lines is dealt again: probes and entries are cut into blocks by hash, and each pair of blocks is a group of its own, so no task
+holds more than one block of each and no pair is lost.
 
 Cases: lines are compared without white space at their ends; blank lines stay, as they only part others. Null texts have no
 lines. Repeated rows (same doc_id and text) are one document and lose the same lines. Null doc_ids come
@@ -26,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labframe.llm.common import materialize
+from labframe.llm.common import materialize, whole_runs
 from labframe.llm.components import components
 
 EDITS = 2
@@ -37,6 +39,8 @@ SEED = 42
 SEEN_LINES = 1_000_000
 #: Groups from this size on are filtered by character counts first.
 FILTER_FROM = 24
+#: Groups above this size are cut into blocks of half of it.
+GROUP_LIMIT = 4096
 #: Ids of lines that meet others: up to so many (8 bytes each) are sent to all executors; more are joined by shuffle.
 BROADCAST_IDS = 250_000
 _BLANKS = " \t\n\x0b\f\r"
@@ -234,18 +238,28 @@ def group_links(ids: np.ndarray, lines: list[str], probe: np.ndarray) -> tuple[l
     return u, v
 
 
-def links(docs: DataFrame, text: str = "text") -> DataFrame:
+def dealt(met: DataFrame, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """``met`` with the cell (p, e) of each row: a probe goes to all blocks of entries, an entry to all blocks of probes."""
+    sizes = met.groupBy("key").count().filter(F.col("count") > group_limit)
+    sizes = sizes.select("key", F.ceil(F.col("count") / max(1, group_limit // 2)).cast("int").alias("blocks"))
+    rows = met.join(sizes, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", "id", "probe", F.when(F.col("probe"), F.col("own")).otherwise(F.col("other")).alias("p"), F.when(F.col("probe"), F.col("other")).otherwise(F.col("own")).alias("e"))
+
+
+def links(docs: DataFrame, text: str = "text", group_limit: int = GROUP_LIMIT) -> DataFrame:
     """u, v: hashes of lines whose links connect every class."""
     met = materialize(meetings(docs, text), "meeting")
     ids = materialize(met.select("id").distinct(), "ids")
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     lines = occurrences(docs, text, MIN_CHARS).select(_line_hash(F.col("line")).alias("id"), "line")
     lines = lines.join(F.broadcast(ids) if small else ids, "id", "left_semi").distinct()
-    grouped = met.join(lines, "id").repartition("key").sortWithinPartitions("key")
+    cell = ["key", "p", "e"]
+    grouped = dealt(met, group_limit).join(lines, "id").repartition(*cell).sortWithinPartitions(*cell)
 
     def verify(frame: pd.DataFrame) -> pd.DataFrame:
-        k = frame.key.to_numpy()
-        starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))).tolist()
+        k = frame[cell].to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]).any(axis=1)))).tolist()
         u, v = [], []
         for lo, hi in zip(starts, [*starts[1:], len(k)], strict=True):
             part = frame.iloc[lo:hi]
@@ -254,7 +268,7 @@ def links(docs: DataFrame, text: str = "text") -> DataFrame:
             v += b
         return pd.DataFrame({"u": np.array(u, dtype=np.int64), "v": np.array(v, dtype=np.int64)})
 
-    return grouped.mapInPandas(lambda batches: _runs(batches, verify), "u long, v long")
+    return grouped.mapInPandas(lambda batches: whole_runs(batches, cell, verify), "u long, v long")
 
 
 def line_classes(docs: DataFrame, text: str = "text") -> DataFrame:
