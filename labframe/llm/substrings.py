@@ -5,10 +5,10 @@ windows have equal fingerprints and neighbouring windows mostly share one: about
 
 The index is a list of immutable runs, tables of (fp, doc_id) bucketed and sorted by fp. A new batch is written as a run and
 merge-joined with the runs before it, bucket by bucket, without moving them. Postings whose fingerprint stands in two
-documents are noted. When there are more than ``FAN_IN`` runs, they are compacted into one.
-
-Noted postings only say where to look. They are verified on the texts: windows under a noted fingerprint are compared by two
-independent 64-bit hashes of their words, and a window is a repeat if a document with a smaller doc_id holds it too.
+documents are noted. Noted postings only say where to look: they are verified on the texts before the batch counts as indexed.
+Windows under a noted fingerprint are compared by two independent 64-bit hashes of their words, and a window is a repeat if a
+document with a smaller doc_id holds it too. Then, when there are more than ``FAN_IN`` runs, they are compacted into one, which
+the next batch is joined with. An index that was given a name stays in the warehouse and can be opened again for later batches.
 
 Documents whose whole text stands in a document with a smaller doc_id are set aside before: all their windows repeat.
 
@@ -29,12 +29,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labframe.llm.common import materialize, remove_path, scratch_path, split_words
+from labframe.llm.common import materialize, split_words
 from labframe.llm.lines import _runs
 
 WINDOW = 13
 GRAM = 5
-FAN_IN = 2
+FAN_IN = 1
 #: Copies of whole texts, 16 bytes each: up to so many are sent to all executors; more are joined by shuffle.
 BROADCAST_COPIES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -90,12 +90,19 @@ def postings(docs: DataFrame) -> DataFrame:
 class FingerprintIndex:
     """Runs of postings in the warehouse. ``add`` takes one batch and gives the postings, old and new, to be verified."""
 
-    def __init__(self, spark: SparkSession, fan_in: int = FAN_IN):
+    def __init__(self, spark: SparkSession, name: str | None = None, fan_in: int = FAN_IN):
+        """``name`` opens the index of this name, or begins it. Its number of buckets stays what it was at the beginning."""
         self.spark, self.fan_in = spark, fan_in
-        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"labframe_fp_{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.written = 0
+        self.name = f"labframe_fp_{name or uuid.uuid4().hex}"
+        found = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")]
+        numbered = sorted((int(t.rpartition("_")[2]), t) for t in found)
+        self.runs = [t for _, t in numbered]
+        self.written = numbered[-1][0] + 1 if numbered else 0
+        self.buckets = self._buckets_of(self.runs[0]) if self.runs else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _buckets_of(self, table: str) -> int:
+        rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Num Buckets'").collect()
+        return int(rows[0]["data_type"])
 
     def _write_run(self, rows: DataFrame) -> str:
         table = f"{self.name}_{self.written}"
@@ -245,6 +252,19 @@ def cut_texts(docs: DataFrame, copies: DataFrame, repeats: DataFrame, with_text:
     return marked.join(lists, "doc_id", "left").select("doc_id", "text", "is_copy", "hs").mapInPandas(cut, RESULT)
 
 
+def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame) -> DataFrame:
+    """doc_id, h1 of the repeated windows among the documents of a batch and those that share fingerprints with it; stored.
+
+    ``history`` has the texts (doc_id, text) of the batch and of all batches before. The batch is indexed, verified on the
+    texts, and only then the runs are compacted. Batches may come in any order of doc_id.
+    """
+    noted = materialize(index.add(batch), "noted")
+    repeats = materialize(repeated_windows(history, noted), "repeats")
+    index.compact()
+    _free_shuffles(index.spark)
+    return repeats
+
+
 def dedup_documents(docs: DataFrame, batches: int = 3, with_text: bool = False) -> DataFrame:
     """RESULT for every row of ``docs`` (doc_id, text), indexed in ``batches`` batches in the order of doc_id."""
     spark = docs.sparkSession
@@ -253,17 +273,13 @@ def dedup_documents(docs: DataFrame, batches: int = 3, with_text: bool = False)
     firsts = _with_copies(docs.filter("doc_id is not null"), copies, "left_anti")
     cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     cuts = sorted({int(c) for c in cuts})
-    index = FingerprintIndex(spark)
-    noted_path = scratch_path(spark, "noted")
+    index, repeats = FingerprintIndex(spark), None
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = firsts if lo is None else firsts.filter(F.col("doc_id") >= lo)
-        batch = batch if hi is None else batch.filter(F.col("doc_id") < hi)
-        index.add(batch).write.mode("append").parquet(noted_path)
-        index.compact()
-        _free_shuffles(spark)
-    noted = spark.read.schema("doc_id long, fp long").parquet(noted_path)
-    repeats = materialize(repeated_windows(firsts, noted), "repeats")
+        history = firsts if hi is None else firsts.filter(F.col("doc_id") < hi)
+        batch = history if lo is None else history.filter(F.col("doc_id") >= lo)
+        found = add_batch(index, batch, history)
+        # Ids rise from batch to batch, so documents of earlier batches have no new repeats.
+        found = found if lo is None else found.filter(F.col("doc_id") >= lo)
+        repeats = found if repeats is None else repeats.unionByName(found)
     index.drop()
-    remove_path(spark, noted_path)
-    _free_shuffles(spark)
     return cut_texts(docs, copies, repeats, with_text)
