@@ -5,16 +5,21 @@ proposes neighbours, and relaxed distance pruning keeps an edge only if no kept
 than the factor ``ALPHA``, so the few edges that stay point in different directions. Queries search every shard with a
 beam; the shards' finds are merged by exact scores.
 
-Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm of all
-rows; queries get zero there. Graphs and searches use single precision, the scores returned use double precision on the
-original vectors.
+Largest inner product becomes smallest distance by one more coordinate, sqrt(M^2 - |x|^2) with M the largest norm of the
+shard; queries get zero there. Rows of a shard have norms within a factor of two, so a few very long vectors can't drown the
+others' differences. Each shard sets its beam itself: a sample of its rows is searched with wider and wider beams until the
+finds hold RECALL of what a scan of the shard gives. A shard with no more rows than the beam is scanned. Graphs and searches
+use single precision, the scores returned use double precision on the original vectors.
+
+Shards and the queries that go to them are sorted into the same tasks, each shard before its queries: a graph is read once and
+the queries stream past it.
 
 Cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, on either side. Only
 vectors of equal length are compared; each length has shards of its own. Equal vectors are one node of a graph, which stands
 for its k + 1 smallest ids: more can't be among the k nearest, as ties of score go to the smaller id. Rows that share both
 id and vector count once; rows that share only the id are one query or candidate with several vectors, whose best score
-counts. A query leaves out its own id. With fewer candidates than asked for, all are found: small shards are scanned. Empty
-tables give empty results. Other columns, whatever their names, are ignored.
+counts. A query leaves out its own id. With fewer candidates than asked for, all are found. Empty tables give empty results.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,22 +34,26 @@ from pyspark.sql.window import Window
 
 from labframe.llm.common import materialize
 
-#: Rows in a shard at most, about, and the least number of shards, so that small tables use the cluster too.
-SHARD_ROWS, LEAST_SHARDS = 50_000, 8
-#: Queries that are searched in one group with one shard.
-QUERY_BLOCK = 8192
+#: Rows in a shard at most, about; and the least number of shards where they hold so many rows, so that small tables use the
+#: cluster too.
+SHARD_ROWS, LEAST_SHARDS, LEAST_ROWS = 50_000, 8, 1000
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 48, 72, 1.2
+#: The beam of a shard is doubled until so many sampled rows find this share of their nearest.
+SAMPLE, RECALL = 64, 0.96
 BATCH = 256
-SCAN_ROWS = 256
+#: A table of lengths and norms up to so many rows (40 bytes each) is sent to all executors; a larger one is joined by shuffle.
+BROADCAST_ROWS = 50_000
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """id, vec (array<double>), dim, norm2 of the rows that take part."""
+    """id, vec (array<double>), dim, level of the rows that take part. Norms of one level differ by less than a factor of two."""
     v = F.col(vec_col).cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.filter(F.col(id_col).isNotNull() & F.coalesce(ok, F.lit(False)))
-    norm = F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x)
-    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vec"), F.size(v).alias("dim"), norm.alias("norm2"))
+    most = F.array_max(F.transform(v, F.abs))
+    # Squares are taken of shares of the largest component, so that they can't overflow.
+    level = F.floor(F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2).cast("int")
+    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vec"), F.size(v).alias("dim"), level.alias("level"))
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, asked: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +158,39 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, rows: np.ndarray) -> None:
             graph[nodes[part]] = np.sort(both, axis=1)[:, ::-1][:, :DEGREE] if easy else robust_prune(x, nodes[part], both)
 
 
-def _lifted(vec: pd.Series, norm2: np.ndarray, largest: float) -> np.ndarray:
-    x = np.stack(vec.to_numpy())
-    return np.concatenate([x, np.sqrt(np.maximum(0.0, largest - norm2))[:, None]], axis=1).astype(np.float32)
+def _lifted(exact: np.ndarray) -> np.ndarray:
+    """Rows of a shard, scaled by the largest norm, with the coordinate that makes all norms equal."""
+    x = exact / np.abs(exact).max()
+    norm2 = np.einsum("ij,ij->i", x, x)
+    return (np.concatenate([x, np.sqrt(norm2.max() - norm2)[:, None]], axis=1) / np.sqrt(norm2.max())).astype(np.float32)
+
+
+def _asked(exact: np.ndarray) -> np.ndarray:
+    """Queries as unit vectors with zero in the added coordinate; their length doesn't change an order."""
+    x = exact / np.abs(exact).max(axis=1, keepdims=True)
+    x = x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return np.concatenate([x, np.zeros((len(x), 1))], axis=1).astype(np.float32)
+
+
+def beam_for(x: np.ndarray, graph: np.ndarray, start: int, exact: np.ndarray, k: int, seed: int = 11) -> int:
+    """The beam with which sampled rows of the shard find RECALL of their k nearest, by scores in double precision."""
+    rows = np.random.default_rng(seed).permutation(len(x))[:SAMPLE]
+    unit, q = exact / np.abs(exact).max(), _asked(exact[rows])
+    score = q[:, :-1].astype(np.float64) @ unit.T
+    want = np.argsort(-score, axis=1, kind="stable")[:, :k]
+    least = np.take_along_axis(score, want, 1)[:, -1:]
+    beam = max(SEARCH_BEAM, k)
+    while beam < len(x):
+        found, _ = beam_search(x, graph, start, q, beam)
+        hit = (np.take_along_axis(score, np.where(found < 0, 0, found), 1) >= least) & (found >= 0)
+        if np.minimum(hit.sum(axis=1), k).sum() >= RECALL * want.size:
+            break
+        beam *= 2
+    return beam
 
 
 def members(rows: DataFrame, most: int) -> DataFrame:
-    """rep, id, vec, dim, norm2: of each group of equal vectors the ``most`` smallest ids; rep is the smallest. The ids are
+    """rep, id, vec, dim, level: of each group of equal vectors the ``most`` smallest ids; rep is the smallest. The ids are
     first cut down within salted parts, so a vector that a third of all rows have isn't gathered in one task."""
     salted = Window.partitionBy("vec", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
     whole = Window.partitionBy("vec").orderBy("id")
@@ -163,71 +198,92 @@ def members(rows: DataFrame, most: int) -> DataFrame:
     return some.withColumn("n", F.row_number().over(whole)).withColumn("rep", F.first("id").over(whole)).filter(F.col("n") <= most).drop("n")
 
 
-def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """shard, row, id, vec, norm2, largest, start, edges: one graph per shard, stored. ``rows`` comes from ``usable``."""
-    stats = rows.groupBy("dim").agg(F.count("*").alias("n"), F.max("norm2").alias("largest"))
-    shards = F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.col("n") / shard_rows))
-    dealt = rows.join(F.broadcast(stats), "dim").withColumn("shard", F.col("dim").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id", "vec"), shards))
+def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS, k: int = 20, least_shards: int = LEAST_SHARDS) -> DataFrame:
+    """shard, row, id, vec, start, beam, edges: one graph per shard, stored. ``rows`` comes from ``usable``."""
+    stats = materialize(rows.groupBy("dim", "level").agg(F.count("*").alias("n")), "levels")
+    small = stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    shards = F.greatest(F.ceil(F.col("n") / shard_rows), F.least(F.lit(least_shards), F.ceil(F.col("n") / LEAST_ROWS)))
+    # A shard's number holds the length in its upper half, then the level, then the shard of these.
+    first = F.shiftleft(F.col("dim").cast("long"), 32) + F.shiftleft(F.col("level").cast("long") + 2048, 20)
+    dealt = rows.join(F.broadcast(stats) if small else stats, ["dim", "level"]).withColumn("shard", first + F.pmod(F.xxhash64("id", "vec"), shards))
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        x = _lifted(group.vec, group.norm2.to_numpy(), float(group.largest.iloc[0]))
+        exact = np.stack(group.vec.to_numpy())
+        x = _lifted(exact)
         graph, start = build_graph(x)
-        out = group[["shard", "id", "vec", "norm2", "largest"]].copy()
-        out["row"], out["start"], out["edges"] = np.arange(len(x), dtype=np.int64), start, list(graph.astype(np.int32))
+        out = group[["shard", "id", "vec"]].copy()
+        out["row"], out["start"], out["beam"] = np.arange(len(x), dtype=np.int64), start, beam_for(x, graph, start, exact, k + 1)
+        out["edges"] = list(graph.astype(np.int32))
         return out
 
-    schema = "shard long, id long, vec array<double>, norm2 double, largest double, row long, start long, edges array<int>"
-    return materialize(dealt.groupBy("shard").applyInPandas(build, schema), "graph")
+    return materialize(dealt.select("shard", "id", "vec").groupBy("shard").applyInPandas(build, INDEX), "graph")
+
+
+INDEX = "shard long, id long, vec array<double>, row long, start long, beam long, edges array<int>"
+
+
+def _searched(index: pd.DataFrame, k: int):
+    """A function from queries (id, vec) to finds in one shard."""
+    exact, ids = np.stack(index.vec.to_numpy()), index.id.to_numpy().astype(np.int64)
+    beam, start = int(index.beam.iloc[0]), int(index.start.iloc[0])
+    x, graph = _lifted(exact), np.stack(index.edges.to_numpy()).astype(np.int64)
+
+    def find(queries: pd.DataFrame) -> pd.DataFrame:
+        q = np.stack(queries.vec.to_numpy())
+        if len(x) <= beam:
+            rows = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
+        else:
+            rows, _ = beam_search(x, graph, start, _asked(q), beam)
+        none, safe = rows < 0, np.where(rows < 0, 0, rows)
+        score = np.einsum("qrd,qd->qr", exact[safe], q)
+        best = np.lexsort((ids[safe], -score, none), axis=1)[:, : k + 1]
+        ok = ~np.take_along_axis(none, best, 1)
+        taken, found = np.take_along_axis(score, best, 1), np.take_along_axis(ids[safe], best, 1)
+        query = np.repeat(queries.id.to_numpy().astype(np.int64), best.shape[1]).reshape(best.shape)
+        return pd.DataFrame({"query_id": query[ok], "vec_id": found[ok], "score": taken[ok]})
+
+    return find
 
 
 def search(index: DataFrame, queries: DataFrame, groups: DataFrame, k: int = 20) -> DataFrame:
-    """query_id, rank, vec_id, score. ``queries`` comes from ``usable``; their number is counted to set the blocks.
-    ``groups`` has the ids (id) that each node of the index (rep) stands for."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    shards = index.select("shard").distinct()
-    asked = queries.withColumn("dim_key", F.col("dim").cast("long")).withColumn("block", F.pmod(F.xxhash64("id", "vec"), F.lit(blocks)).cast("int"))
-    # A query goes to the shards of its length: a stated query set against all rows, in blocks.
-    asked = asked.join(F.broadcast(shards.withColumn("dim_key", F.shiftright("shard", 32))), "dim_key")
-    asked = asked.select(F.col("shard").alias("to_shard"), F.col("block").alias("of_block"), "id", "vec")
-    held = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else index.withColumn("block", F.lit(0))
-
-    def find(key: tuple, shard: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        parts = []
-        if len(shard) and len(block):
-            shard = shard.sort_values("row")
-            x = _lifted(shard.vec, shard.norm2.to_numpy(), float(shard.largest.iloc[0]))
-            exact, ids = np.stack(shard.vec.to_numpy()), shard.id.to_numpy()
-            graph = np.stack(shard.edges.to_numpy()).astype(np.int64)
-            asked_exact, asked_ids = np.stack(block.vec.to_numpy()), block.id.to_numpy()
-            for at in range(0, len(block), BATCH):
-                q, qid = asked_exact[at : at + BATCH], asked_ids[at : at + BATCH]
-                if len(x) <= SCAN_ROWS:
-                    rows = np.broadcast_to(np.arange(len(x)), (len(q), len(x)))
-                else:
-                    lifted = np.concatenate([q, np.zeros((len(q), 1))], axis=1).astype(np.float32)
-                    rows, _ = beam_search(x, graph, int(shard.start.iloc[0]), lifted, max(SEARCH_BEAM, k + 1))
-                safe = np.where(rows < 0, 0, rows)
-                score = np.einsum("qrd,qd->qr", exact[safe], q)
-                score[rows < 0] = -np.inf
-                best = np.lexsort((ids[safe], -score), axis=1)[:, : k + 1]
-                s = np.take_along_axis(score, best, 1)
-                i = np.take_along_axis(ids[safe], best, 1)
-                ok = np.isfinite(s)
-                parts.append(pd.DataFrame({"query_id": np.repeat(qid, s.shape[1])[ok.ravel()], "vec_id": i[ok], "score": s[ok]}))
-        return pd.concat(parts) if parts else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-
-    found = asked.groupBy("to_shard", "of_block").cogroup(held.groupBy("shard", "block")).applyInPandas(
-        lambda key, block, shard: find(key, shard, block), "query_id long, vec_id long, score double")
+    """query_id, rank, vec_id, score. ``queries`` comes from ``usable``. ``groups`` has the ids (id) that each node of the
+    index (rep) stands for."""
+    shards = index.select("shard", F.shiftright("shard", 32).cast("int").alias("dim")).distinct()
+    # A query goes to the shards of its length: a stated query set against all rows.
+    asked = queries.join(shards, "dim").select("shard", F.lit(True).alias("query"), F.lit(None).cast("long").alias("row"), "id", "vec")
+    both = index.withColumn("query", F.lit(False)).unionByName(asked, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "query", "row")
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shard, held, finder = None, [], None
+        for batch in batches:
+            for lo, hi in _runs_of(batch[["shard", "query"]].to_numpy()):
+                part = batch.iloc[lo:hi]
+                if part.shard.iloc[0] != shard:
+                    shard, held, finder = part.shard.iloc[0], [], None
+                if not part["query"].iloc[0]:
+                    held.append(part)
+                    continue
+                if finder is None:
+                    finder, held = _searched(pd.concat(held), k), []
+                for at in range(0, len(part), BATCH):
+                    yield finder(part.iloc[at : at + BATCH])
+
+    found = both.mapInPandas(find, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     all_ids = found.withColumnRenamed("vec_id", "rep").join(groups.select("rep", F.col("id").alias("vec_id")), "rep").filter("vec_id <> query_id")
     ranked = all_ids.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def _runs_of(k: np.ndarray) -> list[tuple[int, int]]:
+    edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(k)]
+    return [(lo, hi) for lo, hi in zip(edges, edges[1:], strict=False) if hi > lo]
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = SHARD_ROWS, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """The rows whose vec_id is divisible by ``every`` against all other rows."""
     rows = usable(vectors)
     groups = materialize(members(rows, k + 1), "vectors")
-    nodes = groups.filter("id = rep").dropDuplicates(["id", "vec"]).select("id", "vec", "dim", "norm2")
-    return search(build_index(nodes), rows.filter(F.col("id") % every == 0), groups.select("rep", "id").distinct(), k)
+    nodes = groups.filter("id = rep").dropDuplicates(["id", "vec"]).select("id", "vec", "dim", "level")
+    index = build_index(nodes, shard_rows, k, least_shards)
+    return search(index, rows.filter(F.col("id") % every == 0), groups.select("rep", "id").distinct(), k)
