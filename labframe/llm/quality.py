@@ -2,8 +2,9 @@
 
 Each rule votes good (1), bad (-1) or abstains (0). The votes of all documents are reduced to a histogram of vote patterns
 (at most 3 ** number of rules rows, whatever the corpus holds); expectation-maximisation over that histogram estimates how
-often each rule votes and how often it is right, and every document gets the posterior probability of being good from one
-SQL expression.
+often each rule is right when it votes, and every document gets the posterior probability of being good from one SQL expression.
+Whether a rule abstains doesn't depend on the class in this model, so abstentions are evidence of nothing, in the fit as in the
+posterior.
 
 Cases: a null, empty or blank text has no words, gets zeros and fails the base rule. Long texts are handled whole: repeated
 word triples are found by sorting the triples inside the row. Repeated rows are judged alike and all stay. An empty table
@@ -106,29 +107,33 @@ def votes(stats: Column) -> list[Column]:
     ]
 
 
+#: What a rule that votes is taken to say before anything is seen: P(vote | class), class 1 good, 0 bad.
+START = {1: {1: 0.994, -1: 0.006}, 0: {1: 0.625, -1: 0.375}}
+START_GOOD = 0.8
+
+
 def fit_accuracies(patterns: dict[tuple[int, ...], int], rounds: int = 50, strength: float = 0.05) -> dict:
     """EM over a histogram of vote patterns (bounded by 3 ** rules). Rules are independent given the hidden class.
 
-    Each rule has a table P(vote | class). Pseudo-counts of ``strength`` of all documents hold it near the start: a rule that
-    rarely accuses a good document but sees only some kinds of bad ones. So classes can't swap, and a rule that never speaks
+    Each rule has a table P(vote | class, it votes). Pseudo-counts of ``strength`` of all documents hold it near the start: a rule
+    that rarely accuses a good document but sees only some kinds of bad ones. So classes can't swap, and a rule that never speaks
     keeps its start. Deterministic.
     """
     total = sum(patterns.values())
     k = len(next(iter(patterns))) if patterns else len(RULES)
-    start = {1: {1: 0.845, 0: 0.15, -1: 0.005}, 0: {1: 0.5, 0: 0.2, -1: 0.3}}
-    table = [{c: dict(start[c]) for c in (0, 1)} for _ in range(k)]
-    prior = 0.8
-    extra = max(1.0, strength * total)
+    table = [{c: dict(START[c]) for c in (0, 1)} for _ in range(k)]
+    prior, extra = START_GOOD, max(1.0, strength * total)
     for _ in range(rounds if total else 0):
-        seen = {1: 0.0, 0: 0.0}
-        counts = [{c: {v: extra * start[c][v] for v in (-1, 0, 1)} for c in (0, 1)} for _ in range(k)]
+        good_docs = 0.0
+        counts = [{c: {v: extra * START[c][v] for v in (-1, 1)} for c in (0, 1)} for _ in range(k)]
         for votes_, m in sorted(patterns.items()):
             good = _posterior(votes_, table, prior)
-            for c, share in ((1, good), (0, 1 - good)):
-                seen[c] += m * share
-                for j, v in enumerate(votes_):
-                    counts[j][c][v] += m * share
-        prior = (seen[1] + 0.8 * extra) / (total + extra)
+            good_docs += m * good
+            for j, v in enumerate(votes_):
+                if v:
+                    counts[j][1][v] += m * good
+                    counts[j][0][v] += m * (1 - good)
+        prior = (good_docs + START_GOOD * extra) / (total + extra)
         table = [{c: {v: x / sum(counts[j][c].values()) for v, x in counts[j][c].items()} for c in (0, 1)} for j in range(k)]
     return {"prior": prior, "table": table}
 
@@ -139,7 +144,7 @@ def _posterior(votes_: tuple[int, ...], table: list[dict], prior: float) -> floa
 
 
 def posterior(vote_cols: list[Column], model: dict) -> Column:
-    """P(good | votes). An abstention adds no evidence."""
+    """P(good | votes)."""
     log = F.lit(math.log(model["prior"] / (1 - model["prior"])))
     for v, t in zip(vote_cols, model["table"], strict=True):
         log = log + F.when(v == 1, math.log(t[1][1] / t[0][1])).when(v == -1, math.log(t[1][-1] / t[0][-1])).otherwise(0.0)
