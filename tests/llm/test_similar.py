@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from labframe.llm import similar
 from tests.llm.conftest import document_rows
@@ -58,7 +60,15 @@ def test_near_stage_reaches_all_pairs_of_four_fifths(spark):
     want = kept(rows)
     assert 12 < len(want) < len(rows)
     assert sorted(r.doc_id for r in corpus_pipeline.STAGES[2][1](spark, df, "").collect()) == want
-    assert sorted(r.doc_id for r in similar.keep_one(df, group_limit=4).collect()) == want
+    assert sorted(r.doc_id for r in similar.keep_one(df, group_limit=4, small_group=2).collect()) == want
+    assert sorted(r.doc_id for r in similar.keep_one(df, group_limit=1000, small_group=2).collect()) == want
+
+
+def test_numbers_in_common():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 60 if i < 20 else 400, rng.integers(0, 80))) for i in range(40)]
+    got = similar.common_counts(sets)
+    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(40) for j in range(40) if i != j)
 
 
 def test_near_stage_on_awkward_rows(docs, empty):
