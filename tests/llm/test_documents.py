@@ -33,10 +33,75 @@ def test_quality_counts_and_base_rule(docs):
     assert got == want
 
 
+def counts(t):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_upper."""
+    t, w = t or "", words(t)
+    triples = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    covered = {i + k for i in range(len(w) - 2) for k in range(3) if triples[tuple(w[i : i + 3])] > 1}
+    lines_ = [x for x in t.split("\n") if x.encode().split()]
+    return len(w), sum(len(x.decode()) for x in w), sum(c in "#*$%&|<>" for c in t), len(lines_) - len(set(lines_)), len(covered), len(lines_), sum("A" <= c <= "Z" for c in t)
+
+
+def vote(t):
+    n, chars, symbols, dup, repeat, lines_, upper = counts(t)
+
+    def ratio(a, b, good, bad):
+        return 0 if b <= 0 else -1 if a >= b * bad else 1 if a <= b * good else 0
+
+    long = 0 if n <= 0 else -1 if chars >= n * 7.0 or chars <= n * 3.0 else 1 if n * 4.2 <= chars <= n * 6.2 else 0
+    return [ratio(symbols, n, 0.02, 0.2), ratio(dup, lines_, 0.1, 0.35), ratio(repeat, n, 0.1, 0.3), long, ratio(upper, chars, 0.1, 0.4)]
+
+
+def verdicts(texts):
+    """kept by text, from EM over the documents one by one (no histogram), in probabilities instead of logarithms."""
+    v = np.array([vote(t) for t in texts])
+    right = np.tile([[0.994, 0.006], [0.625, 0.375]], (v.shape[1], 1, 1))  # rule, class (good, bad), vote (good, bad)
+    start, prior, extra = right.copy(), 0.8, max(1.0, 0.05 * len(v))
+
+    def good():
+        like = np.array([prior, 1 - prior]) * np.ones((len(v), 1))
+        for j in range(v.shape[1]):
+            for k, value in enumerate((1, -1)):
+                like[v[:, j] == value] *= right[j, :, k]
+        return like[:, 0] / like.sum(axis=1)
+
+    for _ in range(50):
+        p = good()
+        both = np.stack([p, 1 - p])
+        prior = (p.sum() + 0.8 * extra) / (len(v) + extra)
+        seen = np.stack([np.stack([both @ (v[:, j] == value) for value in (1, -1)], axis=1) for j in range(v.shape[1])]) + extra * start
+        right = seen / seen.sum(axis=2, keepdims=True)
+    fine = {}
+    for t, p in zip(texts, good(), strict=True):
+        n, repeat = counts(t)[0], counts(t)[4]
+        fine[t] = bool(n >= 50 and 100 * repeat <= 50 * n and round(p, 9) >= 0.5)
+    return fine
+
+
+def generated_texts():
+    rng = random.Random(11)
+    out = []
+    for _ in range(120):
+        kind = rng.random()
+        w = [rng.choice(["meeting", "council", "winter", "the", "of", "garden", "SHOUT" if kind < 0.2 else "quiet", "&&&" if 0.2 <= kind < 0.35 else "plain"]) + (str(rng.randrange(99)) if rng.random() < 0.6 else "")
+             for _ in range(rng.randrange(30, 200))]
+        text = "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12))
+        out.append(text + ("\n" + text.split("\n")[0]) * (8 if 0.35 <= kind < 0.5 else 0))
+    return out
+
+
+def test_quality_verdict_against_em_over_single_documents(spark):
+    texts = generated_texts()
+    got = quality.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = verdicts(texts)
+    assert {r.doc_id: r.kept for r in got} == {i: want[t] for i, t in enumerate(texts)}
+    assert 10 < sum(want.values()) < 110 and any(not r.kept and not r.base_failed for r in got)
+
+
 def test_quality_keeps_columns_and_empty_tables(docs, empty):
     kept = quality.filter_quality(docs)
     assert kept.columns == docs.columns and kept.schema["n_tokens"] == docs.schema["n_tokens"]
-    assert {r.doc_id for r in kept.collect()} <= {8, 9, 13, 14}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for i, t in ((r[0], r[1]) for r in document_rows()) if verdicts([r[1] for r in document_rows()])[t])
     assert quality.filter_quality(empty).count() == 0 and quality.score_documents(empty).count() == 0
 
 
@@ -51,6 +116,28 @@ def test_em_finds_precise_rules():
     assert model == quality.fit_accuracies(patterns) and quality.fit_accuracies({})["prior"] == 0.8
 
 
+def test_index_grows_batch_by_batch(spark):
+    rng = random.Random(15)
+    vocabulary = [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(60)]
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(i, f"{t} {passage} {t[:40]}" if i % 4 == 0 else t) for i, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    name = "test_" + hashlib.md5(str(rng.random()).encode() + str(time.time()).encode()).hexdigest()[:12]
+    parts = [df.filter("doc_id >= 40"), df.filter("doc_id < 20"), df.filter("doc_id between 20 and 39")]
+    found, seen = set(), None
+    for part in parts:  # ids fall and rise; the index is opened anew for each batch
+        seen = part if seen is None else seen.unionByName(part)
+        index = substrings.FingerprintIndex(spark, name)
+        found |= {tuple(r) for r in substrings.add_batch(index, part, seen).collect()}
+    assert len(substrings.FingerprintIndex(spark, name).runs) == 1
+    substrings.FingerprintIndex(spark, name).drop()
+    whole = substrings.FingerprintIndex(spark)
+    assert found == {tuple(r) for r in substrings.add_batch(whole, df, df).collect()} and found
+    whole.drop()
+    assert substrings.FingerprintIndex(spark, name).runs == []
+
+
 def test_substrings_against_brute_force(spark, docs, empty):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(400)]
@@ -148,6 +235,14 @@ def test_lines_against_brute_force(spark, docs, empty):
     assert lines.dedup_lines(empty).count() == 0 and lines.dedup_report(empty).count() == 0
 
 
+def test_large_groups_of_lines_lose_no_link(spark):
+    rng = random.Random(12)
+    rows = [(i, "\n".join(f"The meter was read on the {rng.randrange(60):02d} and shows {rng.randrange(30):02d} units" for _ in range(4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {tuple(r) for r in components(lines.links(df)).collect()}
+    assert whole and {tuple(r) for r in components(lines.links(df, group_limit=8)).collect()} == whole
+
+
 def test_short_lines_go_if_equal(spark):
     rows = [(1, "All rights reserved.\n\nshort\n" + "a" * 29), (2, " All rights reserved.\nAll rights reserved!\nx\n\n" + "a" * 28 + "b"), (3, "x\n" + "a" * 29 + "\nshort\nshort"), (4, "c" * 30), (5, "c" * 29)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -294,18 +389,79 @@ def test_bpe_appends_and_edits(coders):
     assert long.replace(2000, 2003, b"x") < 200
 
 
-def test_pipeline_stages_agree_with_brute_force(spark, tmp_path):
-    rows = [r for r in document_rows() if r[0] is not None]
-    rows = [(r[0], r[1], r[2], r[3], r[4]) for r in dict.fromkeys(rows)][:-1]
+def without_repeated_lines(rows):
+    """(doc_id, text): of lines that are equal, or of 30 characters and more and two edits apart, the first one stays."""
+    blanks, root = " \t\n\x0b\f\r", {}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for _, t in rows:
+        for x in t.split("\n"):
+            root.setdefault(x.strip(blanks), x.strip(blanks))
+    every = sorted(root)
+    for n, a in enumerate(every):
+        for b in every[n + 1 :]:
+            if min(len(a), len(b)) >= 30 and abs(len(a) - len(b)) <= 2 and find(a) != find(b) and edits(a, b) <= 2:
+                root[find(b)] = find(a)
+    seen, out = set(), []
+    for i, t in sorted(rows):
+        kept = []
+        for x in t.split("\n"):
+            c = x.strip(blanks)
+            if not c or find(c) not in seen:
+                kept.append(x)
+            if c:
+                seen.add(find(c))
+        out.append((i, "\n".join(kept)))
+    return out
+
+
+def test_pipeline_against_brute_force(spark, tmp_path, coders):
+    import duckdb
+    import pandas as pd
+
+    from labframe.llm.queries import OP4_SQL
+    from tests.llm.test_similar import kept as near_kept
+
+    rng = random.Random(21)
+    texts = [t for t in generated_texts() if rng.random() < 0.6]
+    shared = "Subscribe to our letter and never miss what the council has decided in its meetings"
+    for t in list(texts[:30]):  # on one line, so that a changed word keeps the whole line from going
+        w = t.replace("\n", " ").split(" ")
+        texts.append(" ".join(w))
+        w[rng.randrange(len(w))] = "changedword"
+        texts.append(" ".join(w))
+    texts = [t + "\n" + shared[: 82 - i % 3] + "\nsee more" if i % 4 == 0 else t for i, t in enumerate(texts)] + [None, "", texts[0], texts[0]]
+    rows = [(i, t, "en", ["a", "b", None][i % 3], len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     df.write.parquet(str(tmp_path / "documents.parquet"))
-    columns = df.columns
+    fine = verdicts(texts)
+    left = without_repeated_lines([(i, t) for i, t in enumerate(texts) if fine[t]])
+    stay = set(near_kept(left))
+    documents = pd.DataFrame([(i, t, rows[i][3]) for i, t in left if i in stay], columns=["doc_id", "text", "source"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    copies = {i: taken // size for i, size, taken in con.execute(f"SELECT doc_id, size, taken FROM ({OP4_SQL})").fetchall() if size}
+    want = Counter()
+    for i, t, _ in documents.itertuples(index=False):
+        if i in copies:
+            ids = coders[1].encode_ordinary(t)
+            want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += copies[i]
+    got = Counter(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.doc_id in copies)
+    assert got == +want and 10 < len(documents) < len(left) < len(texts)
     step = df
-    kept = {r.doc_id for r in quality.score_documents(df).collect() if r.kept}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         step = stage(spark, step, str(tmp_path))
-        assert step.columns == columns, name
-        if name == "quality rules":
-            assert {r.doc_id for r in step.collect()} == kept
-    want = Counter((r.doc_id, hashlib.sha256(r.text.encode()).hexdigest()) for r in step.collect())
-    assert Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want and want
+        assert step.columns == df.columns, name
+
+
+def test_pipeline_with_nulls_and_clashing_columns(docs, empty, spark):
+    for table in (docs, empty):
+        step = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            step = stage(spark, step, "")
+            assert step.columns == table.columns, name
+        assert corpus_pipeline.STAGES[-1][1](spark, step, "").count() == step.count()

@@ -3,6 +3,8 @@
 import gzip
 import hashlib
 import random
+import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,7 +49,46 @@ def test_random_damage_never_loses_intact_records():
         cut = list(parts)
         cut[bad] = cut[bad][: rng.randrange(len(cut[bad]))]
         payloads = [x[5] for x in warc.salvage(b"".join(cut)) if x[0] == "record"]
-        assert sum(p.startswith(b"%d:" % i) for i in range(20) if i != bad for p in payloads) >= 18
+        assert sum(p.startswith(b"%d:" % i) for i in range(20) if i != bad for p in payloads) == 19
+
+
+def test_damaged_payload_gives_no_record_of_its_own():
+    hurt = record(b"before\r\n\r\n" + record(b"inner payload") + b"after").replace(b"after", b"aftex")
+    found = list(warc.salvage(record(b"one") + hurt + record(b"two")))
+    assert [(x[0], x[5]) for x in found] == [("record", b"one"), ("gap", b""), ("record", b"two")] and "digest" in found[1][3]
+
+
+def test_members_of_many_records_and_of_any_size():
+    parts = [record(b"payload %d " % i * 50) for i in range(6)]
+    two = gzip.compress(parts[0] + parts[1]) + gzip.compress(parts[2])
+    assert [x[5][:9] for x in warc.salvage(two)] == [b"payload 0", b"payload 1", b"payload 2"]
+    rng = random.Random(2)
+    large = [record(rng.randbytes(1_500_000) * 2), *parts, record(b"z" * 30_000_000)]
+    found = list(warc.salvage(gzip.compress(b"".join(large), 1) + parts[0]))
+    assert [x[0] for x in found] == ["record"] * 9 and len(found[7][5]) == 30_000_000
+    hurt = b"".join([*parts[:2], parts[2].replace(b"payload 2 payload", b"payload 2 paylosd", 1), b"junk", *parts[3:]])
+    found = list(warc.salvage(gzip.compress(hurt)))
+    assert [(x[0], x[5][:9]) for x in found] == [("record", b"payload 0"), ("record", b"payload 1"), ("gap", b""), ("record", b"payload 3"), ("record", b"payload 4"), ("record", b"payload 5")]
+    noise = [record(rng.randbytes(3000)) for _ in range(40)]
+    packed = gzip.compress(b"".join(noise))
+    found = list(warc.salvage(packed[: len(packed) // 2] + parts[0]))
+    assert 15 <= sum(x[0] == "record" for x in found[:-1]) <= 20 and [x[0] for x in found[-2:]] == ["gap", "record"]
+
+
+def test_many_version_lines_take_linear_time():
+    start = time.process_time()
+    assert [x[0] for x in warc.salvage(b"WARC/1.1\r\nA: b\r\n" * 100_000 + record(b"last"))] == ["gap", "record"]
+    assert time.process_time() - start < 10
+
+
+def test_pages_without_id_or_with_clashing_columns(spark):
+    big = "y" * 1500
+    rows = [(None, "u", big, "p", "r"), (None, "u", big, "p", "r"), (3, None, big, "p", "r"), (4, "u" * 300_000, "z" * 300_000, "p", "r"), (5, "u", "w" * 3_000_000, "p", "r")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, payload_key string, response_id string")
+    path = common.scratch_path(spark, "warc")
+    warc.write_archives(pages, warc.shared_payloads(pages), path)
+    got = Counter((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.page_digests(warc.read_archives(spark, path)).collect())
+    assert got == Counter({(None, 1500, "revisit", 3): 2, (3, 1500, "response", None): 1, (4, 300_000, "response", None): 1, (5, 3_000_000, "response", None): 1})
 
 
 def test_pages_round_trip(spark):
@@ -121,6 +162,47 @@ def test_vectors_awkward_rows(spark):
     assert ann.nearest(df.filter("vec_id < 0")).count() == 0
 
 
+def scanned(x, k=20):
+    """The k nearest of every twentieth row by inner product, for rows without ties."""
+    score = x[::20] @ x.T
+    score[np.arange(len(score)), np.arange(0, len(x), 20)] = -np.inf
+    return np.argsort(-score, axis=1)[:, :k], score
+
+
+@pytest.mark.parametrize("kind", ["clustered", "isotropic", "outlier"])
+def test_recall_against_a_scan(spark, kind):
+    rng = np.random.default_rng(5)
+    n, dim = 6000, 64 if kind == "clustered" else 32
+    x = rng.normal(size=(n, dim))
+    if kind == "clustered":
+        x = x * 0.3 + rng.normal(size=(60, dim))[rng.integers(60, size=n)]
+    if kind == "outlier":
+        x[17] *= 10_000
+        x[18] *= 1e-6
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in sorted(ann.nearest(df, least_shards=2).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    want, score = scanned(x)
+    assert len(got) == len(want) and all(len(v) == 20 for v in got.values())
+    assert np.mean([len({i for i, _ in got[q * 20]} & set(w.tolist())) / 20 for q, w in enumerate(want)]) >= 0.9
+    assert all(abs(s - score[q // 20, i]) <= 1e-9 * max(1, abs(s)) for q, found in got.items() for i, s in found)
+
+
+def test_graph_with_ties_and_repeats(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=8))]) for i in range(900)]
+    rows += [(2000 + i, rows[5][1]) for i in range(60)] + [(i, rows[i][1]) for i in range(40)] + [(20, rows[21][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {}
+    for r in sorted(ann.nearest(df, 20, 10, least_shards=1).collect(), key=lambda r: (r.query_id, r.rank)):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    want = brute(rows, 20, 10)
+    assert set(got) == set(want)
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.95
+
+
 def test_graph_recall():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2500, 24)).astype(np.float32)
