@@ -125,3 +125,10 @@ def tolerance_match(got: Column, want: Column) -> Column:
     g, w = parse_number(got).cast("double"), parse_number(want).cast("double")
     numeric = got.try_cast("double").isNotNull() & want.try_cast("double").isNotNull()
     return F.when(numeric, F.abs(g - w) <= F.greatest(F.abs(w) * 0.01, F.lit(0.051))).otherwise(F.lower(F.trim(got)) == F.lower(F.trim(want)))
+
+
+def thresholds_problem(auto_accept: Column, high: Column, low: Column) -> Column:
+    """What is wrong with a set of thresholds, or null."""
+    none = auto_accept.isNull() | high.isNull() | low.isNull()
+    order, share = (low > 0) & (low <= high) & (high <= 1), (auto_accept >= 0.5) & (auto_accept <= 1)
+    return F.when(none, "Thresholds must be numbers").when(~order, "Require 0 < low_confidence <= review_recommended <= 1").when(~share, "auto_accept must be between 0.5 and 1.0")

@@ -52,6 +52,11 @@ def csv_cell(c: Column) -> Column:
     return F.when(risky, F.concat(F.lit("'"), text)).otherwise(text)
 
 
+def basename(path: Column) -> Column:
+    """The file's own name, whichever way its folders are parted."""
+    return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+
+
 def uuid_or_null(c: Column) -> Column:
     return F.when(c.rlike(UUID), c)
 

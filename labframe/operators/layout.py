@@ -4,6 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Embedded pictures below this share of the page hold no text worth reading.
+LEAST_REGION = 0.05
 
 
 def visual_rows(words: Column) -> Column:
@@ -34,14 +38,46 @@ def page_text(words: Column) -> Column:
     return F.array_join(F.transform(visual_rows(words), lambda r: F.array_join(F.transform(r["words"], lambda w: w["text"]), " ")), "\n")
 
 
-def words_outside(scanned: DataFrame, native: DataFrame, page: str) -> DataFrame:
+def words_outside(scanned: DataFrame, native: DataFrame, page: list[str]) -> DataFrame:
     """Scanned words whose centre lies in no native box of their page. The boxes of a page are one array, which a page bounds."""
-    boxes = native.groupBy(page).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_boxes"))
+    boxes = native.groupBy(*page).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_boxes"))
     cx, cy = F.col("x") * 2 + F.col("w"), F.col("y") * 2 + F.col("h")
     inside = F.exists("_boxes", lambda b: cx.between(b["x"] * 2, (b["x"] + b["w"]) * 2) & cy.between(b["y"] * 2, (b["y"] + b["h"]) * 2))
     return scanned.join(boxes, page, "left").filter(~F.coalesce(inside, F.lit(False))).drop("_boxes")
 
 
+def merge_pages(scanned: DataFrame, native: DataFrame, page: list[str]) -> DataFrame:
+    """All words of the pages: native ones, and scanned ones outside of them, whose lines are counted on behind the native lines,
+    region by region. source_type is MIXED where scanned words were added. ``scanned`` has page, region, line and the box;
+    ``native`` page, line and the box."""
+    last = native.groupBy(*page).agg(F.max("line").alias("_last"))
+    lines = scanned.groupBy(*page, "region").agg((F.coalesce(F.max("line"), F.lit(-1)) + 1).alias("_n"))
+    before = Window.partitionBy(*page).orderBy("region").rowsBetween(Window.unboundedPreceding, -1)
+    starts = lines.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    added = words_outside(scanned, native, page).join(starts, [*page, "region"]).join(last, page, "left")
+    added = added.withColumn("line", F.coalesce("_last", F.lit(-1)) + 1 + F.col("_before") + F.col("line")).drop("_last", "_before")
+    mixed = added.select(*page).distinct().withColumn("_mixed", F.lit(True))
+    both = native.withColumn("region", F.lit(None).cast(dict(scanned.dtypes)["region"])).unionByName(added)
+    return both.join(mixed, page, "left").withColumn("source_type", F.when(F.col("_mixed"), "MIXED").otherwise("PDF_NATIVE")).drop("_mixed")
+
+
+def embedded_regions(regions: DataFrame, page: list[str], area: Column) -> DataFrame:
+    """Regions (x, y, w, h, seq) of at least LEAST_REGION of the page's area that lie in no earlier one of that size."""
+    large = regions.filter((F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") * F.col("h") >= area * LEAST_REGION))
+    all_ = large.groupBy(*page).agg(F.collect_list(F.struct("seq", "x", "y", "w", "h")).alias("_all"))
+    within = F.exists("_all", lambda r: (r["seq"] < F.col("seq")) & (r["x"] <= F.col("x")) & (r["y"] <= F.col("y"))
+                      & (r["x"] + r["w"] >= F.col("x") + F.col("w")) & (r["y"] + r["h"] >= F.col("y") + F.col("h")))
+    return large.join(all_, page).filter(~within).drop("_all")
+
+
+def box_to_original(box: Column, matrix: list[float]) -> Column:
+    """A box (x, y, w, h) under an affine map (a, b, c, d, e, f: x' = ax + by + c, y' = dx + ey + f), as the least upright box."""
+    a, b, c, d, e, f = matrix
+    corners = [(box[0] + box[2] * i, box[1] + box[3] * j) for i in (0, 1) for j in (0, 1)]
+    xs, ys = F.array(*[x * a + y * b + c for x, y in corners]), F.array(*[x * d + y * e + f for x, y in corners])
+    return F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
+
+
 def box_valid(box: Column) -> Column:
     return F.coalesce((F.size(box) == 4) & F.forall(box, lambda v: v.between(0, 1)), F.lit(False))
 

@@ -249,6 +249,16 @@ def after_local_day(until_day: str, zone: str) -> Column:
     return F.to_utc_timestamp(F.date_add(F.lit(until_day).cast("date"), 1).cast("timestamp"), zone)
 
 
+def recent(events: DataFrame, now: str, minutes: int) -> DataFrame:
+    """Events of the last minutes, the first moment included."""
+    return events.filter(F.col("ts") >= F.lit(now).cast("timestamp") - F.make_dt_interval(mins=F.lit(minutes)))
+
+
+def by_role(users: DataFrame, roles: list[str]) -> DataFrame:
+    """Active demo users in the order of the roles, then by name."""
+    return users.filter(F.col("active").eqNullSafe(True)).orderBy(F.array_position(F.array(*map(F.lit, roles)), F.col("role")), "name")
+
+
 def next_target(queue: DataFrame, current_id: int) -> DataFrame:
     """The first document of the review queue other than the one at hand."""
     return page(queue.filter(F.col("doc_id") != current_id), priority(), 1, 1)

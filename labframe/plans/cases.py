@@ -1,0 +1,47 @@
+"""Evaluation cases: reports with known truth, made from their number alone, so every run and every machine has the same ones."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+LABELS = {
+    "patient_name": ["Patient Name:", "Patient:", "Name:"], "patient_id": ["Patient ID:", "MRN", "Patient ID Number:"], "date_of_birth": ["DOB:", "Date of Birth:", "Birth date"],
+    "patient_sex": ["Sex:", "Gender:", "Sex"], "specimen_type": ["Specimen Type:", "Sample:", "Specimen"], "collection_date": ["Collection Date:", "Collected:", "Date collected"],
+    "received_date": ["Received Date:", "Received:", "Date received"], "glucose": ["Glucose", "Glu", "Glucose, fasting"], "hemoglobin": ["Hemoglobin", "Hgb", "Haemoglobin"],
+    "hematocrit": ["Hematocrit", "Hct", "Haematocrit"], "white_blood_cell_count": ["White Blood Cell Count", "WBC", "Leukocytes"], "platelet_count": ["Platelet Count", "PLT", "Platelets"],
+}
+DATES = ["yyyy-MM-dd", "dd-MMM-yyyy", "dd.MM.yyyy"]
+
+
+def cases(spark: SparkSession, n: int) -> DataFrame:
+    """case_id, layout, dates, units, complete, text, truth (field to normalized value). One case in four lacks a result."""
+    i = F.col("case_id")
+    base = spark.range(n).withColumnRenamed("id", "case_id").withColumns({"layout": (i % 3).cast("int"), "dates": (F.floor(i / 3) % 3).cast("int"), "si": F.floor(i / 9) % 2 == 1, "complete": i % 4 != 0})
+
+    def day(start: str, step: int):
+        return F.date_add(F.lit(start).cast("date"), (i * step % 900).cast("int"))
+
+    base = base.withColumns({"born": day("1950-01-03", 37), "taken": day("2022-02-01", 5), "got": F.date_add(day("2022-02-01", 5), 1)})
+    tenth = F.when(i % 2 == 0, "M").otherwise("F")
+    truth = {
+        "patient_name": F.element_at(F.array(*map(F.lit, ["Aarav Mehta", "Jane O'Neil", "Li Wei"])), (i % 3 + 1).cast("int")), "patient_id": F.concat(F.lit("P-"), i + 1000),
+        "date_of_birth": F.date_format("born", "yyyy-MM-dd"), "patient_sex": tenth, "specimen_type": F.lit("Blood"), "collection_date": F.date_format("taken", "yyyy-MM-dd"), "received_date": F.date_format("got", "yyyy-MM-dd"),
+        "glucose": F.when(F.col("si"), F.round((F.lit(42) + i % 13) * 1.8016, 3).cast("string")).otherwise((F.lit(72) + i % 27).cast("string")),
+        "hemoglobin": F.format_string("%.1f", F.lit(13.6) + i % 15 / 10), "hematocrit": F.format_string("%.1f", F.lit(41.0) + i % 20 / 10), "white_blood_cell_count": F.format_string("%.1f", F.lit(5.0) + i % 50 / 10),
+        "platelet_count": (F.lit(160) + i % 200).cast("string"),
+    }
+
+    def date(c: str):
+        return F.element_at(F.array(*[F.date_format(c, f) for f in DATES]), F.col("dates") + 1)
+
+    printed = truth | {
+        "date_of_birth": date("born"), "collection_date": date("taken"), "received_date": date("got"), "patient_sex": F.when(tenth == "M", "Male").otherwise("F"),
+        "glucose": F.when(F.col("si"), F.concat(F.format_string("%.1f", F.lit(4.2) + i % 13 / 10), F.lit(" mmol/L 3.9 - 5.6"))).otherwise(F.concat(truth["glucose"], F.lit(" mg/dL 70 - 100"))),
+        "hemoglobin": F.when(F.col("complete"), F.concat(truth["hemoglobin"], F.lit(" g/dL (12.0 - 17.5)"))).otherwise("not done"), "hematocrit": F.concat(truth["hematocrit"], F.lit(" %")),
+        "white_blood_cell_count": F.concat(truth["white_blood_cell_count"], F.lit(" x10^3/uL 4.5 - 11.0")), "platelet_count": F.when(F.col("si"), F.concat(truth["platelet_count"], F.lit(",000 /uL"))).otherwise(F.concat(truth["platelet_count"], F.lit(" K/uL"))),
+    }
+    lines = [F.concat_ws(" ", F.element_at(F.array(*map(F.lit, forms)), F.col("layout") + 1), printed[name]) for name, forms in LABELS.items()]
+    text = F.concat_ws("\n", F.lit("Ordering Physician Name: Dr Rao"), *lines)
+    known = F.map_from_arrays(F.array(*map(F.lit, truth)), F.array(*[F.when((F.lit(name) != "hemoglobin") | F.col("complete"), c) for name, c in truth.items()]))
+    return base.select("case_id", "layout", "dates", F.when(F.col("si"), "SI").otherwise("conventional").alias("units"), "complete", text.alias("text"), F.map_filter(known, lambda _, v: v.isNotNull()).alias("truth"))

@@ -51,7 +51,7 @@ FROM (
 """
 
 CORRECTIONS = """
-SELECT conv_id AS field_id, turn AS seq, substr(text, 1, 20) AS new_value, CASE WHEN turn % 3 = 0 THEN role END AS new_unit, role AS reason
+SELECT conv_id AS field_id, turn AS seq, text AS new_value, CASE WHEN turn % 3 = 0 THEN role END AS new_unit, role AS reason
 FROM conversations
 """
 

@@ -11,11 +11,9 @@ from labframe.functions import numbers as N
 from labframe.functions import text as X
 from labframe.operators import relational as R
 from labframe.operators import validate as V
-from labframe.operators import layout as L
 from labframe.plans.fixtures import duck, view
 from labframe.registry import DECIDED as _DECIDED
 from labframe.registry import QUERIES, SQL, query
-from labframe.sources import files as S
 from labframe.streaming import streams as T
 
 AS_OF = "2024-01-31"
@@ -390,30 +388,6 @@ def q_eval_by_trait(spark, sf):
 
 # Layout, sources and streams -----------------------------------------------------------------------------------------------------
 
-@query(duck("boxes") + """SELECT label, CAST(count(*) AS BIGINT) AS n_words, CAST(count(DISTINCT vec_id // 50) AS BIGINT) AS n_lines FROM boxes GROUP BY label""")
-def q_reading_order(spark, sf):
-    b = view(spark, sf, "boxes").withColumn("band", F.floor(F.col("vec_id") / 50))
-    words = b.groupBy("label").agg(F.array_sort(F.collect_list(F.struct(
-        F.col("vec_id").cast("string").alias("text"), (F.col("x") / 1000).alias("x"), (F.col("band") * 10).cast("double").alias("y"), F.lit(0.01).alias("w"), F.lit(1.0).alias("h")))).alias("words"))
-    rows = words.select("label", L.visual_rows(F.col("words")).alias("rows"))
-    n = F.aggregate("rows", F.lit(0), lambda a, r: a + F.size(r["words"]))
-    return rows.select("label", n.cast("long").alias("n_words"), F.size("rows").cast("long").alias("n_lines"))
-
-
-@query(duck("boxes") + """, o AS (SELECT * FROM boxes WHERE vec_id % 2 = 0), n AS (SELECT * FROM boxes WHERE vec_id % 10 = 1)
-SELECT vec_id FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.label = o.label AND o.x * 2 + o.w BETWEEN n.x * 2 AND (n.x + n.w) * 2 AND o.y * 2 + o.h BETWEEN n.y * 2 AND (n.y + n.h) * 2)""")
-def q_mixed_page_merge(spark, sf):
-    b = view(spark, sf, "boxes")
-    return L.words_outside(b.filter("vec_id % 2 = 0"), b.filter("vec_id % 10 = 1"), "label").select("vec_id")
-
-
-@query("SELECT page_id, CASE WHEN html LIKE '<!DOCTYPE%' THEN NULL ELSE 'other' END AS kind, length(trim(html)) > 20 AS is_native FROM pages")
-def q_mime_and_route(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").withColumn("content", F.encode("html", "UTF-8"))
-    kind = F.when(~F.col("html").startswith("<!DOCTYPE"), F.coalesce(S.sniff(F.col("content")), F.lit("other")))
-    return pages.select("page_id", kind.alias("kind"), (S.page_source(F.col("html")) == "PDF_NATIVE").alias("is_native"))
-
-
 @query("SELECT DISTINCT sha256(text) AS content_hash FROM documents")
 def q_stream_first_uploads(spark, sf):
     return T.first_uploads(spark, sf)

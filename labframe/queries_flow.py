@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labframe import schema
+from labframe.functions import numbers as N
 from labframe.functions import text as X
 from labframe.operators import extract as E
+from labframe.operators import layout as L
 from labframe.operators import lifecycle as M
 from labframe.operators import pipeline as P
 from labframe.operators import relational as R
 from labframe.operators import review as W
+from labframe.plans.cases import cases
 from labframe.plans.fixtures import duck, view
 from labframe.registry import DECIDED, query
+from labframe.sources import files as S
 
 TODAY = "1997-01-01"
 FILLER = " ".join(f"q{c}" for c in "abcdefghijklm")
@@ -442,20 +446,111 @@ def q_latency_histogram(spark, sf):
     return R.latency_histogram(spark.read.parquet(f"{sf}/events.parquet").select(F.abs("value").alias("seconds")), [0.5, 5.0, 50.0])
 
 
-def _evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Outcomes of the fields that the pages print, and of the documents, by running the whole flow on the pages."""
-    fields, docs = P.run(checked_pages(spark, sf), "report_id", today=TODAY)
-    truth = view(spark, sf, "rpt_header").filter("field_name IN ('patient_name', 'patient_id', 'specimen_type')").select("report_id", "field_name", F.col("value").alias("truth"))
-    outcomes = R.case_outcomes(fields, truth, "report_id")
-    right = outcomes.groupBy("report_id").agg(F.bool_and(F.col("outcome") == "correct").alias("all_correct"))
-    return outcomes, docs.join(right, "report_id").select("report_id", (F.col("decision") == "AUTO_ACCEPTED").alias("accepted"), "all_correct")
+CASES = 240
 
 
-@query(duck("rpt_header") + "SELECT report_id, field_name, 'correct' AS outcome FROM rpt_header WHERE field_name IN ('patient_name', 'patient_id', 'specimen_type')")
+def _evaluated(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of the fields and of the documents, by running the whole flow on the evaluation cases."""
+    known = cases(spark, CASES)
+    fields, docs = P.run(known.select("case_id", F.lit(1).alias("page_num"), "text"), "case_id")
+    outcomes = R.case_outcomes(fields, known.select("case_id", F.explode("truth").alias("field_name", "truth")), "case_id")
+    right = outcomes.groupBy("case_id").agg(F.bool_and(F.col("outcome") == "correct").alias("all_correct"))
+    return outcomes, docs.join(right, "case_id").select("case_id", (F.col("decision") == "AUTO_ACCEPTED").alias("accepted"), "all_correct")
+
+
+@query(f"SELECT case_id, count(*) AS n_fields, 'correct' AS outcome FROM range({CASES}) c(case_id), range(12) f(k) WHERE k <> 8 OR case_id % 4 <> 0 GROUP BY case_id")
 def q_case_outcomes(spark, sf):
-    return _evaluated(spark, sf)[0]
+    return _evaluated(spark)[0].groupBy("case_id", "outcome").agg(F.count("*").alias("n_fields"))
 
 
-@query()
+@query("SELECT 'fields' AS gate, 1.0::DOUBLE AS value, true AS passed UNION ALL SELECT 'precision', 1.0::DOUBLE, true UNION ALL SELECT 'share', 0.75::DOUBLE, true")
 def q_gates(spark, sf):
-    return R.gates(*_evaluated(spark, sf))
+    return R.gates(*_evaluated(spark))
+
+
+# Layout, guards, sources ------------------------------------------------------------------------------------------------
+
+PAGE_WORDS = 40
+_WORDS = duck("boxes") + f", words AS (SELECT *, vec_id // {PAGE_WORDS} AS sheet, y * 2 + h AS mid2 FROM boxes)"
+
+
+def _sheets(spark: SparkSession, sf: str) -> DataFrame:
+    return view(spark, sf, "boxes").withColumn("sheet", F.floor(F.col("vec_id") / PAGE_WORDS))
+
+
+@query(_WORDS.replace("WITH ", "WITH RECURSIVE ", 1) + """, n AS (SELECT *, row_number() OVER (PARTITION BY sheet ORDER BY mid2, vec_id) AS i FROM words), s AS (
+  SELECT sheet, i, vec_id, x, mid2 AS anchor, h AS tall, 0 AS line FROM n WHERE i = 1
+  UNION ALL SELECT n.sheet, n.i, n.vec_id, n.x, CASE WHEN n.mid2 - s.anchor <= greatest(s.tall, n.h) THEN s.anchor ELSE n.mid2 END, CASE WHEN n.mid2 - s.anchor <= greatest(s.tall, n.h) THEN s.tall ELSE n.h END,
+    CASE WHEN n.mid2 - s.anchor <= greatest(s.tall, n.h) THEN s.line ELSE s.line + 1 END FROM s JOIN n ON n.sheet = s.sheet AND n.i = s.i + 1
+) SELECT sheet, vec_id, line, CAST(row_number() OVER (PARTITION BY sheet, line ORDER BY x, vec_id) - 1 AS INT) AS place FROM s""")
+def q_reading_order(spark, sf):
+    word = F.struct(F.col("vec_id").cast("string").alias("text"), *[F.col(c).cast("double").alias(c) for c in "xywh"])
+    sheets = _sheets(spark, sf).groupBy("sheet").agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", word.alias("w")))), lambda p: p["w"]).alias("words"))
+    rows = sheets.select("sheet", F.posexplode(L.visual_rows(F.col("words"))).alias("line", "r"))
+    return rows.select("sheet", "line", F.posexplode("r.words").alias("place", "w")).select("sheet", F.col("w.text").cast("long").alias("vec_id"), "line", "place")
+
+
+@query(_WORDS + """, o AS (SELECT *, vec_id % 3 AS region, vec_id % 4 AS line FROM words WHERE vec_id % 2 = 0), n AS (SELECT *, vec_id % 6 AS line FROM words WHERE vec_id % 10 = 1),
+kept AS (SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.sheet = o.sheet AND o.x * 2 + o.w BETWEEN n.x * 2 AND (n.x + n.w) * 2 AND o.y * 2 + o.h BETWEEN n.y * 2 AND (n.y + n.h) * 2)),
+l AS (SELECT sheet, region, max(line) + 1 AS k FROM o GROUP BY ALL), b AS (SELECT sheet, region, sum(k) OVER (PARTITION BY sheet ORDER BY region) - k AS before FROM l), m AS (SELECT sheet, max(line) AS last FROM n GROUP BY sheet)
+SELECT k.vec_id, CAST(coalesce(m.last, -1) + 1 + b.before + k.line AS BIGINT) AS line, 'MIXED' AS source_type FROM kept k JOIN b ON b.sheet = k.sheet AND b.region = k.region LEFT JOIN m ON m.sheet = k.sheet
+UNION ALL SELECT vec_id, line, CASE WHEN sheet IN (SELECT sheet FROM kept) THEN 'MIXED' ELSE 'PDF_NATIVE' END FROM n""")
+def q_mixed_page_merge(spark, sf):
+    b = _sheets(spark, sf)
+    scanned = b.filter("vec_id % 2 = 0").withColumns({"region": F.col("vec_id") % 3, "line": F.col("vec_id") % 4})
+    return L.merge_pages(scanned, b.filter("vec_id % 10 = 1").withColumn("line", F.col("vec_id") % 6), ["sheet"]).select("vec_id", "line", "source_type")
+
+
+@query(_WORDS + """, big AS (SELECT * FROM words WHERE w > 0 AND h > 0 AND w * h >= 50000)
+SELECT vec_id FROM big b WHERE NOT EXISTS (SELECT 1 FROM big a WHERE a.sheet = b.sheet AND a.vec_id < b.vec_id AND a.x <= b.x AND a.y <= b.y AND a.x + a.w >= b.x + b.w AND a.y + a.h >= b.y + b.h)""")
+def q_embedded_regions(spark, sf):
+    return L.embedded_regions(_sheets(spark, sf).withColumn("seq", F.col("vec_id")), ["sheet"], F.lit(1_000_000)).select("vec_id")
+
+
+@query(duck("boxes") + """SELECT vec_id, least(2 * x - y, 2 * (x + w) - y, 2 * x - (y + h), 2 * (x + w) - (y + h)) + 3.0::DOUBLE AS left_edge, least(x + y, x + w + y, x + y + h, x + w + y + h) * 0.5::DOUBLE - 1 AS top,
+  (2 * w + h)::DOUBLE AS width, (w + h) * 0.5::DOUBLE AS height, greatest(0, least(1, (x - 500) / 100.0))::DOUBLE AS clamped, x <= 1000 AND w <= 500 AS valid FROM boxes""")
+def q_box_geometry(spark, sf):
+    b = view(spark, sf, "boxes")
+    box = L.box_to_original(F.array(*[F.col(c).cast("double") for c in "xywh"]), [2.0, -1.0, 3.0, 0.5, 0.5, -1.0])
+    valid = L.box_valid(F.array((F.col("x") / 1000).cast("double"), (F.col("w") / 500).cast("double"), F.lit(0.0), F.lit(1.0)))
+    return b.select("vec_id", *[box[i].alias(n) for i, n in enumerate(("left_edge", "top", "width", "height"))], L.clamp_box(F.array((F.col("x") - 500) / 100.0))[0].alias("clamped"), valid.alias("valid"))
+
+
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'image/png' WHEN 2 THEN 'image/jpeg' END AS kind, length(trim(html)) > 20 AS is_native FROM pages""")
+def q_mime_and_route(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    magic = F.element_at(F.array(*[F.unhex(F.lit(h)) for h in ("255044462D312E37", "89504E470D0A1A0A00", "FFD8FFE0", "474946383961", "3C21444F")]), (F.col("page_id") % 5 + 1).cast("int"))
+    content = F.concat(magic, F.encode("html", "UTF-8"))
+    return pages.select("page_id", S.sniff(content).alias("kind"), (S.page_source(F.col("html")) == "PDF_NATIVE").alias("is_native"))
+
+
+@query(r"""SELECT doc_id, trim(regexp_replace(text, '[\s\x0b]+', ' ', 'g')) AS plain,
+  CASE WHEN doc_id % 3 <> 0 THEN substr(md5(doc_id::VARCHAR), 1, 8) || '-1234-5678-9abc-' || substr(md5(doc_id::VARCHAR), 1, 12) END AS correlation_id,
+  'scan_' || doc_id || '.pdf' AS name, CASE doc_id % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'F' END AS sex, doc_id % 5 IN (0, 4) AS password_good FROM documents""")
+def q_text_guards(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    digest, n = F.md5(F.col("doc_id").cast("string")), F.col("doc_id")
+    cid = F.concat(F.substring(digest, 1, 8), F.lit("-1234-5678-9abc-"), F.substring(digest, 1, 12), F.when(n % 3 == 0, "0").otherwise(""))
+    path = F.concat(F.when(n % 2 == 0, "C:\\uploads\\").otherwise("/tmp/up/"), F.lit("scan_"), n, F.lit(".pdf"))
+    sex = F.element_at(F.array(*map(F.lit, [" Man ", "FEMALE", "unknown", "?"])), (n % 4 + 1).cast("int"))
+    password = F.element_at(F.array(*map(F.lit, ["Blue-kettle-2024", "short1A-", "alllowercaseletters", "Has-Operator-2024x", "4 small WORDS here"])), (n % 5 + 1).cast("int"))
+    return d.select("doc_id", X.normalize_text(F.col("text")).alias("plain"), X.uuid_or_null(cid).alias("correlation_id"), X.basename(path).alias("name"),
+                    X.normalize_sex(sex).alias("sex"), X.password_ok(password, F.lit("operator")).alias("password_good"))
+
+
+@query("""SELECT event_id, CASE WHEN value / 100 <= 0 OR value / 100 > (event_id % 13) / 10 OR (event_id % 13) / 10 > 1 THEN 'Require 0 < low_confidence <= review_recommended <= 1'
+  WHEN (event_id % 17) / 10 < 0.5 OR (event_id % 17) / 10 > 1 THEN 'auto_accept must be between 0.5 and 1.0' END AS problem FROM events""")
+def q_thresholds(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return e.select("event_id", N.thresholds_problem(F.col("event_id") % 17 / 10, F.col("event_id") % 13 / 10, F.col("value") / 100).alias("problem"))
+
+
+@query(f"""SELECT user_id, role FROM ({_USERS}) WHERE active ORDER BY CASE role WHEN 'ADMIN' THEN 1 WHEN 'OPERATOR' THEN 2 WHEN 'REVIEWER' THEN 3 ELSE 4 END, user_id LIMIT 30""")
+def q_users_by_role(spark, sf):
+    users = spark.sql(_USERS.replace("FROM customer", "FROM {t}"), t=spark.read.parquet(f"{sf}/customer.parquet")).withColumn("name", F.lpad(F.col("user_id").cast("string"), 12, "0"))
+    return R.by_role(users, ["ADMIN", "OPERATOR", "REVIEWER", "VIEWER"]).select("user_id", "role").limit(30)
+
+
+@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 600 MINUTE")
+def q_recent_events(spark, sf):
+    return R.recent(spark.read.parquet(f"{sf}/events.parquet"), "2024-01-15", 600).select("event_id")
