@@ -304,9 +304,6 @@ def test_large_groups_are_dealt_again(spark):
 def test_mixing_meets_targets(docs, empty):
     rows = mixing.taken_words(docs).collect()
     assert len(rows) == len(document_rows()) and all(0 <= r.taken <= 3 * r.size for r in rows)
-    by = defaultdict(lambda: [0, 0.0, 0])
-    for r in rows:
-        by[r.source_size][1] = r.target
     assert sum(r.size for r in rows) == sum(len(words(r[1])) for r in document_rows())
     assert sorted(map(tuple, rows), key=str) == sorted(map(tuple, mixing.taken_words(docs).collect()), key=str)
     out = mixing.repeat_documents(docs)
@@ -314,6 +311,20 @@ def test_mixing_meets_targets(docs, empty):
     assert mixing.taken_words(empty).count() == 0 and mixing.repeat_documents(empty).count() == 0
 
 
+def test_mixed_words_come_near_their_targets(spark):
+    rng = random.Random(17)
+    rows = [(i, " ".join(["w"] * rng.randrange(1, 60)), rng.choice(["a"] * 6 + ["b"] * 2 + ["c", None])) for i in range(3000)]
+    got = mixing.taken_words(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    taken, target, size = Counter(), {}, Counter()
+    for r in got:
+        taken[source[r.doc_id]] += r.taken
+        target[source[r.doc_id]] = r.target
+        size[source[r.doc_id]] += r.size
+    assert target == pytest.approx(mixing.targets(list(size.items()))) and sum(target.values()) == pytest.approx(sum(size.values()))
+    assert all(abs(taken[s] - target[s]) <= 60 for s in target)
+
+
 def test_targets_are_reshared():
     got = mixing.targets([("a", 1000), ("b", 10), (None, 500)])
     assert got["b"] == 30 and got["a"] == pytest.approx(1480 / 4) and got[None] == pytest.approx(1480 * 3 / 4)
