@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from labframe import schema
 from labframe.operators import fold
@@ -37,9 +38,9 @@ def real_changes(changes: DataFrame, fields: DataFrame) -> tuple[DataFrame, Data
     """
     unit = F.nullif(F.trim("new_unit"), F.lit(""))
     joined = changes.withColumn("new_unit", unit).join(fields, "field_id")
-    by_seq = R.Window.partitionBy("field_id").orderBy("seq")
+    by_seq = Window.partitionBy("field_id").orderBy("seq")
     value_before = F.when(F.row_number().over(by_seq) == 1, F.col("current_value")).otherwise(F.lag("new_value").over(by_seq))
-    earlier = by_seq.rowsBetween(R.Window.unboundedPreceding, -1)
+    earlier = by_seq.rowsBetween(Window.unboundedPreceding, -1)
     unit_before = F.coalesce(F.last("new_unit", ignorenulls=True).over(earlier), F.col("current_unit"))
     joined = joined.withColumns({"previous_value": value_before, "previous_unit": unit_before})
     unit_changed = F.col("new_unit").isNotNull() & ~F.col("new_unit").eqNullSafe(F.col("previous_unit"))
