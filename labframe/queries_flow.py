@@ -501,10 +501,10 @@ def q_mixed_page_merge(spark, sf):
     return L.merge_pages(scanned, b.filter("vec_id % 10 = 1").withColumn("line", F.col("vec_id") % 6), ["sheet"]).select("vec_id", "line", "source_type")
 
 
-@query(_WORDS + """, big AS (SELECT * FROM words WHERE w > 0 AND h > 0 AND w * h >= 50000)
+@query(_WORDS + """, big AS (SELECT * FROM words WHERE w > 0 AND h > 0 AND w * h >= 5000)
 SELECT vec_id FROM big b WHERE NOT EXISTS (SELECT 1 FROM big a WHERE a.sheet = b.sheet AND a.vec_id < b.vec_id AND a.x <= b.x AND a.y <= b.y AND a.x + a.w >= b.x + b.w AND a.y + a.h >= b.y + b.h)""")
 def q_embedded_regions(spark, sf):
-    return L.embedded_regions(_sheets(spark, sf).withColumn("seq", F.col("vec_id")), ["sheet"], F.lit(1_000_000)).select("vec_id")
+    return L.embedded_regions(_sheets(spark, sf).withColumn("seq", F.col("vec_id")), ["sheet"], F.lit(100_000)).select("vec_id")
 
 
 @query(duck("boxes") + """SELECT vec_id, least(2 * x - y, 2 * (x + w) - y, 2 * x - (y + h), 2 * (x + w) - (y + h)) + 3.0::DOUBLE AS left_edge, least(x + y, x + w + y, x + y + h, x + w + y + h) * 0.5::DOUBLE - 1 AS top,
