@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labframe.llm import ann, bpe, chat, lines, mixing, quality, sharding, simhash, substrings, warc
+from labframe.llm import align, ann, bpe, chat, lines, mixing, packing, quality, resample, sharding, simhash, substrings, warc
 from labframe.llm.common import materialize, read_table, scratch_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,10 +131,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align_documents(docs, public_tokenizers.path(BYTE_LEVEL), public_tokenizers.path(PIECES))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path(BYTE_LEVEL))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = (read_table(spark, sf_dir, t) for t in ("documents", "benchmark"))
+    return resample.resample(docs.select("doc_id", "text"), target.select("text")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc, "op2_substrings": op2_substrings, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_sharding": op7_sharding,
-        "op8_lines": op8_lines, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash,
+        "op8_lines": op8_lines, "op9_bpe": op9_bpe, "op10_simhash": op10_simhash, "op11_align": op11_align, "op12_packing": op12_packing, "op13_resample": op13_resample,
     }
 
 
