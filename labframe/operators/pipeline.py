@@ -102,12 +102,13 @@ def validate_each(rows: DataFrame, today: str | None = None) -> DataFrame:
 
 def check_pages(rows: DataFrame, pages: DataFrame, by: str) -> DataFrame:
     """Values that don't stand on their page (on any page, where the page is unknown) become SOURCE_MISMATCH, names that OCR may
-    have misread POSSIBLE_MISREAD. A document without text is left alone. ``pages`` has by, page_num, text, ocr_used."""
-    own = pages.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("page_num", F.coalesce("text", F.lit("")).alias("text"), "ocr_used"))).alias("pages"))
-    joined = rows.join(own, by, "left")
+    have misread POSSIBLE_MISREAD. A document without text is left alone. ``pages`` has by, page_num, text, ocr_used. Each page is
+    cut into words once."""
+    read = pages.select(by, F.struct("page_num", X.page_tokens(F.col("text")).alias("tokens"), "ocr_used").alias("p"))
+    joined = rows.join(read.groupBy(by).agg(F.sort_array(F.collect_list("p")).alias("pages")), by, "left")
     of_page = F.filter("pages", lambda p: p["page_num"] == F.col("page_num"))
     joined = joined.withColumn("of_page", of_page).withColumn("shown", F.when(F.size("of_page") > 0, F.col("of_page")).otherwise(F.col("pages")))
-    joined = joined.withColumn("tokens", X.page_tokens(F.array_join(F.transform("shown", lambda p: p["text"]), " ")))
+    joined = joined.withColumn("tokens", F.flatten(F.transform("shown", lambda p: p["tokens"])))
     found = F.coalesce(F.size("tokens") <= 0, F.lit(True)) | (F.coalesce("value", F.lit("")) == "") | X.stands_in(F.col("value"), F.col("tokens"), F.col("field_name"))
     joined = joined.withColumn("found", found)
     absent = (F.col("state") != "MISSING") & ~F.col("found")
@@ -170,10 +171,9 @@ def validate(fields: DataFrame, by: str, pages: DataFrame | None = None, today:
 
 def decide(validated: DataFrame, by: str, auto_accept: float = 0.9, hold_abnormal: bool = False) -> DataFrame:
     """Per document: overall_confidence, decision, validation_status, summary (field: state of all that isn't VALID)."""
-    base = V.decide_reports(validated, by, auto_accept, hold_abnormal)
     note = F.when(F.col("state") != "VALID", F.concat("field_name", F.lit(": "), "state"))
-    notes = validated.groupBy(by).agg(F.array_sort(F.collect_list(note)).alias("summary"))
-    return base.join(notes, by).withColumn("validation_status", F.when(F.col("decision") == "AUTO_ACCEPTED", "VALID").otherwise("INVALID"))
+    decided = V.decide_reports(validated, by, auto_accept, hold_abnormal, [F.array_sort(F.collect_list(note)).alias("summary")])
+    return decided.withColumn("validation_status", F.when(F.col("decision") == "AUTO_ACCEPTED", "VALID").otherwise("INVALID"))
 
 
 def run(pages: DataFrame, by: str, confidence: float = 99.0, today: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -71,10 +71,10 @@ def add_missing(fields: DataFrame, wanted: list[str], by: str = "report_id") ->
     return have.select(by, F.explode(absent).alias("field_name"))
 
 
-def decide_reports(scored: DataFrame, by: str = "report_id", auto_accept: float = 0.9, hold_abnormal: bool = False) -> DataFrame:
-    """Per report: overall_confidence and decision."""
+def decide_reports(scored: DataFrame, by: str = "report_id", auto_accept: float = 0.9, hold_abnormal: bool = False, more: list[Column] | None = None) -> DataFrame:
+    """Per report: overall_confidence, decision, and ``more`` aggregates with names, all in one pass."""
     fine = ["VALID"] if hold_abnormal else ["VALID", "OUTSIDE_REFERENCE_RANGE"]
     ok = F.col("state").isin(fine) & (F.col("category") != "LOW") & (~F.col("field_name").isin(schema.CRITICAL_FIELDS) | (F.col("category") == "HIGH"))
-    agg = scored.groupBy(by).agg(F.bool_and(ok).alias("fields_ok"), F.coalesce(F.round(F.avg("conf"), 6), F.lit(0.0)).alias("overall_confidence"))
+    agg = scored.groupBy(by).agg(F.bool_and(ok).alias("fields_ok"), F.coalesce(F.round(F.avg("conf"), 6), F.lit(0.0)).alias("overall_confidence"), *(more or []))
     accepted = F.col("fields_ok") & (F.col("overall_confidence") >= auto_accept)
-    return agg.select(by, "overall_confidence", F.when(accepted, "AUTO_ACCEPTED").otherwise("REVIEW_REQUIRED").alias("decision"))
+    return agg.select(by, "overall_confidence", F.when(accepted, "AUTO_ACCEPTED").otherwise("REVIEW_REQUIRED").alias("decision"), *agg.columns[3:])

@@ -83,15 +83,16 @@ FROM (SELECT DISTINCT event_id {div} 5 AS report_id FROM events) r LEFT JOIN (""
 
 RPT_HEADER = """
 SELECT report_id, field_name, value FROM (
-  SELECT report_id, 'patient_name' AS field_name, CASE WHEN report_id % 7 = 0 THEN 'maria Lopez' ELSE 'Jane Roe' END AS value FROM rpt_docs_ d1
-  UNION ALL SELECT report_id, 'patient_id', CASE WHEN report_id % 11 <> 0 THEN concat('A-', CAST(report_id AS STRING)) END FROM rpt_docs_ d2
-  UNION ALL SELECT report_id, 'patient_sex', CASE report_id % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'F' ELSE 'Unknown' END FROM rpt_docs_ d3
-  UNION ALL SELECT report_id, 'specimen_type', 'whole blood' FROM rpt_docs_ d4
-  UNION ALL SELECT report_id, 'date_of_birth', CAST(dob AS STRING) FROM rpt_docs_ d5
-  UNION ALL SELECT report_id, 'collection_date', printed FROM rpt_docs_ d6
-  UNION ALL SELECT report_id, 'received_date', CASE WHEN report_id % 31 = 0 THEN '31/31/2020' ELSE CAST(received AS STRING) END FROM rpt_docs_ d7
+  SELECT report_id, field_name, CASE field_name
+    WHEN 'patient_name' THEN CASE WHEN report_id % 7 = 0 THEN 'maria Lopez' ELSE 'Jane Roe' END
+    WHEN 'patient_id' THEN CASE WHEN report_id % 11 <> 0 THEN concat('A-', CAST(report_id AS STRING)) END
+    WHEN 'patient_sex' THEN CASE report_id % 3 WHEN 0 THEN 'male' WHEN 1 THEN 'F' ELSE 'Unknown' END
+    WHEN 'specimen_type' THEN 'whole blood' WHEN 'date_of_birth' THEN CAST(dob AS STRING) WHEN 'collection_date' THEN printed
+    ELSE CASE WHEN report_id % 31 = 0 THEN '31/31/2020' ELSE CAST(received AS STRING) END END AS value
+  FROM (SELECT *, {each} AS field_name FROM (""" + RPT_DOCS + """) d) e
 ) h WHERE value IS NOT NULL
-""".replace("rpt_docs_", "(" + RPT_DOCS + ")")
+"""
+_HEADER_NAMES = "'patient_name', 'patient_id', 'patient_sex', 'specimen_type', 'date_of_birth', 'collection_date', 'received_date'"
 
 #: Requests for reviews: twenty users, some fifty documents, an admin among the users.
 REQUESTS = """
@@ -106,11 +107,13 @@ SPARK = {
     "div": "div", "sha": "sha2(d.text, 256)", "minutes": "make_dt_interval(0, 0, CAST(d.doc_id * 37 AS INT))", "iso": "date_format(collected, 'yyyy-MM-dd')",
     "mm": "date_format(collected, 'MM')", "dd": "date_format(collected, 'dd')", "yy": "date_format(collected, 'yyyy')", "mon": "date_format(collected, 'MMM')",
     "dob": "date_add(DATE '1930-01-01', CAST((o_custkey * 97) % 30000 AS INT))", "i0": "0", "i1": "1", "i2": "2", "i3": "3",
+    "each": f"explode(array({_HEADER_NAMES}))",
 }
 DUCK = {
     "div": "//", "sha": "sha256(d.text)", "minutes": "to_minutes(d.doc_id * 37)", "iso": "strftime(collected, '%Y-%m-%d')",
     "mm": "strftime(collected, '%m')", "dd": "strftime(collected, '%d')", "yy": "strftime(collected, '%Y')", "mon": "strftime(collected, '%b')",
     "dob": "CAST(DATE '1930-01-01' + CAST((o_custkey * 97) % 30000 AS INT) AS DATE)", "i0": "1", "i1": "2", "i2": "3", "i3": "4",
+    "each": f"unnest([{_HEADER_NAMES}])",
 }
 VIEWS = {
     "rpt_fields": RPT_FIELDS, "doc_catalog": DOC_CATALOG, "rpt_dates": RPT_DATES, "corrections": CORRECTIONS, "jobs": JOBS, "audit": AUDIT,
