@@ -1,12 +1,18 @@
 """Fields from page text by a rule table: labels, words that rule a label out, and what may follow it on its line.
 
-Each line is cut once per field at the field's labels. What follows a label is a candidate; it is read from left to right: a
-number, then flag, unit, printed range and unit again, each optional. The first acceptable candidate of the first page that
-has one wins. Lines are rows, so a page of any length is spread over tasks by Spark.
+Each line is cut once per field at the field's labels. What follows a label is a candidate. It is cut into tokens (numbers,
+words, blanks, single signs), and a cursor goes over them: a number, then flag, unit, printed range and unit again, each
+optional and recognized by the kinds of its tokens. Dates are known by the row of kinds that their tokens make. The first
+acceptable candidate of the first page that has one wins. Lines are rows, so a page of any length is spread over tasks by Spark;
+only what follows a label reaches Python, in Arrow batches.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +45,12 @@ NOT_AFTER = {
 }
 NOT_BEFORE = {"hemoglobin": ["a1c"]}
 MAY_FOLLOW = {"glucose": ["fasting", "random", "serum", "plasma"], "patient_id": ["number", "no.", "no", "#"]}
+#: Units as they look without blanks, carets and case, with u for the micro sign.
+COUNT_UNITS = ["x103/ul", "x109/ul", "x103/l", "x109/l", "103/ul", "109/ul", "103/l", "109/l"]
+#: Printed in one piece only.
+SHORT_COUNT_UNITS = ["k/ul", "thou/ul", "cells/ul", "/ul", "/mm3"]
 UNITS = {
-    "glucose": ["mg/dL", "mmol/L"], "hemoglobin": ["g/dL", "g/L", "mmol/L"], "hematocrit": ["%", "L/L"],
-    "white_blood_cell_count": ["x10^3/uL", "x10^9/L", "K/uL", "thou/uL", "cells/uL", "/uL", "/mm3"],
-    "platelet_count": ["x10^3/uL", "x10^9/L", "K/uL", "thou/uL", "cells/uL", "/uL", "/mm3"],
+    "glucose": ["mg/dl", "mmol/l"], "hemoglobin": ["g/dl", "g/l", "mmol/l"], "hematocrit": ["%", "l/l"], "white_blood_cell_count": COUNT_UNITS, "platelet_count": COUNT_UNITS,
 }
 #: Of these, units of any other form are kept too, so that an unknown one is seen.
 ANY_UNIT = ["glucose", "hemoglobin"]
@@ -57,10 +65,18 @@ AFTER_NAME = [
     "collection", "collected", "received", "accession", "ordering", "physician", "doctor", "report",
 ]
 
+JOINS = ["-", "–", "to"]
+BOUNDS = ["<", ">", "≤", "≥"]
+#: Kinds of the tokens of a date: n a day or month in digits, y a year, m a month's name, other signs themselves.
+DATES = ["y-n-n", "y/n/n", "n/n/y", "n-n-y", "n.n.y", "n-m-y", "n m y", "n-m y", "n m-y", "n-m.-y", "n m. y", "n-m. y", "n m.-y", "m n y", "m n, y", "m. n y", "m. n, y"]
+
 OPEN, CLOSE = "\u0001", "\u0002"
-TO = r"\s*(?:-|–|to)\s*"
-DIGITS = r"\d[\d.,]*"
-A_NUMBER = r"\d+(?:[.,]\d+)?|\d{1,3}(?:,\d{3})+(?:\.\d+)?"
+#: Tokens: digits with single points or commas between them, letters, blanks, any other sign.
+TOKEN = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|\s+|.")
+#: For dates, signs stand by themselves.
+PLAIN_TOKEN = re.compile(r"\d+|[^\W\d_]+|\s+|.")
+#: The most tokens that a unit or a date is made of.
+LONGEST = 12
 
 
 def _any(words: list[str]) -> str:
@@ -71,13 +87,6 @@ def _any(words: list[str]) -> str:
     return "|".join(one(w) for w in sorted(words, key=len, reverse=True))
 
 
-def _unit_pattern(unit: str) -> str:
-    """A unit in the ways it is printed: with a micro sign for u, blanks round the slash, the x and the caret left out."""
-    spelled = {"u": "[uµμ]", "/": r"\s*/\s*", "x": r"(?:x\s*)?", "^": r"[\^]?", "3": "[39]", "9": "[39]"}
-    power = "^" in unit
-    return "".join(spelled[c] if c in spelled and (power or c in "u/") else c for c in unit)
-
-
 def _label_pattern(field: str) -> str:
     """Labels are words of their own; a number may be glued to the label of glucose."""
     end = "(?![a-z_])" if field == "glucose" else r"(?!\w)"
@@ -86,12 +95,6 @@ def _label_pattern(field: str) -> str:
     return rf"(?iu)(?<!\w)(?:{_any(ends_in_sign)}|(?:{_any(words)}){end})" if ends_in_sign else rf"(?iu)(?<!\w)(?:{_any(words)}){end}"
 
 
-def _date_pattern() -> str:
-    day, year, month = r"\d{1,2}", r"\d{4}", rf"(?:{'|'.join(MONTHS)})[a-z]*[.]?"
-    named = [rf"{day}{sep}{month}{sep}{year}" for sep in ("-", r"\s")] + [rf"{month}\s+{day},?\s+{year}"]
-    return "|".join([*named, *[f"{year}{s}{day}{s}{day}" for s in "-/"], *[f"{day}[{s}]{day}[{s}]{year}" for s in "/.-"]])
-
-
 def lines_of(pages: DataFrame, by: str) -> DataFrame:
     """by, page_num, line_no (from 0), line: blanks of all kinds become spaces, so positions stay as they are."""
     rows = pages.select(by, "page_num", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -142,40 +145,165 @@ def _take(rows: DataFrame, patterns: dict[str, str], into: str, when: Column | N
     return rows.withColumn("rest", F.substr("rest", F.length(into) + 1))
 
 
-def _cells(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """Candidates of results that hold a value: value, flag, unit, ref, and the end of value and unit in the tail."""
-    follow = {f: rf",?\s*(?:{_any(MAY_FOLLOW[f])})(?!\w)" if f in MAY_FOLLOW else "(?!)" for f in fields}
-    rows = _take(rows.withColumn("rest", F.col("tail")), follow, "extra")
-    rows = _take(rows, dict.fromkeys(fields, ":?"), "colon")
-    rows = _take(rows, dict.fromkeys(fields, DIGITS), "number").withColumn("value", F.rtrim(F.ltrim("number"), F.lit(".,")))
-    rows = rows.withColumn("rest", F.concat(F.substr("number", F.length("number") - F.length(F.ltrim("number")) + F.length("value") + 1), "rest"))
-    rows = rows.filter(F.col("value").rlike(rf"^(?:{A_NUMBER})$") & ~F.col("rest").rlike(rf"^{TO}\d"))
-    at = F.length("tail") - F.length("rest")
-    rows = rows.withColumn("value_end", at)
-    flags = dict.fromkeys(fields, rf"(?:{_any(FLAGS)})(?![\w/])")
-    known = {f: "|".join(map(_unit_pattern, UNITS[f])) for f in fields}
-    units = {f: rf"(?:{known[f]})(?![\w/])" + (r"|\p{L}[\p{L}\d.^]*\s*/\s*[\p{L}\d.^]+" if f in ANY_UNIT else "") for f in fields}
-    a_range = rf"[(]?\s*(?:(?:{A_NUMBER}){TO}(?:{A_NUMBER})(?!\d)|(?:[<>]=?|≤|≥)\s*(?:{A_NUMBER}))(?:\s*[)])?"
-    rows = _take(rows, flags, "flag1")
-    rows = _take(rows, units, "unit1").withColumn("unit_end", F.when(F.col("unit1") != "", at).otherwise(F.col("value_end")))
-    rows = _take(rows, flags, "flag2")
-    rows = _take(rows, dict.fromkeys(fields, a_range), "ref")
-    rows = _take(rows, units, "unit2")
-
-    def text(*names: str) -> Column:
-        return F.coalesce(*[F.nullif(F.trim(n), F.lit("")) for n in names])
-
-    return rows.withColumns({
-        "unit": text("unit1", "unit2"), "flag": F.upper(text("flag1", "flag2")), "ref": F.nullif(F.regexp_replace("ref", r"^[\s(]+|[\s)]+$", ""), F.lit("")),
-        "value_start": F.col("start") + F.col("value_end") - F.length("value"), "value_end": F.col("start") + F.col("unit_end"),
-    })
+class Cursor:
+    """Reads the tokens of a text from left to right. Every reader gives what it took, or nothing and stays where it is."""
+
+    def __init__(self, text: str, token: re.Pattern):
+        self.tokens, self.at = token.findall(text), 0
+
+    def __getitem__(self, i: int) -> str:
+        return self.tokens[self.at + i] if self.at + i < len(self.tokens) else ""
+
+    def blanks(self, i: int = 0) -> int:
+        """Tokens to the first one from there that is no blank."""
+        return i + (self[i] != "" and self[i].isspace())
+
+    def place(self) -> int:
+        """How many characters lie before the cursor."""
+        return sum(map(len, self.tokens[: self.at]))
+
+    def take(self, size) -> str:
+        """Steps over a blank and as many tokens as ``size`` says of what is there; goes back if it says none."""
+        before = self.at
+        self.at += self.blanks()
+        n = size(self)
+        text = "".join(self.tokens[self.at : self.at + n])
+        self.at = self.at + n if n else before
+        return text
+
+    def apart(self, n: int) -> bool:
+        """Whether no letter, digit or slash goes on behind n tokens."""
+        return not self[n] or not (self[n][0].isalnum() or self[n][0] in "_/")
+
+
+def is_number(run: str) -> bool:
+    """Whether digits with points and commas are one number: by how long the stretches between the signs are."""
+    if not run[:1].isdigit():
+        return False
+    groups = run.split(",")
+    if run.count(".") + len(groups) <= 2:
+        return True
+    lengths = [len(g) for g in (*groups[1:-1], groups[-1].split(".")[0])]
+    return len(groups) > 1 and run.count(".") <= 1 and "." not in "".join(groups[:-1]) and len(groups[0]) <= 3 and set(lengths) == {3}
+
+
+def _word_size(field: str):
+    """A comma or blank and one of the words that may follow the field's label."""
+    def size(c: Cursor) -> int:
+        n = c.blanks(1) if c[0] == "," else 0
+        return n + 1 if c[n].lower() in MAY_FOLLOW.get(field, []) and c.apart(n + 1) else 0
+
+    return size
+
+
+def _number_size(c: Cursor) -> int:
+    """A number that doesn't begin a range: where it does, the cell of the result is empty."""
+    join = c.blanks(1)
+    begins = c[join].lower() in JOINS and c[c.blanks(join + 1)][:1].isdigit()
+    return int(is_number(c[0]) and not begins)
+
+
+def _flag_size(c: Cursor) -> int:
+    return int(c[0].upper() in FLAGS and c.apart(1))
+
+
+def _unit_size(field: str):
+    """The most tokens that make a unit of the field or, for some fields, any quotient of two words."""
+    def folded(text: str) -> str:
+        return text.lower().replace("µ", "u").replace("μ", "u")
+
+    def known(text: str) -> bool:
+        tight = "/".join(side.strip() for side in folded(text).split("/"))
+        tight = "x" + tight[1:].lstrip() if tight.startswith("x") else tight
+        return tight.replace("^", "") in UNITS[field] or (UNITS[field] is COUNT_UNITS and folded(text) in SHORT_COUNT_UNITS)
+
+    def quotient(text: str) -> bool:
+        sides = [side.strip() for side in text.split("/")]
+        return len(sides) == 2 and sides[0][:1].isalpha() and all(s and all(ch.isalnum() or ch in ".^" for ch in s) for s in sides) and not text[-1].isspace()
+
+    def size(c: Cursor) -> int:
+        spans = [(n, "".join(c.tokens[c.at : c.at + n])) for n in range(min(LONGEST, len(c.tokens) - c.at), 0, -1)]
+        whole = next((n for n, text in spans if not text[-1].isspace() and known(text) and c.apart(n)), 0)
+        return whole or next((n for n, text in spans if field in ANY_UNIT and quotient(text)), 0)
+
+    return size
+
+
+def _range_size(c: Cursor) -> int:
+    """Number, join, number; or a bound and a number."""
+    join = c.blanks(1)
+    second = c.blanks(join + 1)
+    if is_number(c[0]) and c[join].lower() in JOINS and is_number(c[second]):
+        return second + 1
+    behind = c.blanks(2 if c[0] in "<>" and c[1] == "=" else 1)
+    return behind + 1 if c[0] in BOUNDS and is_number(c[behind]) else 0
+
+
+def _sign(sign: str):
+    return lambda c: int(c[0] == sign)
+
+
+def read_cell(field: str, tail: str) -> tuple | None:
+    """value, flag, unit, ref of what follows a label, and where the value and the unit behind it end in the tail."""
+    c = Cursor(tail, TOKEN)
+    c.take(_word_size(field))
+    c.take(_sign(":"))
+    value = c.take(_number_size)
+    if not value:
+        return None
+    value_to = c.place()
+    flag = c.take(_flag_size)
+    unit = c.take(_unit_size(field))
+    unit_to = c.place() if unit else value_to
+    flag = flag or c.take(_flag_size)
+    before = c.at
+    c.take(_sign("("))
+    ref = c.take(_range_size)
+    c.at = c.at if ref else before
+    c.take(_sign(")"))
+    return value, flag.upper() or None, unit or c.take(_unit_size(field)) or None, ref or None, value_to, unit_to
+
+
+def _date_size(c: Cursor) -> int:
+    """The most tokens whose kinds make a date."""
+    def kind(t: str) -> str:
+        if t.isdigit():
+            return "n" if len(t) <= 2 else "y" if len(t) == 4 else t
+        return "m" if t[:3].lower() in MONTHS and t.isalpha() else t
+
+    kinds = [kind(t) for t in c.tokens[c.at : c.at + LONGEST]]
+    rows = {n: "".join(kinds[:n]) for n in range(len(kinds), 0, -1)}
+    return next((n for n, row in rows.items() if (" ".join(row.split()) if row.startswith("m") else row) in DATES), 0)
+
+
+def read_date(field: str, tail: str) -> tuple | None:
+    """The same for a date; flag, unit and ref stay null."""
+    c = Cursor(tail, PLAIN_TOKEN)
+    c.take(_sign(":"))
+    value = c.take(_date_size)
+    return (value, None, None, None, c.place(), c.place()) if value else None
+
+
+CELL = "value string, flag string, unit string, ref string, value_to int, unit_to int"
+
+
+def _read(rows: DataFrame, reader: Callable[[str, str], tuple | None]) -> DataFrame:
+    """Candidates whose tail holds a value: value, flag, unit, ref, and where value and unit stand on the line."""
+    @F.pandas_udf(CELL)
+    def cells(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for fields, tails in batches:
+            found = [reader(f, t) or (None,) * 6 for f, t in zip(fields, tails, strict=True)]
+            yield pd.DataFrame(found, columns=["value", "flag", "unit", "ref", "value_to", "unit_to"]).astype({"value_to": "Int32", "unit_to": "Int32"})
+
+    read = rows.withColumn("cell", cells("field_name", "tail")).filter("cell.value is not null")
+    return read.select("*", *[f"cell.{c}" for c in ("value", "flag", "unit", "ref")]).withColumns({
+        "value_start": F.col("start") + F.col("cell.value_to") - F.length("value"), "value_end": F.col("start") + F.col("cell.unit_to")})
 
 
 def _values(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """The same for the other fields; flag, unit and ref stay null."""
+    """The same for names, numbers and words; flag, unit and ref stay null."""
     patterns = {
-        "patient_name": r".+", "date_of_birth": _date_pattern(), "collection_date": _date_pattern(), "received_date": _date_pattern(),
-        "patient_id": r"[a-z0-9][a-z0-9-]*", "patient_sex": rf"(?:{_any(SEXES)})(?!\w)", "specimen_type": rf"(?:{_any(SPECIMENS)})(?!\w)",
+        "patient_name": r".+", "patient_id": r"[a-z0-9][a-z0-9-]*", "patient_sex": rf"(?:{_any(SEXES)})(?!\w)", "specimen_type": rf"(?:{_any(SPECIMENS)})(?!\w)",
     }
     follow = {f: rf"(?:{_any(MAY_FOLLOW[f])})(?=\W|$)" if f in MAY_FOLLOW else "(?!)" for f in fields}
     rows = _take(rows.withColumn("rest", F.col("tail")), follow, "extra")
@@ -201,14 +329,19 @@ def extract_fields(pages: DataFrame, by: str, fields: list[str] | None = None) -
     fields = fields or list(LABELS)
     kept = ["value", "unit", "flag", "ref", "page_num", "line_no", "value_start", "value_end"]
     rows = _guarded(candidates(pages, by, fields))
-    results, others = [f for f in fields if f in UNITS], [f for f in fields if f not in UNITS]
+    results, dates = [f for f in fields if f in UNITS], [f for f in fields if f in schema.DATE_FIELDS]
+    others = [f for f in fields if f not in results and f not in dates]
     parts = []
     if results:
-        parts.append(_cells(rows.filter(F.col("field_name").isin(results)), results))
+        parts.append(_read(rows.filter(F.col("field_name").isin(results)), read_cell))
+    if dates:
+        parts.append(_read(rows.filter(F.col("field_name").isin(dates)), read_date))
     if others:
         parts.append(_values(rows.filter(F.col("field_name").isin(others)), others))
     both = [p.select(by, "field_name", "nth", *kept) for p in parts]
-    found = both[0] if len(both) == 1 else both[0].unionByName(both[1])
+    found = both[0]
+    for more in both[1:]:
+        found = found.unionByName(more)
     place = F.struct("page_num", "line_no", "nth")
     return found.groupBy(by, "field_name").agg(F.min_by(F.struct(*kept), place).alias("r")).select(by, "field_name", "r.*")
 
