@@ -14,6 +14,7 @@ from labframe.operators import validate as V
 from labframe.plans.fixtures import duck, view
 from labframe.registry import DECIDED as _DECIDED
 from labframe.registry import QUERIES, SQL, query
+from labframe.streaming import ordered as O
 from labframe.streaming import streams as T
 
 AS_OF = "2024-01-31"
@@ -395,7 +396,13 @@ def q_stream_first_uploads(spark, sf):
 
 @query(_GREEDY.format(key="user_id", where="WHERE event_type = 'view'", op=">=", window=86400, limit=1).replace("max(i) AS n_events, ", ""))
 def q_stream_view_throttle(spark, sf):
-    return T.throttled_views(spark, sf, 86400)
+    folder = T.folder(spark, "views")
+    views = spark.read.parquet(f"{sf}/events.parquet").filter("event_type = 'view'").select("user_id", F.unix_timestamp("ts").alias("t"), "event_id")
+    late = "21600 seconds"
+    stream = O.allowed_stream(O.arrivals(views, "t", "event_id", f"{folder}/in", 21600, 5), ["user_id"], "event_id", 86400, 1, True, late)
+    with O.rocks_state(spark, spark.sparkContext.defaultParallelism):
+        stored = O.write_once(stream, folder)
+    return stored.filter("event_id IS NOT NULL").groupBy("user_id").agg(F.count_if("allowed").alias("n_allowed"))
 
 
 @query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n FROM events GROUP BY ALL")

@@ -18,10 +18,14 @@ from labframe.operators import relational as R
 from labframe.operators import review as W
 from labframe.plans.cases import cases
 from labframe.plans.fixtures import duck, view
-from labframe.registry import DECIDED, query
+from labframe.registry import DECIDED, SQL, query
 from labframe.sources import files as S
+from labframe.streaming import ordered as O
+from labframe.streaming import streams as T
 
 TODAY = "1997-01-01"
+#: How many seconds after its time an event of the streams may come.
+LAG = 6 * 3600
 FILLER = " ".join(f"q{c}" for c in "abcdefghijklm")
 PRINTED = {
     "glucose": ["Glucose", "Glu", "Glucose, fasting"], "hemoglobin": ["Hemoglobin", "Haemoglobin", "Hgb"], "hematocrit": ["Hematocrit", "Haematocrit", "Hct"],
@@ -278,18 +282,41 @@ def q_job_pick_up(spark, sf):
     return M.pick_up(view(spark, sf, "jobs"), AS_OF).select("job_id", "picked", "status", "updated_at")
 
 
-@query(_JOBS + "SELECT job_id, CAST(1 AS BIGINT) AS attempt FROM jobs WHERE status = 'RUNNING' AND job_id % 3 <> 0")
+# Four events make a job: clicks and purchases are runs that deliver a result, the last event tells how the job stands.
+_RUNS = """WITH e AS (SELECT event_id // 4 AS job_id, event_id AS attempt, event_type FROM events),
+  j AS (SELECT job_id, arg_max(event_type, attempt) IN ('view', 'click') AS running, min(attempt) FILTER (event_type IN ('click', 'purchase')) AS attempt FROM e GROUP BY job_id)
+SELECT job_id, attempt FROM j WHERE running AND attempt IS NOT NULL"""
+
+
+def _runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Results by job and attempt, and the jobs with their status."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select(F.expr("event_id div 4").alias("job_id"), F.col("event_id").alias("attempt"), "event_type", F.unix_timestamp("ts").alias("t"))
+    last = e.groupBy("job_id").agg(F.max_by("event_type", "attempt").alias("last"))
+    return e.filter("event_type IN ('click', 'purchase')").select("job_id", "attempt", "t"), last.select("job_id", F.when(F.col("last").isin("view", "click"), "RUNNING").otherwise("SUCCEEDED").alias("status"))
+
+
+@query(_RUNS)
 def q_superseded_runs(spark, sf):
-    jobs = view(spark, sf, "jobs")
-    runs = jobs.filter("job_id % 3 <> 0").select("job_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("job_id") % 3)).alias("attempt"))
+    runs, jobs = _runs(spark, sf)
     return M.kept_results(runs, jobs).select("job_id", "attempt")
 
 
-@query(duck("rpt_fields") + """SELECT report_id, field_name, value, CASE WHEN report_id % 5 = 0 THEN 'rule_based' ELSE 'primary' END AS extractor, CASE WHEN report_id % 5 = 0 THEN 'timeout' END AS fallback_reason
-FROM rpt_fields""")
+@query(_RUNS)
+def q_stream_kept_results(spark, sf):
+    """The same where results come as a stream into a sink that holds each batch once."""
+    runs, jobs = _runs(spark, sf)
+    folder = T.folder(spark, "results")
+    held = O.write_once(O.arrivals(runs, "t", "attempt", f"{folder}/in", LAG, 4), folder).filter("attempt IS NOT NULL")
+    return M.kept_results(held, jobs).select("job_id", "attempt")
+
+
+@query(duck("rpt_fields") + """, e AS (SELECT report_id, min(CASE WHEN value IS NULL THEN 'missing value' WHEN value = 'pending' THEN 'not a number' END) AS error FROM rpt_fields GROUP BY report_id)
+SELECT f.report_id, field_name, CASE WHEN error IS NULL THEN value ELSE upper(value) END AS value, CASE WHEN error IS NULL THEN 'primary' ELSE 'rule_based' END AS extractor, error AS fallback_reason
+FROM rpt_fields f JOIN e ON e.report_id = f.report_id""")
 def q_fallback(spark, sf):
     f = view(spark, sf, "rpt_fields").select("report_id", "field_name", "value")
-    return M.with_fallback(f.withColumn("error", F.when(F.col("report_id") % 5 == 0, "timeout")), f, "report_id")
+    wrong = f.groupBy("report_id").agg(F.min(F.when(F.col("value").isNull(), "missing value").when(F.col("value") == "pending", "not a number")).alias("error"))
+    return M.with_fallback(f.join(wrong, "report_id"), f.withColumn("value", F.upper("value")), "report_id")
 
 
 @query(_JOBS + """SELECT job_id, CASE WHEN recovery_count < 3 AND job_id % 4 <> 0 THEN 'RETRYING' ELSE 'FAILED' END AS next_status,
@@ -545,12 +572,52 @@ def q_thresholds(spark, sf):
     return e.select("event_id", N.thresholds_problem(F.col("event_id") % 17 / 10, F.col("event_id") % 13 / 10, F.col("value") / 100).alias("problem"))
 
 
-@query(f"""SELECT user_id, role FROM ({_USERS}) WHERE active ORDER BY CASE role WHEN 'ADMIN' THEN 1 WHEN 'OPERATOR' THEN 2 WHEN 'REVIEWER' THEN 3 ELSE 4 END, user_id LIMIT 30""")
+@query(f"""SELECT user_id, role FROM ({_USERS}) WHERE active ORDER BY CASE role WHEN 'ADMIN' THEN 1 WHEN 'OPERATOR' THEN 2 WHEN 'REVIEWER' THEN 3 ELSE 4 END, user_id""")
 def q_users_by_role(spark, sf):
     users = spark.sql(_USERS.replace("FROM customer", "FROM {t}"), t=spark.read.parquet(f"{sf}/customer.parquet")).withColumn("name", F.lpad(F.col("user_id").cast("string"), 12, "0"))
-    return R.by_role(users, ["ADMIN", "OPERATOR", "REVIEWER", "VIEWER"]).select("user_id", "role").limit(30)
+    return R.by_role(users, ["ADMIN", "OPERATOR", "REVIEWER", "VIEWER"]).select("user_id", "role")
 
 
 @query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 600 MINUTE")
 def q_recent_events(spark, sf):
     return R.recent(spark.read.parquet(f"{sf}/events.parquet"), "2024-01-15", 600).select("event_id")
+
+
+# Streams out of order ---------------------------------------------------------------------------------------------------
+
+
+_ENDED = "(SELECT max(t) FROM requests) + 366 * 86400"
+
+
+def _stored(stream: DataFrame, folder: str) -> DataFrame:
+    with O.rocks_state(stream.sparkSession, stream.sparkSession.sparkContext.defaultParallelism):
+        return O.write_once(stream, folder)
+
+
+@query(SQL["q_lease_state"].removesuffix("SELECT document_id, seq, outcome, holder, status FROM s WHERE n > 0").replace(
+    "SELECT document_id, 0::BIGINT AS n,", "SELECT document_id, 0::BIGINT AS t, 0::BIGINT AS n,").replace("SELECT document_id, n, seq, o,", "SELECT document_id, t, n, seq, o,") + """
+SELECT document_id, seq, outcome, holder, status FROM s WHERE n > 0
+UNION ALL SELECT document_id, NULL, 'expired', holder, 'REVIEW_IN_PROGRESS' FROM (
+  SELECT document_id, holder, touched, max(coalesce(later, """ + _ENDED + """)) AS until FROM (SELECT *, lead(t) OVER (PARTITION BY document_id ORDER BY n) AS later FROM s WHERE n > 0)
+  WHERE holder IS NOT NULL GROUP BY document_id, holder, touched) WHERE until > touched + 3600""")
+def q_stream_leases(spark, sf):
+    folder = T.folder(spark, "leases")
+    # No event at the epoch itself: it would count as late from the beginning.
+    requests = O.arrivals(view(spark, sf, "requests").withColumn("t", F.col("t") + 86400), "t", "seq", f"{folder}/in", LAG, 5)
+    return _stored(O.lease_stream(requests, f"{LAG} seconds"), folder).filter("document_id IS NOT NULL")
+
+
+@query(SQL["q_rate_limit"])
+def q_stream_rate_limit(spark, sf):
+    folder = T.folder(spark, "limits")
+    events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.unix_timestamp("ts").alias("t"), "event_id")
+    stream = O.allowed_stream(O.arrivals(events, "t", "event_id", f"{folder}/in", LAG, 5), ["user_id"], "event_id", 86400, 2, False, f"{LAG} seconds")
+    return _stored(stream, folder).filter("event_id IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("n_events"), F.count_if("allowed").alias("n_allowed"))
+
+
+@query(SQL["q_lockout"])
+def q_stream_lockout(spark, sf):
+    folder = T.folder(spark, "lockouts")
+    tries = spark.read.parquet(f"{sf}/events.parquet").filter("event_type IN ('error', 'signup')").select("user_id", F.unix_timestamp("ts").alias("t"), "event_id", (F.col("event_type") == "error").alias("bad"))
+    stream = O.lockout_stream(O.arrivals(tries, "t", "event_id", f"{folder}/in", LAG, 5), f"{LAG} seconds", 3, 86400)
+    return _stored(stream, folder).filter("event_id IS NOT NULL").groupBy("user_id").agg(F.count_if(F.col("outcome") == "locked").alias("n_locks"), F.count_if(F.col("outcome") == "refused").alias("n_refused"))

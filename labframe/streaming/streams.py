@@ -1,4 +1,4 @@
-"""Structured Streaming variants of the duplicate check, the view throttle and daily counts.
+"""Structured Streaming variants of the duplicate check and of daily counts.
 
 Each runs to the end of what is there (AvailableNow), with its checkpoint and output in the shared folder, so a restarted
 driver goes on where it stopped; the result is then read as a table.
@@ -8,15 +8,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def _folder(spark: SparkSession, what: str) -> str:
+def folder(spark: SparkSession, what: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="labframe-stream-")
     return f"{base.rstrip('/')}/labframe-{what}-{uuid.uuid4().hex}"
 
@@ -28,7 +25,7 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def _drain(stream: DataFrame, mode: str, what: str) -> DataFrame:
     spark = stream.sparkSession
-    out = _folder(spark, what)
+    out = folder(spark, what)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{out}/progress").outputMode(mode)
     if mode == "append":
         writer.format("parquet").option("path", f"{out}/rows").start().awaitTermination()
@@ -44,23 +41,6 @@ def first_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drain(hashed.dropDuplicates(["content_hash"]), "append", "uploads")
 
 
-def throttled_views(spark: SparkSession, sf_dir: str, window_seconds: int) -> DataFrame:
-    """user_id, n_allowed: views are logged unless a logged one lies within the window before. State is the last logged time."""
-
-    def allow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, n = state.get if state.exists else (-(1 << 60), 0)
-        for t in sorted(t for b in batches for t in b.t):
-            if last < t - window_seconds:
-                last, n = t, n + 1
-        state.update((last, n))
-        yield pd.DataFrame({"user_id": [key[0]], "n_allowed": [n]})
-
-    views = _stream(spark, sf_dir, "events").filter("event_type = 'view'").select("user_id", F.unix_timestamp("ts").alias("t"))
-    counted = views.groupBy("user_id").applyInPandasWithState(allow, "user_id long, n_allowed long", "last long, n long", "update", GroupStateTimeout.NoTimeout)
-    rows = _drain(counted, "update", "views")
-    return rows.groupBy("user_id").agg(F.max_by("n_allowed", "_batch").alias("n_allowed"))
-
-
 def daily_counts(spark: SparkSession, sf_dir: str, late: str = "60 days") -> DataFrame:
     """event_type, day, n over tumbling days; rows that come later than the watermark allows are dropped."""
     events = _stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
