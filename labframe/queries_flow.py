@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +11,19 @@ from pyspark.sql import functions as F
 from labframe import schema
 from labframe.functions import numbers as N
 from labframe.functions import text as X
+from labframe.operators import driver as DR
 from labframe.operators import extract as E
 from labframe.operators import layout as L
 from labframe.operators import lifecycle as M
 from labframe.operators import pipeline as P
 from labframe.operators import relational as R
 from labframe.operators import review as W
+from labframe.operators import search_index as IX
 from labframe.plans.cases import cases
 from labframe.plans.fixtures import duck, view
 from labframe.registry import DECIDED, SQL, query
 from labframe.sources import files as S
+from labframe.sources import store as ST
 from labframe.streaming import ordered as O
 from labframe.streaming import streams as T
 
@@ -621,3 +625,67 @@ def q_stream_lockout(spark, sf):
     tries = spark.read.parquet(f"{sf}/events.parquet").filter("event_type IN ('error', 'signup')").select("user_id", F.unix_timestamp("ts").alias("t"), "event_id", (F.col("event_type") == "error").alias("bad"))
     stream = O.lockout_stream(O.arrivals(tries, "t", "event_id", f"{folder}/in", LAG, 5), f"{LAG} seconds", 3, 86400)
     return _stored(stream, folder).filter("event_id IS NOT NULL").groupBy("user_id").agg(F.count_if(F.col("outcome") == "locked").alias("n_locks"), F.count_if(F.col("outcome") == "refused").alias("n_refused"))
+
+
+# Stored tables, the search index, the document driver ---------------------------------------------------------------------
+
+@query("""WITH n AS (SELECT o_custkey, arg_max(o_totalprice, o_orderkey) FILTER (o_orderkey % 2 = 1) AS odd, arg_max(o_totalprice, o_orderkey) FILTER (o_orderkey % 2 = 0) AS even FROM orders GROUP BY o_custkey)
+SELECT c_custkey, c_name, coalesce(odd, even, c_acctbal)::DOUBLE AS balance FROM customer LEFT JOIN n ON o_custkey = c_custkey WHERE c_custkey % 11 <> 0""")
+def q_store_upsert(spark, sf):
+    """Two upserts and a deletion, each a version of its own."""
+    customers, orders = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("customer", "orders"))
+    own = customers.select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("balance"))
+    store = ST.Store(spark, T.folder(spark, "accounts"))
+    store.create(own, ["c_custkey"], 8)
+    for rest in (0, 1):
+        last = orders.filter(F.col("o_orderkey") % 2 == rest).groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max_by("o_totalprice", "o_orderkey").cast("double").alias("balance"))
+        store.upsert(last.join(customers.select("c_custkey", "c_name"), "c_custkey").select(own.columns))
+    store.delete(own.filter("c_custkey % 11 = 0"))
+    return store.read()
+
+
+@query("""SELECT l_orderkey, l_linenumber::INT AS l_linenumber, l_quantity::DOUBLE AS quantity FROM lineitem WHERE l_orderkey % 7 <> 0
+UNION ALL SELECT o_orderkey, 0, o_totalprice::DOUBLE FROM orders WHERE o_orderkey % 7 = 0""")
+def q_store_replace(spark, sf):
+    """The rows of some orders make way for one row each, as a second run of a job replaces what the first one left."""
+    lines, orders = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "orders"))
+    store = ST.Store(spark, T.folder(spark, "lines"))
+    store.create(lines.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_quantity").cast("double").alias("quantity")), ["l_orderkey"], 8)
+    again = orders.filter("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(0).alias("l_linenumber"), F.col("o_totalprice").cast("double").alias("quantity"))
+    store.replace(again, ["l_orderkey"])
+    return store.read()
+
+
+@query(duck("doc_catalog", "corrections") + """, t AS (
+  SELECT doc_id, filename AS text FROM doc_catalog WHERE doc_id % 5 <> 0 UNION ALL SELECT doc_id, new_value FROM corrections JOIN doc_catalog ON doc_id = field_id WHERE doc_id % 5 <> 0
+  UNION ALL SELECT doc_id, 'Moved_' || filename FROM doc_catalog WHERE doc_id % 5 = 0)
+SELECT DISTINCT doc_id, term FROM t, (SELECT unnest(['src3_', 'the', 'moved_', '%', '1_']) AS term) WHERE contains(lower(text), term)""")
+def q_search_index(spark, sf):
+    """File names and corrections are indexed; a second batch renames every fifth document and drops its corrections."""
+    docs = view(spark, sf, "doc_catalog").select(F.col("doc_id").alias("id"), F.col("filename").alias("text"))
+    more = view(spark, sf, "corrections").select(F.col("field_id").alias("id"), F.col("new_value").alias("text")).join(docs.select("id"), "id", "left_semi")
+    index = IX.SearchIndex(spark, T.folder(spark, "index"))
+    index.add(docs.unionByName(more), 1)
+    index.add(docs.filter("id % 5 = 0").withColumn("text", F.concat(F.lit("Moved_"), "text")), 2)
+    found = [index.search(term).select(F.col("id").alias("doc_id"), F.lit(term.lower()).alias("term")) for term in ("SRC3_", "the", "Moved_", "%", "1_")]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+_UPLOADS = r"""SELECT page_id, page_id % 4 + 1 AS k, page_id % 7 = 0 AS locked, page_id % 5 < 3 AS pdf, page_id % 5 = 3 AS png, replace(coalesce(html, ''), chr(12), ' ') AS h FROM pages"""
+
+
+@query(f"""WITH u AS ({_UPLOADS}), n AS (SELECT *, length(regexp_replace(h, '^\\s+|\\s+$', '', 'g')) > 20 AS native FROM u)
+SELECT page_id::VARCHAR AS document_id, i::INT AS page_num, CASE WHEN native AND pdf THEN 'PDF_NATIVE' ELSE 'OCR' END AS source, CASE WHEN native AND pdf THEN length(h) END AS n_chars, NULL::VARCHAR AS error_type, NULL::VARCHAR AS error, NULL::VARCHAR AS step
+FROM n, (SELECT unnest([1, 2, 3]) AS i) WHERE (pdf AND NOT locked AND k <= 3 AND i <= k) OR (png AND i = 1)
+UNION ALL SELECT page_id::VARCHAR, NULL, NULL, NULL, CASE WHEN NOT pdf THEN 'UnsupportedType' WHEN locked THEN 'PasswordProtected' ELSE 'TooManyPages' END,
+  CASE WHEN NOT pdf THEN 'Unsupported mime_type' WHEN locked THEN 'PDF is password protected' ELSE 'PDF has 4 pages; the maximum is 3' END, CASE WHEN NOT pdf THEN 'sniff' WHEN locked THEN 'open' ELSE 'count' END
+FROM n WHERE NOT png AND (NOT pdf OR locked OR k > 3)""")
+def q_document_driver(spark, sf):
+    """Pages and quarantine rows of uploads made from the pages table: PDFs of one to four pages, some locked, images and others."""
+    p, n = spark.read.parquet(f"{sf}/pages.parquet"), F.col("page_id")
+    html = F.replace(F.coalesce("html", F.lit("")), F.lit("\f"), F.lit(" "))
+    head = F.when(n % 5 < 3, F.concat(F.lit("%PDF-1.7"), F.when(n % 7 == 0, " /Encrypt").otherwise(""), F.lit("\n")))
+    pdf = F.encode(F.concat(head, F.array_join(F.array_repeat(html, (n % 4 + 1).cast("int")), "\f")), "UTF-8")
+    content = F.when(n % 5 < 3, pdf).when(n % 5 == 3, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.encode(html, "UTF-8"))
+    rows = DR.analyze(p.select(n.alias("document_id"), content.alias("content")), 3)
+    return rows.select("document_id", "page_num", "source", F.length("text").cast("long").alias("n_chars"), "error_type", "error", "step")
