@@ -38,12 +38,40 @@ def page_text(words: Column) -> Column:
     return F.array_join(F.transform(visual_rows(words), lambda r: F.array_join(F.transform(r["words"], lambda w: w["text"]), " ")), "\n")
 
 
+#: Side of the smallest grid cell, in the unit of the boxes.
+CELL = 16
+#: Boxes wider than CELL times two to this power go to the coarsest grid.
+LEVELS = 24
+
+
+def covering(points: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
+    """Pairs of ``points`` (page, px, py and more) and ``boxes`` (page, x, y, w, h and more, other names) with the point inside
+    the box or on its edge.
+
+    A box goes to the grid whose cells are just as large as it, so it covers four cells at most; a point is looked up in its
+    cell of every grid in use. Both sides meet by page and cell, so a page with very many boxes is spread over tasks.
+    """
+    span = F.greatest(F.col("w"), F.col("h"), F.lit(CELL))
+    level = F.least(F.ceil(F.log2(span / CELL)), F.lit(LEVELS)).cast("int")
+    side = F.pow(F.lit(2.0), F.col("_level")) * CELL
+
+    def cells(low, high) -> Column:
+        return F.explode(F.sequence(F.floor(low / side), F.floor(high / side)))
+
+    cut = boxes.filter("w >= 0 AND h >= 0").withColumn("_level", level)
+    cut = cut.select("*", cells(F.col("x"), F.col("x") + F.col("w")).alias("_gx")).select("*", cells(F.col("y"), F.col("y") + F.col("h")).alias("_gy"))
+    used = sorted(r[0] for r in cut.select("_level").distinct().collect())  # one entry per grid, LEVELS + 1 at most
+    own = points.withColumn("_level", F.explode(F.array(*map(F.lit, used)).cast("array<int>"))).withColumns({"_gx": F.floor(F.col("px") / side), "_gy": F.floor(F.col("py") / side)})
+    met = own.join(cut, [*page, "_level", "_gx", "_gy"])
+    return met.filter(F.col("px").between(F.col("x"), F.col("x") + F.col("w")) & F.col("py").between(F.col("y"), F.col("y") + F.col("h"))).drop("_level", "_gx", "_gy")
+
+
 def words_outside(scanned: DataFrame, native: DataFrame, page: list[str]) -> DataFrame:
-    """Scanned words whose centre lies in no native box of their page. The boxes of a page are one array, which a page bounds."""
-    boxes = native.groupBy(*page).agg(F.collect_list(F.struct("x", "y", "w", "h")).alias("_boxes"))
-    cx, cy = F.col("x") * 2 + F.col("w"), F.col("y") * 2 + F.col("h")
-    inside = F.exists("_boxes", lambda b: cx.between(b["x"] * 2, (b["x"] + b["w"]) * 2) & cy.between(b["y"] * 2, (b["y"] + b["h"]) * 2))
-    return scanned.join(boxes, page, "left").filter(~F.coalesce(inside, F.lit(False))).drop("_boxes")
+    """Scanned words whose centre lies in no native box of their page. Words and boxes without a place touch nothing."""
+    centre = {"px": F.col("x") + F.col("w") / 2, "py": F.col("y") + F.col("h") / 2}
+    points = scanned.withColumns(centre).select(*page, "px", "py").distinct()
+    hit = covering(points, native.select(*page, "x", "y", "w", "h"), page).select(*page, "px", "py").distinct()
+    return scanned.withColumns(centre).join(hit, [*page, "px", "py"], "left_anti").drop("px", "py")
 
 
 def merge_pages(scanned: DataFrame, native: DataFrame, page: list[str]) -> DataFrame:
@@ -64,10 +92,10 @@ def merge_pages(scanned: DataFrame, native: DataFrame, page: list[str]) -> DataF
 def embedded_regions(regions: DataFrame, page: list[str], area: Column) -> DataFrame:
     """Regions (x, y, w, h, seq) of at least LEAST_REGION of the page's area that lie in no earlier one of that size."""
     large = regions.filter((F.col("w") > 0) & (F.col("h") > 0) & (F.col("w") * F.col("h") >= area * LEAST_REGION))
-    all_ = large.groupBy(*page).agg(F.collect_list(F.struct("seq", "x", "y", "w", "h")).alias("_all"))
-    within = F.exists("_all", lambda r: (r["seq"] < F.col("seq")) & (r["x"] <= F.col("x")) & (r["y"] <= F.col("y"))
-                      & (r["x"] + r["w"] >= F.col("x") + F.col("w")) & (r["y"] + r["h"] >= F.col("y") + F.col("h")))
-    return large.join(all_, page).filter(~within).drop("_all")
+    inner = large.select(*page, F.col("seq").alias("_seq"), F.col("x").alias("px"), F.col("y").alias("py"), (F.col("x") + F.col("w")).alias("_right"), (F.col("y") + F.col("h")).alias("_low"))
+    met = covering(inner, large.select(*page, "seq", "x", "y", "w", "h"), page)
+    within = met.filter((F.col("seq") < F.col("_seq")) & (F.col("x") + F.col("w") >= F.col("_right")) & (F.col("y") + F.col("h") >= F.col("_low")))
+    return large.join(within.select(*page, F.col("_seq").alias("seq")).distinct(), [*page, "seq"], "left_anti")
 
 
 def box_to_original(box: Column, matrix: list[float]) -> Column:

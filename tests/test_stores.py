@@ -3,6 +3,7 @@
 import pytest
 
 from labframe.operators import driver as DR
+from labframe.operators import layout as L
 from labframe.operators import search_index as IX
 from labframe.sources import store as ST
 
@@ -78,3 +79,22 @@ def test_bad_uploads_land_in_quarantine(spark):
     # The same in SQL, and a failure of the reader itself concerns its document only.
     DR.register(spark)
     assert spark.sql("SELECT error_type FROM analyze_document('d', X'255044462D310A41', NULL)").first()[0] is None
+
+
+def test_words_meet_boxes_by_grid_cells(spark):
+    """A page of very many boxes of all sizes, and points on edges, against a comparison of all pairs."""
+    rng = __import__("random").Random(4)
+    boxes = [(p, float(rng.randrange(2000)), float(rng.randrange(2000)), float(rng.choice([0, 1, 15, 16, 17, 40, 700])), float(rng.choice([0, 3, 16, 33, 900]))) for p in (1, 1, 2) for _ in range(40)] + [(1, None, 1.0, 1.0, 1.0)]
+    words = [(i, rng.choice([1, 2, 3]), float(rng.randrange(2100)), float(rng.randrange(2100)), float(rng.randrange(20)), 8.0) for i in range(900)] + [(999, 1, None, 0.0, 1.0, 1.0)]
+    words += [(2000 + i, b[0], b[1] - 2.0, b[2] - 4.0, 4.0, 8.0) for i, b in enumerate(boxes) if b[1] is not None]
+    native = spark.createDataFrame(boxes, "page int, x double, y double, w double, h double")
+    scanned = spark.createDataFrame(words, "i int, page int, x double, y double, w double, h double")
+
+    def outside(w):
+        if w[2] is None:
+            return True
+        cx, cy = w[2] + w[4] / 2, w[3] + w[5] / 2
+        return not any(b[0] == w[1] and b[1] is not None and b[1] <= cx <= b[1] + b[3] and b[2] <= cy <= b[2] + b[4] for b in boxes)
+
+    assert {r.i for r in L.words_outside(scanned, native, ["page"]).collect()} == {w[0] for w in words if outside(w)}
+    assert L.words_outside(scanned, native.limit(0), ["page"]).count() == len(words)
