@@ -44,7 +44,7 @@ NOT_AFTER = {
     ],
 }
 NOT_BEFORE = {"hemoglobin": ["a1c"]}
-MAY_FOLLOW = {"glucose": ["fasting", "random", "serum", "plasma"], "patient_id": ["number", "no.", "no", "#"]}
+MAY_FOLLOW = {"glucose": ["fasting", "random", "serum", "plasma"]}
 #: Units as they look without blanks, carets and case, with u for the micro sign.
 COUNT_UNITS = ["x103/ul", "x109/ul", "x103/l", "x109/l", "103/ul", "109/ul", "103/l", "109/l"]
 #: Printed in one piece only.
@@ -95,6 +95,9 @@ def _label_pattern(field: str) -> str:
     return rf"(?iu)(?<!\w)(?:{_any(ends_in_sign)}|(?:{_any(words)}){end})" if ends_in_sign else rf"(?iu)(?<!\w)(?:{_any(words)}){end}"
 
 
+NEXT_LABEL = re.compile(rf"\s+(?:{_any(AFTER_NAME)})(?!\w)", re.IGNORECASE)
+
+
 def lines_of(pages: DataFrame, by: str) -> DataFrame:
     """by, page_num, line_no (from 0), line: blanks of all kinds become spaces, so positions stay as they are."""
     rows = pages.select(by, "page_num", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -127,24 +130,6 @@ def _guarded(rows: DataFrame) -> DataFrame:
     return rows.filter(ok)
 
 
-def _by_field(patterns: dict[str, str], text: Column) -> Column:
-    """What the field's pattern matches at the beginning of a text, with the blanks before it; empty if nothing."""
-    by_pattern: dict[str, list[str]] = {}
-    for field, pattern in patterns.items():
-        by_pattern.setdefault(pattern, []).append(field)
-    out = F.lit("")
-    for pattern, fields in by_pattern.items():
-        out = F.when(F.col("field_name").isin(fields), F.regexp_extract(text, rf"(?iu)^(\s*(?:{pattern}))", 1)).otherwise(out)
-    return out
-
-
-def _take(rows: DataFrame, patterns: dict[str, str], into: str, when: Column | None = None) -> DataFrame:
-    """Moves what the pattern matches from the beginning of ``rest`` to the column ``into``."""
-    got = _by_field(patterns, F.col("rest"))
-    rows = rows.withColumn(into, got if when is None else F.when(when, got).otherwise(F.lit("")))
-    return rows.withColumn("rest", F.substr("rest", F.length(into) + 1))
-
-
 class Cursor:
     """Reads the tokens of a text from left to right. Every reader gives what it took, or nothing and stays where it is."""
 
@@ -284,42 +269,75 @@ def read_date(field: str, tail: str) -> tuple | None:
     return (value, None, None, None, c.place(), c.place()) if value else None
 
 
-CELL = "value string, flag string, unit string, ref string, value_to int, unit_to int"
+def _one_of(words: list[str]):
+    """The longest of some phrases."""
+    def size(c: Cursor) -> int:
+        spans = [(n, " ".join("".join(c.tokens[c.at : c.at + n]).lower().split())) for n in range(3, 0, -1)]
+        return next((n for n, text in spans if text in words and not c[n - 1].isspace() and (c.apart(n) or c[n] == "/")), 0)
+
+    return size
+
+
+def _id_size(c: Cursor) -> int:
+    """Letters, digits and hyphens, a digit among them."""
+    n = 0
+    while c[n] and (c[n] == "-" and n or (c[n].isascii() and c[n].isalnum())):
+        n += 1
+    return n if any(t.isdigit() for t in c.tokens[c.at : c.at + n]) else 0
+
+
+def _id_word_size(c: Cursor) -> int:
+    """A word for number behind the label of an id."""
+    if c[0] == "#":
+        return 1
+    word = c[0].lower() in ("number", "no") and (not c[1] or not (c[1][0].isalnum() or c[1][0] == "_"))
+    return (1 + (c[0].lower() == "no" and c[1] == ".")) if word else 0
 
 
-def _read(rows: DataFrame, reader: Callable[[str, str], tuple | None]) -> DataFrame:
+def _name_size(c: Cursor) -> int:
+    """Words up to the next label; commas, points, hyphens and apostrophes belong to them."""
+    text = "".join(c.tokens[c.at :])
+    stop = NEXT_LABEL.search(text, 1)
+    name = (text[: stop.start()] if stop else text).rstrip(" ,")
+    fine = name and all(w[0].isascii() and w[0].isalpha() and all(ch.isascii() and ch.isalpha() or ch in "'.,-" for ch in w) for w in name.split(" ") if w)
+    n = size = 0
+    while fine and size < len(name):
+        size += len(c[n])
+        n += 1
+    return n
+
+
+def read_word(field: str, tail: str) -> tuple | None:
+    """The same for the other fields."""
+    c = Cursor(tail, PLAIN_TOKEN)
+    if field == "patient_id":
+        c.take(_id_word_size)
+    c.take(_sign(":"))
+    if field == "patient_id":
+        c.take(_sign("#"))
+    value = c.take({"patient_id": _id_size, "patient_name": _name_size, "patient_sex": _one_of(SEXES)}.get(field, _one_of(SPECIMENS)))
+    return (value, None, None, None, c.place(), c.place()) if value else None
+
+
+def read(field: str, tail: str) -> tuple | None:
+    return (read_cell if field in UNITS else read_date if field in schema.DATE_FIELDS else read_word)(field, tail)
+
+
+def _read(rows: DataFrame) -> DataFrame:
     """Candidates whose tail holds a value: value, flag, unit, ref, and where value and unit stand on the line."""
-    @F.pandas_udf(CELL)
+    names = ["value", "flag", "unit", "ref", "value_to", "unit_to"]
+
+    @F.pandas_udf("value string, flag string, unit string, ref string, value_to int, unit_to int")
     def cells(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for fields, tails in batches:
-            found = [reader(f, t) or (None,) * 6 for f, t in zip(fields, tails, strict=True)]
-            yield pd.DataFrame(found, columns=["value", "flag", "unit", "ref", "value_to", "unit_to"]).astype({"value_to": "Int32", "unit_to": "Int32"})
+            found = [read(f, t) or (None,) * 6 for f, t in zip(fields, tails, strict=True)]
+            yield pd.DataFrame(found, columns=names).astype({"value_to": "Int32", "unit_to": "Int32"})
 
-    read = rows.withColumn("cell", cells("field_name", "tail")).filter("cell.value is not null")
-    return read.select("*", *[f"cell.{c}" for c in ("value", "flag", "unit", "ref")]).withColumns({
+    taken = rows.withColumn("cell", cells("field_name", "tail")).filter("cell.value is not null")
+    return taken.select("*", *[f"cell.{c}" for c in names[:4]]).withColumns({
         "value_start": F.col("start") + F.col("cell.value_to") - F.length("value"), "value_end": F.col("start") + F.col("cell.unit_to")})
 
 
-def _values(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """The same for names, numbers and words; flag, unit and ref stay null."""
-    patterns = {
-        "patient_name": r".+", "patient_id": r"[a-z0-9][a-z0-9-]*", "patient_sex": rf"(?:{_any(SEXES)})(?!\w)", "specimen_type": rf"(?:{_any(SPECIMENS)})(?!\w)",
-    }
-    follow = {f: rf"(?:{_any(MAY_FOLLOW[f])})(?=\W|$)" if f in MAY_FOLLOW else "(?!)" for f in fields}
-    rows = _take(rows.withColumn("rest", F.col("tail")), follow, "extra")
-    rows = _take(rows, {f: r":?\s*#?" if f == "patient_id" else ":?" for f in fields}, "colon")
-    rows = rows.withColumn("at", F.length("tail") - F.length("rest"))
-    rows = _take(rows, {f: patterns[f] for f in fields}, "taken")
-    name = F.regexp_replace(F.regexp_extract("taken", rf"(?i)^(\s*\S+.*?)(?:\s+(?:{_any(AFTER_NAME)})(?!\w).*)?$", 1), r"[\s,]+$", "")
-    rows = rows.withColumn("taken", F.when(F.col("field_name") == "patient_name", name).otherwise(F.col("taken"))).withColumn("value", F.trim("taken"))
-    word = r"[A-Za-z][A-Za-z'.,-]*"
-    ok = F.when(F.col("field_name") == "patient_name", F.col("value").rlike(rf"^{word}(?:\s+{word})*$"))
-    ok = ok.when(F.col("field_name") == "patient_id", F.col("value").rlike(r"\d")).otherwise(F.col("value") != "")
-    rows = rows.filter(ok).withColumn("value_end", F.col("start") + F.col("at") + F.length("taken"))
-    none = F.lit(None).cast("string")
-    return rows.withColumns({"unit": none, "flag": none, "ref": none, "value_start": F.col("value_end") - F.length("value")})
-
-
 def extract_fields(pages: DataFrame, by: str, fields: list[str] | None = None) -> DataFrame:
     """One row per (document, field): value, unit, flag, ref, page_num, line_no, value_start, value_end (positions on the line,
     the unit behind the value included) of the first page that shows the field.
@@ -328,20 +346,7 @@ def extract_fields(pages: DataFrame, by: str, fields: list[str] | None = None) -
     """
     fields = fields or list(LABELS)
     kept = ["value", "unit", "flag", "ref", "page_num", "line_no", "value_start", "value_end"]
-    rows = _guarded(candidates(pages, by, fields))
-    results, dates = [f for f in fields if f in UNITS], [f for f in fields if f in schema.DATE_FIELDS]
-    others = [f for f in fields if f not in results and f not in dates]
-    parts = []
-    if results:
-        parts.append(_read(rows.filter(F.col("field_name").isin(results)), read_cell))
-    if dates:
-        parts.append(_read(rows.filter(F.col("field_name").isin(dates)), read_date))
-    if others:
-        parts.append(_values(rows.filter(F.col("field_name").isin(others)), others))
-    both = [p.select(by, "field_name", "nth", *kept) for p in parts]
-    found = both[0]
-    for more in both[1:]:
-        found = found.unionByName(more)
+    found = _read(_guarded(candidates(pages, by, fields))).select(by, "field_name", "nth", *kept)
     place = F.struct("page_num", "line_no", "nth")
     return found.groupBy(by, "field_name").agg(F.min_by(F.struct(*kept), place).alias("r")).select(by, "field_name", "r.*")
 

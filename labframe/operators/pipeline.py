@@ -16,6 +16,7 @@ from labframe.functions import numbers as N
 from labframe.functions import text as X
 from labframe.operators import extract as E
 from labframe.operators import validate as V
+from labframe.sources import files
 
 FIELD = ["value", "unit", "reference_range", "abnormal_flag", "confidence", "page_num"]
 VALIDATED = schema.MANDATORY_FIELDS + schema.OPTIONAL_FIELDS
@@ -27,13 +28,17 @@ LOW = "Low confidence extraction"
 CHECK = "check for a misread digit or decimal point"
 
 
-def in_context(fields: DataFrame, by: str, order: str = "MDY") -> DataFrame:
+def in_context(fields: DataFrame, by: str, order: str = "MDY", docs: DataFrame | None = None) -> DataFrame:
     """``fields`` (by, field_name, FIELD) with a MISSING row for every mandatory field that a document lacks, and date_order, sex
     and age of the document. Of rows that name a field twice, the one that stands first in the order of page and value is the
-    context; all are validated."""
+    context; all are validated. ``docs`` names documents (by) that may have no fields at all."""
+    of_docs, kinds = docs, dict(fields.dtypes)
     one = F.struct("field_name", *[c for c in FIELD])
     docs = fields.filter(F.col("field_name").isin(VALIDATED)).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("page_num", "value", one.alias("f")))).alias("fs"))
     docs = docs.withColumn("fs", F.transform("fs", lambda x: x["f"]))
+    if of_docs is not None:
+        none = F.array().cast(dict(docs.dtypes)["fs"])
+        docs = of_docs.select(by).distinct().join(docs, by, "left").withColumn("fs", F.coalesce("fs", none))
 
     def value(name: str) -> Column:
         return F.get(F.filter("fs", lambda f: f["field_name"] == name), F.lit(0))["value"]
@@ -43,7 +48,6 @@ def in_context(fields: DataFrame, by: str, order: str = "MDY") -> DataFrame:
     docs = docs.withColumn("collected", D.parse_date(value("collection_date"), F.col("date_order"))).withColumn("born", D.parse_date(value("date_of_birth"), F.col("date_order")))
     docs = docs.withColumns({"sex": X.normalize_sex(value("patient_sex")), "age": D.age_in_years(F.col("born"), F.col("collected"))})
     absent = F.array_except(F.array(*[F.lit(m) for m in schema.MANDATORY_FIELDS]), F.transform("fs", lambda f: f["field_name"]))
-    kinds = dict(fields.dtypes)
     blank = F.transform(absent, lambda name: F.struct(name.alias("field_name"), *[
         (F.lit(0.0) if c == "confidence" else F.lit(None)).cast(kinds[c]).alias(c) for c in FIELD]))
     return docs.select(by, "date_order", "sex", "age", F.explode(F.concat("fs", blank)).alias("f")).select(by, "date_order", "sex", "age", "f.*")
@@ -162,9 +166,9 @@ def score(rows: DataFrame, high: float = 0.9, low: float = 0.7) -> DataFrame:
     return rows.withColumn("messages", F.when(F.col("category") == "LOW", F.array_append("messages", F.lit(LOW))).otherwise(F.col("messages")))
 
 
-def validate(fields: DataFrame, by: str, pages: DataFrame | None = None, today: str | None = None, order: str = "MDY") -> DataFrame:
+def validate(fields: DataFrame, by: str, pages: DataFrame | None = None, today: str | None = None, order: str = "MDY", docs: DataFrame | None = None) -> DataFrame:
     """All field-level steps in their order. ``fields`` has by, field_name and FIELD (confidence from 0 to 100)."""
-    rows = validate_each(in_context(fields, by, order), today)
+    rows = validate_each(in_context(fields, by, order, docs), today)
     rows = rows if pages is None else check_pages(rows, pages, by)
     return score(check_flags(check_dates(rows, by), by))
 
@@ -176,11 +180,13 @@ def decide(validated: DataFrame, by: str, auto_accept: float = 0.9, hold_abnorma
     return decided.withColumn("validation_status", F.when(F.col("decision") == "AUTO_ACCEPTED", "VALID").otherwise("INVALID"))
 
 
-def run(pages: DataFrame, by: str, confidence: float = 99.0, today: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Extract, validate and decide: the fields and the documents. Documents without text end as all MISSING."""
+def run(pages: DataFrame, by: str, confidence: float = 99.0, today: str | None = None, folder: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Extract, validate and decide: the fields and the documents. Documents without text end as all MISSING.
+
+    With a ``folder`` the validated fields are written there, so that what is made of them doesn't make them again.
+    """
     found = E.extract_fields(pages, by).withColumnsRenamed({"ref": "reference_range", "flag": "abnormal_flag"}).withColumn("confidence", F.lit(confidence))
-    none = pages.select(by).distinct().select(by, F.lit("patient_sex").alias("field_name"), *[
-        F.lit(None).cast(dict(found.dtypes)[c]).alias(c) for c in FIELD if c != "confidence"], F.lit(100.0).alias("confidence"))
-    fields = found.select(by, "field_name", *FIELD).unionByName(none.join(found.select(by).distinct(), by, "left_anti").select(by, "field_name", *FIELD))
-    validated = validate(fields, by, pages if "ocr_used" in pages.columns else pages.withColumn("ocr_used", F.lit(False)), today)
+    checked = pages if "ocr_used" in pages.columns else pages.withColumn("ocr_used", F.lit(False))
+    validated = validate(found.select(by, "field_name", *FIELD), by, checked, today, docs=pages.select(by))
+    validated = validated if folder is None else files.stored(validated, folder)
     return validated, decide(validated, by)

@@ -183,6 +183,31 @@ def q_validate_fields(spark, sf):
     return validated(spark, sf).select("report_id", "field_name", "state", "normalized_value", "conf", "category", F.size("messages").alias("n_messages"))
 
 
+_SHOWN = r"regexp_replace(normalized::DECIMAL(18,3)::VARCHAR, '\.?0+$', '')"
+_CHECK = "check for a misread digit or decimal point"
+_UNIT_OF = "CASE field_name WHEN 'glucose' THEN 'mg/dL' WHEN 'hemoglobin' THEN 'g/dL' WHEN 'hematocrit' THEN '%' ELSE 'x10^3/uL' END"
+_WORD = "CASE {} WHEN 'H' THEN 'high' WHEN 'L' THEN 'low' ELSE 'normal' END"
+_ENDS = "coalesce(lower::DOUBLE::VARCHAR, 'None') || ' - ' || coalesce(upper::DOUBLE::VARCHAR, 'None')"
+
+
+@query(VALIDATED + f"""SELECT report_id, field_name, list_aggregate(list_filter([CASE WHEN state = 'FLAG_MISMATCH' THEN 'The report marks this result ' || {_WORD.format('abnormal_flag')} || ', but the value read (' || {_SHOWN} || ') is ' || {_WORD.format('direction')}
+      || ' for its range (' || CASE WHEN basis = 'report' THEN trim(reference_range) ELSE 'adult range ' || {_ENDS} END || '); {_CHECK}' ELSE CASE d_state
+    WHEN 'MISSING' THEN 'Required field missing' WHEN 'INVALID_FORMAT' THEN 'Invalid numeric format: ' || value
+    WHEN 'UNRECOGNIZED_UNIT' THEN CASE WHEN unit IS NULL THEN 'No unit printed with the result; expected ' || {_UNIT_OF} ELSE 'Unrecognized unit ''' || unit || '''; expected ' || {_UNIT_OF} END
+    WHEN 'NO_REFERENCE_RANGE' THEN 'Adult reference ranges do not apply (age ' || age || '); verify against the report''s own range'
+    WHEN 'EXTREME_VALUE' THEN CASE WHEN normalized < p_lo OR normalized > p_hi THEN 'Value ' || {_SHOWN} || ' ' || {_UNIT_OF} || ' is outside any plausible result (' || p_lo::DOUBLE::VARCHAR || ' - ' || p_hi::DOUBLE::VARCHAR || '); {_CHECK}'
+      ELSE 'Value ' || {_SHOWN} || ' is far outside the reference range (' || {_ENDS} || '); {_CHECK}' END
+    WHEN 'OUTSIDE_REFERENCE_RANGE' THEN CASE WHEN direction IS NULL THEN 'Value ' || {_SHOWN} || ' ' || {_UNIT_OF} || ' is flagged ' || {_WORD.format('abnormal_flag')} || ' on the report'
+      WHEN basis = 'report' THEN 'Value ' || {_SHOWN} || ' ' || {_UNIT_OF} || ' is outside the report''s reference range (' || trim(reference_range) || ')'
+      ELSE 'Value ' || {_SHOWN} || ' is outside the adult reference range (' || {_ENDS} || ' ' || {_UNIT_OF} || ')' END END END,
+  CASE WHEN state = 'SOURCE_MISMATCH' THEN 'Extracted value was not found in the document text' END, CASE WHEN category = 'LOW' THEN 'Low confidence extraction' END], lambda x: x IS NOT NULL), 'string_agg', ' | ') AS messages
+FROM cat WHERE state <> 'VALID' OR category = 'LOW'""")
+def q_field_messages(spark, sf):
+    """What a reviewer reads about each result that isn't plainly valid."""
+    rows = validated(spark, sf).filter(F.col("field_name").isin(schema.NUMERIC_FIELDS) & (F.size("messages") > 0))
+    return rows.select("report_id", "field_name", F.array_join("messages", " | ").alias("messages"))
+
+
 _CRITICAL = ", ".join(f"'{f}'" for f in schema.CRITICAL_FIELDS)
 
 
@@ -222,7 +247,7 @@ REVISED = VALIDATED + _CHANGED + _AGAIN + """, revised AS (
 
 
 def _revised(spark: SparkSession, sf: str) -> DataFrame:
-    fields = validated(spark, sf).withColumn("field_id", F.concat_ws(":", "report_id", "field_name"))
+    fields = S.stored(validated(spark, sf).withColumn("field_id", F.concat_ws(":", "report_id", "field_name")), T.folder(spark, "validated"))
     current = fields.select("field_id", F.col("value").alias("current_value"), F.col("unit").alias("current_unit"))
     real, _ = W.real_changes(_changes(spark, sf), current)
     return W.revalidate(fields.select("report_id", "field_id", "field_name", *P.FIELD, "state", "messages"), real, "report_id", TODAY)
@@ -237,7 +262,7 @@ def q_revalidate(spark, sf):
   CASE WHEN count(*) FILTER (kind = 'blocking') > 0 THEN 'UNRESOLVED_VALIDATION_ISSUES' WHEN count(*) FILTER (kind = 'unseen') > 0 AND report_id % 2 = 0 THEN 'UNCONFIRMED_WARNINGS' ELSE 'HUMAN_APPROVED' END AS outcome
 FROM kinds GROUP BY report_id""")
 def q_unseen_warnings(spark, sf):
-    revised = _revised(spark, sf)
+    revised = S.stored(_revised(spark, sf), T.folder(spark, "revised"))
     confirmed = revised.filter("report_id % 2 = 1").select("report_id")
     return W.approvals(revised, "report_id", confirmed)
 
@@ -458,6 +483,7 @@ FROM doc_catalog d LEFT JOIN by_doc b ON b.doc_id = d.doc_id WHERE status IN ('R
   AND (contains(lower(filename), 'lopez') OR contains(lower(patient_name), 'lopez') OR contains(lower(patient_id), 'lopez') OR d.doc_id % 10 = 0 AND b.doc_id IS NOT NULL)""")
 def q_list_documents(spark, sf):
     fields = validated(spark, sf).select(F.col("report_id").alias("doc_id"), F.concat_ws(":", "report_id", "field_name").alias("field_id"), "field_name", "value", F.col("value").alias("current_value"), "state")
+    fields = S.stored(fields, T.folder(spark, "fields"))
     corrections = fields.filter("field_name = 'patient_name' AND doc_id % 10 = 0").select("field_id", F.lit("Ana LOPEZ").alias("new_value"))
     docs = view(spark, sf, "doc_catalog")
     # The last day ends at 05:00 UTC, where a reader five hours west has midnight.
@@ -490,7 +516,7 @@ _READ = """, x_fields AS (
   FROM (SELECT *, value IS NULL OR value = 'pending' AS lost FROM rpt_fields)
 ), x_header AS (SELECT * FROM rpt_header WHERE value <> 'Unknown')"""
 EVALUATED = VALIDATED.replace("), ctx AS (", ")" + _READ + ", ctx AS (", 1).replace("FROM rpt_fields f JOIN ctx c", "FROM x_fields f JOIN ctx c").replace(
-    "event_id % 29 = 0 AND state <> 'MISSING'", "false").replace("d.report_id % 14 = 0", "false").replace("LEFT JOIN rpt_header h", "LEFT JOIN x_header h") + _TRUTH + """, outcomes AS (
+    "event_id % 29 = 0 AND state <> 'MISSING'", "false").replace("d.report_id % 14 = 0", "false").replace("LEFT JOIN rpt_header h ON h.report_id = d.report_id AND h.field_name = m.field_name", "LEFT JOIN x_header h ON h.report_id = d.report_id AND h.field_name = m.field_name WHERE h.value IS NOT NULL OR m.field_name <> 'patient_sex'") + _TRUTH + """, outcomes AS (
   SELECT t.event_id, t.report_id, c.field_name, CASE WHEN c.raw IS NULL THEN 'missing' WHEN abs(round(c.normalized, 3)::DOUBLE - t.want) <= greatest(0.01 * abs(t.want), 0.051) THEN 'correct' ELSE 'wrong' END AS outcome
   FROM truth t JOIN cat c ON c.event_id = t.event_id), decisions AS (
   SELECT report_id, bool_and(state IN ('VALID', 'OUTSIDE_REFERENCE_RANGE') AND category <> 'LOW' AND (category = 'HIGH' OR field_name NOT IN (""" + _CRITICAL + """))) AND round(avg(conf), 6) >= 0.9 AS accepted FROM all_fields GROUP BY report_id
@@ -503,7 +529,7 @@ def _evaluated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     head = header_pages(spark, sf).select("report_id", "page_num", F.lit(0).alias("part"), "text")
     both = head.unionByName(result_pages(spark, sf).select("report_id", "page_num", F.lit(1).alias("part"), "text"))
     pages = both.groupBy("report_id", "page_num").agg(F.array_sort(F.collect_list(F.struct("part", "text"))).alias("x")).select("report_id", "page_num", F.array_join("x.text", "\n").alias("text"))
-    fields, docs = P.run(pages, "report_id", today=TODAY)
+    fields, docs = P.run(pages, "report_id", today=TODAY, folder=T.folder(spark, "evaluated"))
     e, c = spark.read.parquet(f"{sf}/events.parquet"), F.round(F.abs("value") * 100).cast("long")
     which = F.col("event_id") % 5
     want = F.when(which == 0, F.when((F.col("event_id") % 7 == 5) & (F.col("event_id") % 59 != 0), (c % 12 + 3) * 18.016).otherwise(c % 161 + 40)).when(which == 1, (c % 121 + 80) / 10).when(

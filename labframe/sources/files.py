@@ -42,3 +42,9 @@ def settings(stored: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """One row of settings: stored values of known keys over the defaults."""
     picks = [F.coalesce(F.max(F.when(F.col("key") == k, F.col("value").try_cast("double"))), F.lit(float(v))).alias(k) for k, v in defaults.items()]
     return stored.agg(*picks)
+
+
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The rows, written to a folder and read again: later steps and lost executors don't compute them anew."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
