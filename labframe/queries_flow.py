@@ -15,6 +15,7 @@ from labframe.operators import driver as DR
 from labframe.operators import extract as E
 from labframe.operators import layout as L
 from labframe.operators import lifecycle as M
+from labframe.operators import metrics as MX
 from labframe.operators import pipeline as P
 from labframe.operators import relational as R
 from labframe.operators import review as W
@@ -742,3 +743,14 @@ def q_document_driver(spark, sf):
     content = F.when(n % 5 < 3, pdf).when(n % 5 == 3, F.unhex(F.lit("89504E470D0A1A0A00"))).otherwise(F.encode(html, "UTF-8"))
     rows = DR.analyze(p.select(n.alias("document_id"), content.alias("content")), 3)
     return rows.select("document_id", "page_num", "source", F.length("text").cast("long").alias("n_chars"), "error_type", "error", "step")
+
+
+@query(duck("doc_catalog") + """, s AS (SELECT unnest(['""" + "', '".join(schema.DOCUMENT_STATUSES) + """']) AS status), c AS (SELECT overall_confidence AS x FROM doc_catalog WHERE overall_confidence IS NOT NULL)
+SELECT '# TYPE documents gauge' AS line UNION ALL SELECT 'documents{status="' || s.status || '"} ' || (count(d.doc_id))::DOUBLE FROM s LEFT JOIN doc_catalog d ON d.status = s.status GROUP BY s.status
+UNION ALL SELECT '# TYPE confidence histogram' UNION ALL SELECT 'confidence_bucket{le="0.5"} ' || (count(*) FILTER (x <= 0.5))::DOUBLE FROM c UNION ALL SELECT 'confidence_bucket{le="0.9"} ' || (count(*) FILTER (x <= 0.9))::DOUBLE FROM c
+UNION ALL SELECT 'confidence_bucket{le="+Inf"} ' || count(*)::DOUBLE FROM c UNION ALL SELECT 'confidence_count ' || count(*)::DOUBLE FROM c""")
+def q_metrics_text(spark, sf):
+    """Counted while the catalogue is written; the sum, whose last digits depend on the order, is left out."""
+    wanted = MX.Metrics().gauge("documents", "status", schema.DOCUMENT_STATUSES, "status").histogram("confidence", "overall_confidence", [0.5, 0.9])
+    text = wanted.write(view(spark, sf, "doc_catalog"), T.folder(spark, "catalogue"))
+    return spark.createDataFrame([(x,) for x in text.splitlines() if "_sum" not in x], "line string")

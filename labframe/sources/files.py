@@ -24,7 +24,8 @@ def page_source(text: Column) -> Column:
 
 
 def uploads(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(accepted, quarantined): path, length, mime, content_hash, content; refused files keep a reason and no content."""
+    """(accepted, quarantined): path, length, mime, content_hash, content; refused files keep a reason and no content.
+    Spark leaves empty files out."""
     files = spark.read.format("binaryFile").load(path).withColumn("mime", sniff(F.col("content")))
     reason = F.when(F.col("length") > MAX_UPLOAD_BYTES, "too large").when(F.col("mime").isNull(), "unsupported type")
     files = files.withColumn("reason", reason)
