@@ -285,3 +285,28 @@ def case_outcomes(got: DataFrame, truth: DataFrame, by: str) -> DataFrame:
     joined = truth.join(got.select(by, "field_name", F.col("normalized_value").alias("got")), [by, "field_name"], "left")
     blank = F.coalesce(F.trim("got"), F.lit("")) == ""
     return joined.select(by, "field_name", F.when(blank, "missing").when(N.tolerance_match(F.col("got"), F.col("truth")), "correct").otherwise("wrong").alias("outcome"))
+
+
+def report_lines(outcomes_: DataFrame, accepted_right: DataFrame, traits: list[str]) -> DataFrame:
+    """n, line: the report of an evaluation as text. ``outcomes_``: field_name, outcome and traits; ``accepted_right`` as in gates.
+
+    One line per field and trait value, so it is small whatever was evaluated.
+    """
+    def percent(share: Column, digits: int = 1) -> Column:
+        return F.concat(F.format_number(F.round(share * 100, digits), digits), F.lit("%"))
+
+    right = F.count_if(F.col("outcome") == "correct") / F.count("*")
+    docs = accepted_right.agg(F.count("*").alias("n"), F.avg(F.col("all_correct").cast("int")).alias("right"), F.avg(F.col("accepted").cast("int")).alias("share"),
+                              F.avg(F.when(F.col("accepted"), F.col("all_correct").cast("int"))).alias("precision"))
+    precision = F.when(F.col("precision").isNotNull(), F.concat(F.lit(", of which fully correct: "), percent(F.col("precision")))).otherwise("")
+    head = docs.select(F.explode(F.array(
+        F.struct(F.lit(1).alias("n"), F.concat(F.lit("Documents: "), "n").alias("line")), F.struct(F.lit(3).alias("n"), F.concat(F.lit("Documents fully correct: "), percent(F.col("right"))).alias("line")),
+        F.struct(F.lit(4).alias("n"), F.concat(F.lit("Auto-accepted: "), percent(F.col("share")), F.lit(" of documents"), precision).alias("line")))).alias("x")).select("x.*")
+    whole = outcomes_.agg(F.concat(F.lit("Field accuracy: "), percent(right)).alias("line")).select(F.lit(2).alias("n"), "line")
+    cell = [F.count_if(F.col("outcome") == o).cast("string") for o in ("wrong", "missing")]
+    table = outcomes_.groupBy("field_name").agg(F.concat(F.lit("| "), "field_name", F.lit(" | "), percent(right, 0), F.lit(" | "), cell[0], F.lit(" | "), cell[1], F.lit(" |")).alias("line"))
+    found = head.unionByName(whole).unionByName(table.select(F.lit(5).alias("n"), "line"))
+    for i, trait in enumerate(traits):
+        by = outcomes_.groupBy(trait).agg(F.concat(F.lit(f"By {trait}: "), F.col(trait).cast("string"), F.lit(" "), percent(right)).alias("line"))
+        found = found.unionByName(by.select(F.lit(6 + i).alias("n"), "line"))
+    return found

@@ -17,6 +17,7 @@ from labframe.operators import layout as L
 from labframe.operators import lifecycle as M
 from labframe.operators import metrics as MX
 from labframe.operators import pipeline as P
+from labframe.operators import providers as PR
 from labframe.operators import relational as R
 from labframe.operators import review as W
 from labframe.operators import search_index as IX
@@ -754,3 +755,35 @@ def q_metrics_text(spark, sf):
     wanted = MX.Metrics().gauge("documents", "status", schema.DOCUMENT_STATUSES, "status").histogram("confidence", "overall_confidence", [0.5, 0.9])
     text = wanted.write(view(spark, sf, "doc_catalog"), T.folder(spark, "catalogue"))
     return spark.createDataFrame([(x,) for x in text.splitlines() if "_sum" not in x], "line string")
+
+
+# Extractors, the report ---------------------------------------------------------------------------------------------------
+
+_KIND = "report_id % 13"
+
+
+@query(duck("rpt_fields") + f"""SELECT report_id, field_name, value, CASE WHEN {_KIND} IN (0, 1, 2, 3) THEN 'rule_based' ELSE 'primary' END AS extractor,
+  CASE {_KIND} WHEN 0 THEN 'PermanentProviderError' WHEN 1 THEN 'RetryableProviderError' WHEN 2 THEN 'SchemaError' WHEN 3 THEN 'SchemaError' END AS fallback_reason
+FROM (SELECT * REPLACE (CASE WHEN {_KIND} IN (0, 1, 2, 3) AND field_name = 'glucose' AND (value IS NULL OR value = 'pending') THEN '999' ELSE value END AS value) FROM rpt_fields)
+WHERE value IS NOT NULL AND (value <> 'pending' OR {_KIND} > 3)""")
+def q_extractors(spark, sf):
+    """Answers of a provider made from the reports, some refused, failed or out of the schema; the rules stand in for these."""
+    f = view(spark, sf, "rpt_fields")
+    own = F.struct(F.when(F.col("report_id") % 13 == 3, "cholesterol").otherwise(F.col("field_name")).alias("field_name"), "value", "unit", F.col("confidence").cast("double").alias("confidence"), "page_num")
+    texts = f.filter("value IS NOT NULL").groupBy("report_id").agg(F.to_json(F.collect_list(own)).alias("answer"))
+    kind = F.col("report_id") % 13
+    answer = F.when(kind == 2, '{"fields": []}').otherwise(F.col("answer"))
+    answered = texts.select("report_id", F.when(kind == 0, 403).when(kind == 1, 503).otherwise(200).alias("status"), answer.alias("answer"))
+    rows = PR.extract(result_pages(spark, sf), "report_id", lambda pages, by: PR.checked(answered, by))
+    return rows.filter("field_name IS NOT NULL").select("report_id", "field_name", "value", "extractor", "fallback_reason")
+
+
+@query(duck("eval_rows") + """, d AS (SELECT *, outcome = 'correct' AS ok FROM eval_rows), p AS (SELECT 1 AS n, 'Documents: ' || count(*) AS line FROM d
+  UNION ALL SELECT 2, 'Field accuracy: ' || format('{:.1f}%', round(avg(ok::INT) * 100, 1)) FROM d UNION ALL SELECT 3, 'Documents fully correct: ' || format('{:.1f}%', round(avg(ok::INT) * 100, 1)) FROM d
+  UNION ALL SELECT 4, 'Auto-accepted: ' || format('{:.1f}%', round(avg(accepted::INT) * 100, 1)) || ' of documents, of which fully correct: ' || format('{:.1f}%', round(avg(ok::INT) FILTER (accepted) * 100, 1)) FROM d
+  UNION ALL SELECT 5, '| ' || source || ' | ' || format('{:.0f}%', round(avg(ok::INT) * 100, 0)) || ' | ' || count(*) FILTER (outcome = 'wrong') || ' | ' || count(*) FILTER (outcome = 'missing') || ' |' FROM d GROUP BY source
+  UNION ALL SELECT 6, 'By lang: ' || lang || ' ' || format('{:.1f}%', round(avg(ok::INT) * 100, 1)) FROM d GROUP BY lang)
+SELECT n, line FROM p""")
+def q_eval_report(spark, sf):
+    d = view(spark, sf, "eval_rows").withColumn("field_name", F.col("source"))
+    return R.report_lines(d, d.select("accepted", (F.col("outcome") == "correct").alias("all_correct")), ["lang"])

@@ -7,9 +7,12 @@ import pytest
 from labframe.functions import numbers as N
 from labframe.operators import lifecycle as M
 from labframe.operators import metrics as MX
+from labframe.operators import pipeline as P
+from labframe.operators import providers as PR
 from labframe.operators import relational as R
 from labframe.operators import review as W
 from labframe.sources import files as S
+from labframe.sources.config import Settings
 
 
 def test_uploads_are_sorted_into_accepted_and_quarantined(spark, tmp_path, monkeypatch):
@@ -78,3 +81,52 @@ def test_metrics_come_from_the_pass_that_writes(spark, tmp_path):
         "# TYPE docs gauge", 'docs{status="A"} 2.0', 'docs{status="b\\""} 1.0', 'docs{status="C"} 0.0', "# TYPE latency histogram", 'latency_bucket{le="0.1"} 1.0', 'latency_bucket{le="10.0"} 2.0',
         'latency_bucket{le="+Inf"} 2.0', "latency_sum 7.02", "latency_count 2.0"]
     assert spark.read.parquet(f"file://{tmp_path}/out").count() == 3
+
+
+def test_answers_are_checked_and_failures_fall_back(spark):
+    pages = spark.createDataFrame([(i, 1, "Glucose 92 mg/dL") for i in range(8)] + [(8, 1, None)], "doc long, page_num int, text string")
+    fine = json.dumps([{"field_name": "glucose", "value": "95", "unit": "mg/dL", "confidence": 90.0, "page_num": 1}])
+    said = {0: (200, fine), 1: (403, ""), 2: (500, "busy"), 3: (200, "no json"), 4: (200, fine.replace("glucose", "weight")), 5: (200, fine.replace("90.0", "900")), 6: (200, "[]"), 7: (200, "null")}
+
+    def checked(df, by):
+        rows = [(i, s, a) for i, (s, a) in said.items()]
+        return PR.checked(spark.createDataFrame(rows, "doc long, status int, answer string"), by)
+
+    kinds = {r.doc: r.error_type for r in checked(pages, "doc").collect()}
+    assert kinds == {0: None, 1: "PermanentProviderError", 2: "RetryableProviderError", 3: "SchemaError", 4: "SchemaError", 5: "SchemaError", 6: None, 7: "SchemaError"}
+    got = {(r.doc, r.value, r.extractor) for r in PR.extract(pages, "doc", checked).collect() if r.field_name}
+    assert got == {(0, "95", "primary"), *[(i, "92", "rule_based") for i in (1, 2, 3, 4, 5, 7)]}
+
+
+def test_a_provider_gets_one_prompt_per_document(spark):
+    pages = spark.createDataFrame([(1, 2, "second"), (1, 1, "first"), (2, 1, None)], "doc long, page_num int, text string")
+
+    def ask(prompts):
+        return [(200, json.dumps([{"field_name": "patient_id", "value": p.split("\n", 1)[1], "confidence": 80}])) for p in prompts]
+
+    with pytest.raises(ValueError, match="consent"):
+        PR.extractor("remote", ask)
+    with pytest.raises(ValueError, match="no provider"):
+        PR.extractor("remote")
+    assert {r.doc: r.value for r in PR.extractor("remote", ask, True)(pages, "doc").collect()} == {1: "first\nsecond", 2: ""}
+
+    def broken(prompts):
+        raise ConnectionError("down")
+
+    assert {r.error_type for r in PR.extractor("remote", broken, True)(pages, "doc").collect()} == {"RetryableProviderError"}
+
+
+def test_settings_are_typed_and_checked(spark):
+    s = Settings.read({"DATE_ORDER": "DMY", "page_cap": "20", "other": "x", "secret": " "}, {"PAGE_CAP": "30", "fallback": "yes"})
+    assert (s.date_order, s.page_cap, s.fallback, s.secret, s.auto_accept) == ("DMY", 30, True, "", 0.9)
+    for bad, why in [
+        ({"date_order": "YMD"}, "date_order"), ({"page_cap": "many"}, "type int"), ({"fallback": "perhaps"}, "true or false"), ({"auto_accept": "0.4"}, "auto_accept"), ({"low_confidence": "0.95"}, "low_confidence"),
+        ({"provider": "remote"}, "consent"), ({"environment": "production", "secret": "short"}, "secret"), ({"environment": "production", "secret": "x" * 32}, "storage_key"), ({"environment": "test"}, "environment"),
+    ]:
+        with pytest.raises(ValueError, match=why):
+            Settings.read(bad)
+    assert Settings.read({"environment": "production", "secret": "x" * 32, "storage_key": "k"}).environment == "production"
+    # The order of numeric dates is a setting of the flow.
+    fields = spark.createDataFrame([(1, "collection_date", "03/04/2025", None, None, None, 99.0, 1)], "doc int, field_name string, value string, unit string, reference_range string, abnormal_flag string, confidence double, page_num int")
+    got = {order: P.validate(fields, "doc", today="2026-01-01", order=order).filter("field_name = 'collection_date'").first().normalized_value for order in ("MDY", s.date_order)}
+    assert got == {"MDY": "2025-03-04", "DMY": "2025-04-03"}
