@@ -150,6 +150,38 @@ def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(docs.select("doc_id", "text"), target.select("text")).drop("n_words")
 
 
+def _crc_table() -> list[int]:
+    """What CRC-32 adds for each value of a byte, from its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [c >> 1 ^ (0xEDB88320 if c & 1 else 0) for c in table]
+    return table
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), df AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM d),
+gf AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM g),
+h AS (
+  SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::BIGINT)), lambda c, b: xor(c >> 8, TABLE[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT f FROM df UNION SELECT f FROM gf)
+), s AS (SELECT bucket, count(*) AS s FROM df JOIN h USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*) AS t FROM gf JOIN h USING (f) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM df)::DOUBLE AS s_all, (SELECT count(*) FROM gf)::DOUBLE AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * (s_all + 10000) / ((coalesce(s, 0) + 1.0::DOUBLE) * (t_all + 10000))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket), n),
+x AS (SELECT r, count(*) AS n_features, sum(gain) AS total FROM df JOIN h USING (f) JOIN gain USING (bucket) GROUP BY r),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(floor(total::DOUBLE / n_features), 0)::BIGINT AS weight,
+    weight + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d LEFT JOIN x USING (r)
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 25 * count(*) FILTER (n_words >= 20) OVER () // 100 THEN place END AS rank
+FROM (SELECT *, row_number() OVER (ORDER BY n_words < 20, score DESC, doc_id) AS place FROM scored)
+""".replace("TABLE", str(_crc_table()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc, "op2_substrings": op2_substrings, "op3_chat": op3_chat, "op4_mixing": op4_mixing, "op5_quality": op5_quality, "op6_ann": op6_ann, "op7_sharding": op7_sharding,
@@ -158,4 +190,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_chat": OP3_SQL, "op4_mixing": OP4_SQL}
+    return {"op1_warc": OP1_SQL, "op3_chat": OP3_SQL, "op4_mixing": OP4_SQL, "op13_resample": OP13_SQL}
