@@ -6,7 +6,8 @@ the top bits of the hash, the bucket in which the budget ends is found, and only
 it holds a single hash. No documents are sorted, and thresholds are nested: a larger budget takes a superset.
 
 Cases: null and blank texts have size 0 and are taken like others (their copies cost nothing). The null source is a source
-and comes last. Rows with equal doc_id and text have one hash and are taken or left together. An empty table gives an empty
+and comes last. Rows with equal doc_id and text have one hash and are taken or left together. Very long texts are read whole; a single one may be larger than a target and is then taken or left as a whole.
+An empty table gives an empty
 result. Extra columns, whatever their names, pass through. Only totals per source reach the driver.
 """
 
