@@ -21,6 +21,7 @@ from labframe.operators import providers as PR
 from labframe.operators import relational as R
 from labframe.operators import review as W
 from labframe.operators import search_index as IX
+from labframe.operators import summary as SU
 from labframe.plans.fixtures import duck, view
 from labframe.registry import DECIDED, SQL, query
 from labframe.sources import files as S
@@ -787,3 +788,20 @@ SELECT n, line FROM p""")
 def q_eval_report(spark, sf):
     d = view(spark, sf, "eval_rows").withColumn("field_name", F.col("source"))
     return R.report_lines(d, d.select("accepted", (F.col("outcome") == "correct").alias("all_correct")), ["lang"])
+
+
+# A kept summary -----------------------------------------------------------------------------------------------------------
+
+@query(duck("rpt_header") + """SELECT report_id AS doc_id, max(CASE WHEN field_name = 'patient_name' THEN CASE WHEN report_id % 7 = 0 THEN upper(value) WHEN report_id % 10 = 0 THEN 'Ana LOPEZ' ELSE value END END) AS patient_name,
+  max(CASE WHEN field_name = 'patient_id' THEN CASE WHEN report_id % 7 = 0 THEN upper(value) ELSE value END END) AS patient_id, count(*) AS n_fields, report_id % 14 = 0 AS needs_attention FROM rpt_header GROUP BY report_id""")
+def q_kept_summary(spark, sf):
+    """A batch of extractions, one of corrections, and a second extraction of every seventh document."""
+    state = F.when((F.col("field_name") == "patient_name") & (F.col("report_id") % 14 == 0), "POSSIBLE_MISREAD").otherwise("VALID")
+    h = view(spark, sf, "rpt_header").select(F.col("report_id").alias("doc_id"), F.concat_ws(":", "report_id", "field_name").alias("field_id"), "field_name", "value", state.alias("state"))
+    h = S.stored(h, T.folder(spark, "extracted"))
+    kept = SU.KeptSummary(spark, T.folder(spark, "summary"), 4)
+    kept.extracted(h)
+    names = h.filter("doc_id % 10 = 0 AND field_name = 'patient_name'")
+    kept.corrected(names.select("doc_id", "field_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"), "state").withColumn("new_value", F.when(F.col("seq") == 2, "Ana LOPEZ").otherwise("first try")))
+    kept.extracted(h.filter("doc_id % 7 = 0").withColumn("value", F.upper("value")))
+    return kept.read()

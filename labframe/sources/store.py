@@ -106,6 +106,11 @@ class Store:
             raise ValueError("rows that share a part must share a bucket")
         return self._change(rows, lambda held: _without(held, rows, part).unionByName(rows), version)
 
+    def swap(self, keys: DataFrame, rows: DataFrame, version: int | None = None) -> int:
+        """All rows with one of ``keys`` make way for ``rows``, whose keys are among them; a key may be left without rows."""
+        own = self.manifest(version)["keys"]
+        return self._change(keys, lambda held: _without(held, keys, own).unionByName(rows), version)
+
     def delete(self, keys: DataFrame, version: int | None = None) -> int:
         own = self.manifest(version)["keys"]
         return self._change(keys, lambda held: _without(held, keys, own), version)

@@ -5,6 +5,7 @@ import pytest
 from labframe.operators import driver as DR
 from labframe.operators import layout as L
 from labframe.operators import search_index as IX
+from labframe.operators import summary as SU
 from labframe.sources import store as ST
 
 KIND = "k long, v string"
@@ -98,3 +99,17 @@ def test_words_meet_boxes_by_grid_cells(spark):
 
     assert {r.i for r in L.words_outside(scanned, native, ["page"]).collect()} == {w[0] for w in words if outside(w)}
     assert L.words_outside(scanned, native.limit(0), ["page"]).count() == len(words)
+
+
+def test_a_kept_summary_equals_the_full_one(spark, tmp_path):
+    kept = SU.KeptSummary(spark, f"file://{tmp_path}/s", 4)
+    kind = "doc_id long, field_id string, field_name string, value string, state string"
+    first = [(d, f"{d}:{f}", f, f"{f} of {d}", "EXTREME_VALUE" if d == 2 else "VALID") for d in range(5) for f in ("patient_name", "glucose")]
+    kept.extracted(spark.createDataFrame(first, kind))
+    fixes = spark.createDataFrame([(1, "1:patient_name", 1, "no", "VALID"), (1, "1:patient_name", 2, "yes", "VALID"), (2, "2:glucose", 1, "9", "VALID"), (2, "2:patient_name", 1, "x", "VALID"), (9, "9:glucose", 1, "1", "VALID")], "doc_id long, field_id string, seq int, new_value string, state string")
+    for _ in range(2):  # a replay
+        kept.corrected(fixes)
+    kept.extracted(spark.createDataFrame([(3, "3:patient_id", "patient_id", "P", "FLAG_MISMATCH")], kind))
+    got = {r.doc_id: (r.patient_name, r.patient_id, r.n_fields, r.needs_attention) for r in kept.read().collect()}
+    assert got == {0: ("patient_name of 0", None, 2, False), 1: ("yes", None, 2, False), 2: ("x", None, 2, False), 3: (None, "P", 1, True), 4: ("patient_name of 4", None, 2, False)}
+    assert sorted(map(tuple, SU.summarize(kept.fields.read()).collect()), key=str) == sorted(map(tuple, kept.read().collect()), key=str)
