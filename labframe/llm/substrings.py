@@ -3,12 +3,16 @@
 A window is ``WINDOW`` consecutive words. Its fingerprint is the least hash of the ``GRAM``-word stretches inside it, so equal
 windows have equal fingerprints and neighbouring windows mostly share one: about a fifth as many postings as words.
 
-The index is a list of immutable runs, tables of (fp, doc_id) bucketed and sorted by fp. A new batch is written as a run and
-merge-joined with the runs before it, bucket by bucket, without moving them. Postings whose fingerprint stands in two
-documents are noted. Noted postings only say where to look: they are verified on the texts before the batch counts as indexed.
-Windows under a noted fingerprint are compared by two independent 64-bit hashes of their words, and a window is a repeat if a
-document with a smaller doc_id holds it too. Then, when there are more than ``FAN_IN`` runs, they are compacted into one, which
-the next batch is joined with. An index that was given a name stays in the warehouse and can be opened again for later batches.
+The index is a list of immutable runs, tables of (fp, doc_id) bucketed and sorted by fp. A new batch is written as a run of
+tier 0 and merge-joined with every run before it, bucket by bucket, without moving them. Postings whose fingerprint stands in
+two documents are noted. Noted postings only say where to look: they are verified on the texts before the batch counts as
+indexed. Windows under a noted fingerprint are compared by 128 bits, made from two independent hashes of each of their words,
+and a window is a repeat if a document with a smaller doc_id holds it too. Then a tier that holds ``FAN_IN`` runs is compacted
+into one run of the next tier, so a posting is rewritten once a tier, and n batches leave about log(n) runs to join with.
+
+The runs of an index without a name lie in the shared folder of the session; an index that was given a name stays in the
+warehouse and can be opened again for later batches. A merged run is complete before the runs it replaces go; if a job dies
+between, both stand, and postings that stand twice change nothing.
 
 Documents whose whole text stands in a document with a smaller doc_id are set aside before: all their windows repeat.
 
@@ -19,7 +23,6 @@ Empty tables give empty results. Other columns, whatever their names, are ignore
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -29,13 +32,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labframe.llm.common import materialize, split_words
+from labframe.llm.common import materialize, remove_path, scratch_path, split_words
 from labframe.llm.lines import _runs
 
 WINDOW = 13
 GRAM = 5
-FAN_IN = 1
-#: Copies of whole texts, 16 bytes each: up to so many are sent to all executors; more are joined by shuffle.
+#: Runs of one tier that are merged into a run of the next.
+FAN_IN = 2
+#: Copies of whole texts, or ids of documents to verify, 16 bytes each: up to so many are sent to all executors; more are
+#: joined by shuffle.
 BROADCAST_COPIES = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -51,18 +56,19 @@ def _grams(h: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
+    """Two rows of 64-bit hashes: the halves of each word's 128-bit hash."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").astype(np.uint64).reshape(-1, 2).T
 
 
 def _fingerprints(h: np.ndarray) -> np.ndarray:
     """The fingerprint of every window of a text."""
-    return np.lib.stride_tricks.sliding_window_view(_grams(h, GRAM, _A), WINDOW - GRAM + 1).min(axis=1)
+    return np.lib.stride_tricks.sliding_window_view(_grams(h[0], GRAM, _A), WINDOW - GRAM + 1).min(axis=1)
 
 
 def _window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return _grams(h, WINDOW, _A), _grams(h ^ _A, WINDOW, _B)
+    return _grams(h[0], WINDOW, _A), _grams(h[1], WINDOW, _B)
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -88,31 +94,48 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Runs of postings in the warehouse. ``add`` takes one batch and gives the postings, old and new, to be verified."""
+    """Runs of postings. ``add`` takes one batch and gives the postings, old and new, to be verified."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, fan_in: int = FAN_IN):
         """``name`` opens the index of this name, or begins it. Its number of buckets stays what it was at the beginning."""
         self.spark, self.fan_in = spark, fan_in
         self.name = f"labframe_fp_{name or uuid.uuid4().hex}"
-        found = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_*")]
-        numbered = sorted((int(t.rpartition("_")[2]), t) for t in found)
-        self.runs = [t for _, t in numbered]
-        self.written = numbered[-1][0] + 1 if numbered else 0
-        self.buckets = self._buckets_of(self.runs[0]) if self.runs else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.folder = None if name else scratch_path(spark, "runs")
+        found = [t.name for t in spark.catalog.listTables(pattern=f"{self.name}_run*")]
+        self.runs = sorted(found, key=self._number)
+        self.written = self._number(self.runs[-1]) + 1 if found else 0
+        self.buckets = self._buckets_of(self.runs[0]) if found else int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @staticmethod
+    def _number(table: str) -> int:
+        return int(table.split("_")[-3])
+
+    @staticmethod
+    def _tier(table: str) -> int:
+        return int(table.split("_")[-2])
 
     def _buckets_of(self, table: str) -> int:
         rows = self.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Num Buckets'").collect()
         return int(rows[0]["data_type"])
 
-    def _write_run(self, rows: DataFrame) -> str:
-        table = f"{self.name}_{self.written}"
+    def _write_run(self, rows: DataFrame, tier: int) -> str:
+        # The last part of the name keeps clear of what a job that died has left under the same number.
+        table = f"{self.name}_run_{self.written}_{tier}_{uuid.uuid4().hex[:8]}"
         self.written += 1
-        rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(table)
+        writer = rows.repartition(self.buckets, "fp").write.bucketBy(self.buckets, "fp").sortBy("fp")
+        if self.folder:
+            writer = writer.option("path", f"{self.folder}/{table}")
+        writer.saveAsTable(table)
         return table
 
+    def _drop_run(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        if self.folder:
+            remove_path(self.spark, f"{self.folder}/{table}")
+
     def add(self, docs: DataFrame) -> DataFrame:
         """doc_id, fp of all postings whose fingerprint the batch shares with a run before it or within itself."""
-        table = self._write_run(postings(docs))
+        table = self._write_run(postings(docs), 0)
         new = self.spark.table(table)
         fps = new.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
         found = new.join(fps.filter("lo <> hi").select("fp"), "fp", "left_semi")
@@ -124,29 +147,26 @@ class FingerprintIndex:
         return found.select("doc_id", "fp")
 
     def compact(self) -> None:
-        """Merge the runs into one once there are more than ``fan_in``. Readers of the old runs must be done."""
-        if len(self.runs) <= self.fan_in:
-            return
-        rows = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self.spark.table(run))
-        merged = self._write_run(rows)
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE {run}")
-        self.runs = [merged]
+        """Merge the runs of each tier that holds ``fan_in`` of them. Readers of these runs must be done."""
+        tier = 0
+        while tier <= max(map(self._tier, self.runs), default=-1):
+            full = [run for run in self.runs if self._tier(run) == tier]
+            if len(full) >= self.fan_in:
+                rows = self.spark.table(full[0])
+                for run in full[1:]:
+                    rows = rows.unionByName(self.spark.table(run))
+                merged = self._write_run(rows, tier + 1)
+                for run in full:
+                    self._drop_run(run)
+                self.runs = [run for run in self.runs if run not in full] + [merged]
+            tier += 1
 
     def drop(self) -> None:
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._drop_run(run)
         self.runs = []
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Spark deletes the shuffle files of finished jobs once the driver has collected their handles; it is asked to now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def text_copies(docs: DataFrame) -> DataFrame:
     """doc_id, text_key of the documents whose whole text a document with a smaller doc_id has; stored."""
     own = docs.filter("doc_id is not null and text is not null").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), F.xxhash64("text").alias("text_key"))
@@ -202,7 +222,11 @@ def _noted_windows(docs: DataFrame, noted: DataFrame) -> DataFrame:
                     "doc_id": ids[k][some], "done": done[k][some],
                 })
 
-    joined = docs.join(noted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "doc_id")
+    lists = noted.groupBy("doc_id").agg(F.collect_set("fp").alias("fps"))
+    ids = noted.select("doc_id").distinct()
+    if ids.limit(BROADCAST_COPIES + 1).count() <= BROADCAST_COPIES:
+        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    joined = docs.join(lists, "doc_id")
     return joined.select("doc_id", "text", "fps").mapInPandas(emit, "key long, h1 long, h2 long, doc_id long, done boolean")
 
 
@@ -252,20 +276,21 @@ def cut_texts(docs: DataFrame, copies: DataFrame, repeats: DataFrame, with_text:
     return marked.join(lists, "doc_id", "left").select("doc_id", "text", "is_copy", "hs").mapInPandas(cut, RESULT)
 
 
-def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame) -> DataFrame:
+def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, more: bool = True) -> DataFrame:
     """doc_id, h1 of the repeated windows among the documents of a batch and those that share fingerprints with it; stored.
 
-    ``history`` has the texts (doc_id, text) of the batch and of all batches before. The batch is indexed, verified on the
-    texts, and only then the runs are compacted. Batches may come in any order of doc_id.
+    ``history`` has the texts (doc_id, text) of the batch and of all batches before; those without a noted fingerprint are
+    left out before anything is moved or hashed. The batch is indexed, verified on the texts, and only then full tiers are
+    compacted, unless no ``more`` batches follow. Batches may come in any order of doc_id.
     """
     noted = materialize(index.add(batch), "noted")
     repeats = materialize(repeated_windows(history, noted), "repeats")
-    index.compact()
-    _free_shuffles(index.spark)
+    if more:
+        index.compact()
     return repeats
 
 
-def dedup_documents(docs: DataFrame, batches: int = 3, with_text: bool = False) -> DataFrame:
+def dedup_documents(docs: DataFrame, batches: int = 4, with_text: bool = False) -> DataFrame:
     """RESULT for every row of ``docs`` (doc_id, text), indexed in ``batches`` batches in the order of doc_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -277,7 +302,7 @@ def dedup_documents(docs: DataFrame, batches: int = 3, with_text: bool = False)
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         history = firsts if hi is None else firsts.filter(F.col("doc_id") < hi)
         batch = history if lo is None else history.filter(F.col("doc_id") >= lo)
-        found = add_batch(index, batch, history)
+        found = add_batch(index, batch, history, more=hi is not None)
         # Ids rise from batch to batch, so documents of earlier batches have no new repeats.
         found = found if lo is None else found.filter(F.col("doc_id") >= lo)
         repeats = found if repeats is None else repeats.unionByName(found)

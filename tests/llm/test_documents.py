@@ -119,21 +119,29 @@ def test_em_finds_precise_rules():
 def test_index_grows_batch_by_batch(spark):
     rng = random.Random(15)
     vocabulary = [f"v{i}" for i in range(60)]
-    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(60)]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(40))) for i in range(80)]
     passage = " ".join(f"p{i}" for i in range(25))
     rows = [(i, f"{t} {passage} {t[:40]}" if i % 4 == 0 else t) for i, t in rows]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     name = "test_" + hashlib.md5(str(rng.random()).encode() + str(time.time()).encode()).hexdigest()[:12]
-    parts = [df.filter("doc_id >= 40"), df.filter("doc_id < 20"), df.filter("doc_id between 20 and 39")]
-    found, seen = set(), None
-    for part in parts:  # ids fall and rise; the index is opened anew for each batch
+    found, seen, live = set(), None, []
+    for lo in (40, 0, 70, 20, 60, 10, 50, 30):  # ids fall and rise; the index is opened anew for each batch
+        part = df.filter(f"doc_id >= {lo} and doc_id < {lo + 10}")
         seen = part if seen is None else seen.unionByName(part)
         index = substrings.FingerprintIndex(spark, name)
+        live.append(len(index.runs))
         found |= {tuple(r) for r in substrings.add_batch(index, part, seen).collect()}
+    assert live == [0, 1, 1, 2, 1, 2, 2, 3]  # pairs of a tier become one run of the next, so the last batch meets three
     assert len(substrings.FingerprintIndex(spark, name).runs) == 1
     substrings.FingerprintIndex(spark, name).drop()
     whole = substrings.FingerprintIndex(spark)
     assert found == {tuple(r) for r in substrings.add_batch(whole, df, df).collect()} and found
+    first = {}
+    for i, t in rows:
+        w = t.split()
+        for k in range(len(w) - 12):
+            first.setdefault(tuple(w[k : k + 13]), set()).add(i)
+    assert Counter(i for i, _ in found) == Counter(i for ids in first.values() for i in ids if i > min(ids))
     whole.drop()
     assert substrings.FingerprintIndex(spark, name).runs == []
 
@@ -164,7 +172,7 @@ def test_substrings_against_brute_force(spark, docs, empty):
                 gone |= set(range(k, k + 13))
         kept = [x for k, x in enumerate(w) if k not in gone]
         want[i, len(w), len(gone), hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept).decode()] += 1
-    got = substrings.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string"), batches=4, with_text=True)
+    got = substrings.dedup_documents(spark.createDataFrame(rows, "doc_id long, text string"), batches=8, with_text=True)
     assert Counter(map(tuple, got.collect())) == want
     assert substrings.dedup_documents(empty).count() == 0
 
