@@ -46,11 +46,18 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _grams(h: np.ndarray, size: int, factor: np.uint64) -> np.ndarray:
-    """Hashes of all stretches of ``size`` words from the words' hashes: a polynomial, then a finaliser."""
+    """Hashes of all stretches of ``size`` words from the words' hashes: a polynomial, made by doubling, then a finaliser."""
     with np.errstate(over="ignore"):
-        g = h[: len(h) - size + 1].copy()
-        for j in range(1, size):
-            g = g * factor + h[j : len(h) - size + 1 + j]
+        g, done, part, span = None, 0, h, 1
+        while True:
+            if size & span:
+                n = len(h) - done - span + 1
+                g = part if g is None else g[:n] * factor + part[done : done + n]
+                done += span
+            if done == size:
+                break
+            part = part[:-span] * factor + part[span:]
+            factor, span = factor * factor, 2 * span
         g = (g ^ (g >> np.uint64(30))) * _B
         return g ^ (g >> np.uint64(31))
 
@@ -64,7 +71,16 @@ def _word_hashes(words: list[bytes]) -> np.ndarray:
 
 def _fingerprints(h: np.ndarray) -> np.ndarray:
     """The fingerprint of every window of a text."""
-    return np.lib.stride_tricks.sliding_window_view(_grams(h[0], GRAM, _A), WINDOW - GRAM + 1).min(axis=1)
+    g, done, size = _grams(h[0], GRAM, _A), 1, WINDOW - GRAM + 1
+    while done < size:
+        step = min(done, size - done)
+        g, done = np.minimum(g[:-step], g[step:]), done + step
+    return g
+
+
+def _first_of_runs(fps: np.ndarray) -> np.ndarray:
+    """Where a fingerprint differs from the one before: neighbours mostly share theirs."""
+    return np.flatnonzero(np.concatenate(([True], fps[1:] != fps[:-1])))
 
 
 def _window_hashes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +96,8 @@ def postings(docs: DataFrame) -> DataFrame:
             for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
                 words = split_words(text)
                 if len(words) >= WINDOW:
-                    fp = np.unique(_fingerprints(_word_hashes(words)))
+                    fp = _fingerprints(_word_hashes(words))
+                    fp = np.unique(fp[_first_of_runs(fp)])
                     fps.append(fp)
                     ids.append(np.full(len(fp), doc_id, np.int64))
                     held += len(fp)
@@ -182,11 +199,11 @@ def _with_copies(docs: DataFrame, copies: DataFrame, how: str) -> DataFrame:
     return docs.withColumn("text_key", F.xxhash64("text")).join(F.broadcast(side) if small else side, ["doc_id", "text_key"], how).drop("text_key")
 
 
-def _noted_windows(docs: DataFrame, noted: DataFrame) -> DataFrame:
+def _noted_windows(docs: DataFrame, noted: DataFrame, since: int | None = None) -> DataFrame:
     """key, h1, h2, doc_id, done: the windows under noted fingerprints, each once per document.
 
     Of the documents of one Arrow batch that hold a window, only the first is still open; the others are done, and get a key
-    of their own, so a window that stands everywhere gives one open row per batch.
+    of their own, so a window that stands everywhere gives one open row per batch. Done ones below ``since`` are left out.
     """
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,7 +214,9 @@ def _noted_windows(docs: DataFrame, noted: DataFrame) -> DataFrame:
                 if len(words) < WINDOW:
                     continue
                 h = _word_hashes(words)
-                at = np.isin(_fingerprints(h), np.asarray(fps, dtype=np.int64).view(np.uint64))
+                fp = _fingerprints(h)
+                runs = _first_of_runs(fp)
+                at = np.repeat(np.isin(fp[runs], np.asarray(fps, dtype=np.int64).view(np.uint64)), np.diff(np.append(runs, len(fp))))
                 if not at.any():
                     continue
                 h1, h2 = _window_hashes(h)
@@ -205,15 +224,16 @@ def _noted_windows(docs: DataFrame, noted: DataFrame) -> DataFrame:
                 parts.append((h1, h2[at][first], np.full(len(h1), doc_id, np.int64)))
             if not parts:
                 continue
+            parts.sort(key=lambda part: part[2][0])
             h1, h2, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((ids, h2, h1))
+            order = np.argsort(h1, kind="stable")
             h1, h2, ids = h1[order], h2[order], ids[order]
             same = np.concatenate(([False], (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])))
             start = np.maximum.accumulate(np.where(same, 0, np.arange(len(ids))))
             done = ids > ids[start]
             with np.errstate(over="ignore"):
                 key = np.where(done, _mixed(h1, ids), h1)
-            keep = done | ~same
+            keep = (done | ~same) if since is None else (~done & ~same) | (done & (ids >= since))
             for lo in range(0, len(ids), 500_000):
                 k = slice(lo, lo + 500_000)
                 some = keep[k]
@@ -234,15 +254,17 @@ def _mixed(h: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (h ^ (ids.view(np.uint64) * _A)) * _B
 
 
-def repeated_windows(docs: DataFrame, noted: DataFrame) -> DataFrame:
-    """doc_id, h1 of the windows that a document with a smaller doc_id holds too."""
+def repeated_windows(docs: DataFrame, noted: DataFrame, since: int | None = None) -> DataFrame:
+    """doc_id, h1 of the windows that a document with a smaller doc_id holds too, for documents from ``since`` on."""
 
     def resolve(frame: pd.DataFrame) -> pd.DataFrame:
         open_ = frame[~frame.done.to_numpy(dtype=bool)]
-        again = open_.doc_id > open_.groupby(["h1", "h2"]).doc_id.transform("min")
+        again = open_.doc_id > open_.groupby(["h1", "h2"], sort=False).doc_id.transform("min")
+        if since is not None:
+            again &= open_.doc_id >= since
         return pd.concat([frame[frame.done.to_numpy(dtype=bool)], open_[again.to_numpy(dtype=bool)]])[["doc_id", "h1"]]
 
-    rows = _noted_windows(docs, noted).repartition("key").sortWithinPartitions("key")
+    rows = _noted_windows(docs, noted, since).repartition("key").sortWithinPartitions("key")
     return rows.mapInPandas(lambda batches: _runs(batches, resolve), "doc_id long, h1 long")
 
 
@@ -261,7 +283,7 @@ def cut_texts(docs: DataFrame, copies: DataFrame, repeats: DataFrame, with_text:
                 if len(words) >= WINDOW and is_copy is True:
                     kept = []
                 elif len(words) >= WINDOW and hs is not None:
-                    at = np.isin(_window_hashes(_word_hashes(words))[0], np.asarray(hs, dtype=np.int64).view(np.uint64))
+                    at = np.isin(_grams(_word_hashes(words)[0], WINDOW, _A), np.asarray(hs, dtype=np.int64).view(np.uint64))
                     edge = np.zeros(len(words) + 1, np.int64)
                     edge[: len(at)] += at
                     edge[WINDOW:] -= at
@@ -276,15 +298,16 @@ def cut_texts(docs: DataFrame, copies: DataFrame, repeats: DataFrame, with_text:
     return marked.join(lists, "doc_id", "left").select("doc_id", "text", "is_copy", "hs").mapInPandas(cut, RESULT)
 
 
-def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, more: bool = True) -> DataFrame:
+def add_batch(index: FingerprintIndex, batch: DataFrame, history: DataFrame, more: bool = True, since: int | None = None) -> DataFrame:
     """doc_id, h1 of the repeated windows among the documents of a batch and those that share fingerprints with it; stored.
 
     ``history`` has the texts (doc_id, text) of the batch and of all batches before; those without a noted fingerprint are
     left out before anything is moved or hashed. The batch is indexed, verified on the texts, and only then full tiers are
-    compacted, unless no ``more`` batches follow. Batches may come in any order of doc_id.
+    compacted, unless no ``more`` batches follow. Batches may come in any order of doc_id; where they rise, ``since`` is the
+    least doc_id of the batch, and repeats in earlier documents, all of them known, are not given again.
     """
     noted = materialize(index.add(batch), "noted")
-    repeats = materialize(repeated_windows(history, noted), "repeats")
+    repeats = materialize(repeated_windows(history, noted, since), "repeats")
     if more:
         index.compact()
     return repeats
@@ -302,9 +325,7 @@ def dedup_documents(docs: DataFrame, batches: int = 4, with_text: bool = False)
     for lo, hi in zip([None, *cuts], [*cuts, None], strict=True):
         history = firsts if hi is None else firsts.filter(F.col("doc_id") < hi)
         batch = history if lo is None else history.filter(F.col("doc_id") >= lo)
-        found = add_batch(index, batch, history, more=hi is not None)
-        # Ids rise from batch to batch, so documents of earlier batches have no new repeats.
-        found = found if lo is None else found.filter(F.col("doc_id") >= lo)
+        found = add_batch(index, batch, history, more=hi is not None, since=lo)
         repeats = found if repeats is None else repeats.unionByName(found)
     index.drop()
     return cut_texts(docs, copies, repeats, with_text)
