@@ -9,7 +9,8 @@ Dropping the backslash before any character undoes all of it.
 
 Cases: null text and null role count as empty. Turns are ordered by number, nulls first, then by role and text, so ties and
 repeated rows have one order. A null conv_id is a conversation of its own. Empty tables give empty results. Other columns,
-whatever their names, are ignored. The size of the output is the square of a conversation's length, which is what the
+whatever their names, are ignored. Very long texts are formatted whole; a conversation is one array in one task, so its
+turns must fit there together. The size of the output is the square of a conversation's length, which is what the
 expansion means; no row is dropped for it.
 """
 

@@ -16,7 +16,7 @@ holds more than one block of each and no pair is lost.
 
 Cases: lines are compared without white space at their ends; blank lines stay, as they only part others. Null texts have no
 lines. Repeated rows (same doc_id and text) are one document and lose the same lines. Null doc_ids come
-first. Empty tables give empty results. Columns of other names pass through ``dedup_lines``; n_chars follows the new text.
+first. Very long texts and lines are read whole, and a line is compared from end to end. Empty tables give empty results. Columns of other names pass through ``dedup_lines``; n_chars follows the new text.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ both can be computed for any row number, or inverted, without the data.
 
 Cases: a null text has no bytes and the CRC of an empty text. Null doc_ids come first. Ties of doc_id are ordered by CRC and
 size; rows that are equal in all three may swap places, which changes nothing that is returned. An empty table gives an
-empty result. Other columns, whatever their names, are ignored.
+empty result. Very long texts are measured whole where they are read; only sizes and CRCs travel. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
