@@ -179,3 +179,11 @@ def test_a_page_check_is_one_pattern(spark):
     began = time.monotonic()
     assert rows.filter(X.stands_among(F.col("v"), F.col("w"), F.lit("white_blood_cell_count"))).count() == 4000
     assert time.monotonic() - began < 30
+
+
+@pytest.mark.parametrize(("text", "order", "want"), [
+    ("3/4/2020", "DMY", dt.date(2020, 4, 3)), ("3-4-2020", "MDY", dt.date(2020, 3, 4)), ("5 Mar 2020", "MDY", dt.date(2020, 3, 5)), ("March 5, 2020", "DMY", dt.date(2020, 3, 5)),
+    ("5.3.2020", "MDY", dt.date(2020, 3, 5)), ("x/4/2020", "MDY", None), ("2020", "MDY", None), (None, "MDY", None),
+])
+def test_only_likely_formats_are_tried(spark, text, order, want):
+    assert one(spark, text, lambda c: D.parse_date(c, F.lit(order))) == want
