@@ -63,9 +63,9 @@ class Ordered(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, new = timerValues.getCurrentWatermarkInMs() // 1000, []
         for frame in rows:
-            # Whole numbers beside nulls arrive as fractions, which the state would not take.
-            own = frame[self.columns].astype(self.kinds).astype(object)
-            new += own.where(own.notna(), None).itertuples(index=False, name=None)
+            # Whole numbers beside nulls arrive as fractions, which the state would not take. Plain lists: a key has few rows a batch.
+            columns = [frame[c].tolist() for c in self.columns]
+            new += zip(*[[None if pd.api.types.is_scalar(x) and pd.isna(x) else int(x) if c in self.kinds else x for x in own] for c, own in zip(self.columns, columns, strict=True)], strict=True)
         if new := [r for r in new if r[0] > now or not now]:  # what is due has been taken: the rest is late
             self.events.appendList(new)
             self.handle.registerTimer(max(1, min(r[0] for r in new)) * 1000)
