@@ -174,7 +174,7 @@ def test_values_among_words(spark, value, page, field, want):
 
 
 def test_a_page_check_is_one_pattern(spark):
-    """A check costs one pass of its page, not several functions per word: 120 million words, which took minutes before."""
+    """A check costs one pass of its page, not several functions per word, over 120 million words here."""
     rows = spark.range(4000).select(F.concat(F.lit("17."), F.col("id") % 10).alias("v")).select("v", F.concat(F.lit("wbc "), F.repeat(F.lit("q "), F.lit(30_000)), F.lit("wbc "), F.replace("v", F.lit("."), F.lit(""))).alias("w"))
     began = time.monotonic()
     assert rows.filter(X.stands_among(F.col("v"), F.col("w"), F.lit("white_blood_cell_count"))).count() == 4000
