@@ -11,8 +11,8 @@ others' differences. Each shard sets its beam itself: a sample of its rows is se
 finds hold RECALL of what a scan of the shard gives. A shard with no more rows than the beam is scanned. Graphs and searches
 use single precision, the scores returned use double precision on the original vectors.
 
-Shards and the queries that go to them are sorted into the same tasks, each shard before its queries: a graph is read once and
-the queries stream past it.
+Shards and the queries that go to them are sorted into the same tasks, each shard before its queries: the queries stream past a
+graph, which is read once per QUERY_ROWS of them, so that few shards don't leave cores idle.
 
 Cases: vectors that are null, empty, all zero, or hold a null or non-finite component take no part, on either side. Only
 vectors of equal length are compared; each length has shards of its own. Equal vectors are one node of a graph, which stands
@@ -38,54 +38,71 @@ from labframe.llm.common import materialize
 #: cluster too.
 SHARD_ROWS, LEAST_SHARDS, LEAST_ROWS = 50_000, 8, 1000
 DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 48, 72, 1.2
+#: Edges of a row at most: one with more is pruned to DEGREE, so that not every edge back prunes its row again.
+WIDTH = 40
+#: Steps that a beam is expanded in, about.
+STEPS = 24
 #: The beam of a shard is doubled until so many sampled rows find this share of their nearest.
 SAMPLE, RECALL = 64, 0.96
 BATCH = 256
+#: Queries that one task takes past a shard, about; with more, the shard goes to several tasks.
+QUERY_ROWS = 8000
 #: A table of lengths and norms up to so many rows (40 bytes each) is sent to all executors; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """id, vec (array<double>), dim, level of the rows that take part. Norms of one level differ by less than a factor of two."""
-    v = F.col(vec_col).cast("array<double>")
+    """id, vec (array<double>), dim, level of the rows that take part. Norms of one level differ by less than a factor of two; the
+    edges between levels lie away from norm 1, where unit vectors would fall on both sides by rounding."""
+    v = F.col("vec")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.filter(F.col(id_col).isNotNull() & F.coalesce(ok, F.lit(False)))
-    most = F.array_max(F.transform(v, F.abs))
-    # Squares are taken of shares of the largest component, so that they can't overflow.
-    level = F.floor(F.log2(most) + F.log2(F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2).cast("int")
-    return rows.select(F.col(id_col).cast("long").alias("id"), v.alias("vec"), F.size(v).alias("dim"), level.alias("level"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).filter("id is not null")
+    rows = rows.filter(F.coalesce(ok, F.lit(False))).withColumn("most", F.array_max(F.transform(v, F.abs)))
+    # Squares are taken of shares of the largest component, so that they can't overflow. It is a column: within the lambda it would be
+    # sought again for every component.
+    share = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x / F.col("most")) * (x / F.col("most")))
+    return rows.select("id", "vec", F.size(v).alias("dim"), F.floor(F.log2("most") + F.log2(share) / 2 + 0.5).cast("int").alias("level"))
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, start: int, asked: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """For a block of queries in step: row numbers and distances of the ``beam`` nearest rows met, nearest first; -1 and
-    infinity where there are fewer. A missing edge is -1."""
+    infinity where there are fewer. A missing edge is -1. A step expands the nearest rows of every beam, so many that a beam
+    takes some twenty steps whatever its size: sorting the beams costs no more than the distances."""
     q, n = len(asked), len(x)
     ids = np.full((q, beam), -1, np.int64)
     dist = np.full((q, beam), np.inf, np.float32)
     done = np.ones((q, beam), bool)
-    seen = np.zeros((q, n + 1), bool)  # the last column takes the missing edges
-    seen[:, n] = True
+    seen = np.zeros(q * n, bool)
+    first = np.empty(q * n, np.int32)  # where a pair of query and row stands first in a step; read only where just written
     norms = np.einsum("ij,ij->i", x, x)
-    every = np.arange(q)
-    ids[:, 0], done[:, 0], seen[:, start] = start, False, True
+    ids[:, 0], done[:, 0], seen[np.arange(q) * n + start] = start, False, True
     dist[:, 0] = norms[start] - 2 * (asked @ x[start])
     while True:
-        live = every[~done.all(axis=1)]
+        live = np.flatnonzero(~done.all(axis=1))
         if not len(live):
             return ids, dist
-        at = np.argmin(done[live], axis=1)  # the beam is sorted, so this is the nearest that is not expanded
-        done[live, at] = True
-        near = graph[ids[live, at]]
-        near = np.where(near < 0, n, near)
-        fresh = ~seen[live[:, None], near]
-        seen[live[:, None], near] = True
-        got = np.where(fresh, near, 0)
-        d = norms[got] - 2 * np.einsum("qrd,qd->qr", x[got], asked[live])
-        d = np.where(fresh, d, np.inf).astype(np.float32)
-        all_d = np.concatenate([dist[live], d], axis=1)
-        all_i = np.concatenate([ids[live], np.where(fresh, near, -1)], axis=1)
-        all_x = np.concatenate([done[live], ~fresh], axis=1)
-        best = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
+        open_ = ~done[live]
+        at, place = np.nonzero(open_ & (np.cumsum(open_, axis=1) <= max(1, beam // STEPS)))  # beams are sorted: the nearest
+        done[live[at], place] = True
+        near = graph[ids[live[at], place]]
+        some = near >= 0
+        at, near = np.repeat(at, some.sum(axis=1)), near[some]
+        pair = live[at] * n + near
+        fresh = np.flatnonzero(~seen[pair])
+        first[pair[fresh]] = fresh
+        fresh = fresh[first[pair[fresh]] == fresh]
+        seen[pair[fresh]] = True
+        at, near = at[fresh], near[fresh]
+        d = norms[near] - 2 * np.einsum("ij,ij->i", x.take(near, axis=0), asked.take(live[at], axis=0))
+        nearer = d < dist[live[at], -1]
+        at, near, d = at[nearer], near[nearer], d[nearer]
+        count = np.bincount(at, minlength=len(live))
+        column = np.arange(len(at)) - np.repeat(np.cumsum(count) - count, count)
+        all_d = np.full((len(live), beam + count.max()), np.inf, np.float32)
+        all_i, all_x = np.full(all_d.shape, -1, np.int64), np.ones(all_d.shape, bool)
+        all_d[:, :beam], all_i[:, :beam], all_x[:, :beam] = dist[live], ids[live], done[live]
+        all_d[at, beam + column], all_i[at, beam + column], all_x[at, beam + column] = d, near, False
+        best = np.argsort(all_d, axis=1)[:, :beam]
         dist[live] = np.take_along_axis(all_d, best, 1)
         ids[live] = np.take_along_axis(all_i, best, 1)
         done[live] = np.take_along_axis(all_x, best, 1)
@@ -93,19 +110,15 @@ def beam_search(x: np.ndarray, graph: np.ndarray, start: int, asked: np.ndarray,
 
 def robust_prune(x: np.ndarray, rows: np.ndarray, found: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Per row at most ``degree`` of the proposed neighbours (-1: none), nearest first. A proposal goes once a kept
-    neighbour, its distance stretched by alpha, is no farther from it than the row itself."""
-    own = found == rows[:, None]
-    safe = np.where(found < 0, 0, found)
-    points = x[safe]
-    to_row = ((points - x[rows][:, None, :]) ** 2).sum(axis=2)
-    to_row[(found < 0) | own] = np.inf
-    order = np.sort(found, axis=1)  # the same row proposed twice counts once
-    if (order[:, 1:] == order[:, :-1]).any():
-        rank = np.argsort(found, axis=1, kind="stable")
-        sorted_ = np.take_along_axis(found, rank, 1)
-        twice = np.zeros_like(found, bool)
-        np.put_along_axis(twice, rank[:, 1:], sorted_[:, 1:] == sorted_[:, :-1], 1)
-        to_row[twice] = np.inf
+    neighbour, its distance stretched by alpha, is no farther from it than the row itself. Distances come from products of matrices."""
+    found = np.sort(found, axis=1)  # the same row proposed twice counts once
+    points = x[np.where(found < 0, 0, found)]
+    norms = np.einsum("rcd,rcd->rc", points, points)
+    between = alpha * alpha * (norms[:, :, None] + norms[:, None, :] - 2 * (points @ points.transpose(0, 2, 1)))
+    own = x[rows]
+    to_row = norms + np.einsum("rd,rd->r", own, own)[:, None] - 2 * (points @ own[:, :, None])[:, :, 0]
+    to_row[(found < 0) | (found == rows[:, None])] = np.inf
+    to_row[:, 1:][found[:, 1:] == found[:, :-1]] = np.inf
     out = np.full((len(rows), degree), -1, np.int64)
     each = np.arange(len(rows))
     for k in range(degree):
@@ -114,8 +127,7 @@ def robust_prune(x: np.ndarray, rows: np.ndarray, found: np.ndarray, degree: int
         if not some.any():
             break
         out[some, k] = found[each, pick][some]
-        between = ((points - points[each, pick][:, None, :]) ** 2).sum(axis=2)
-        to_row[alpha * alpha * between <= to_row] = np.inf
+        to_row[between[each, pick] <= to_row] = np.inf
         to_row[each, pick] = np.inf
     return out
 
@@ -123,7 +135,7 @@ def robust_prune(x: np.ndarray, rows: np.ndarray, found: np.ndarray, degree: int
 def build_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
     """Edges (row numbers, -1 where there are fewer) and the row to start from: the one nearest to the mean."""
     n = len(x)
-    graph = np.full((n, DEGREE), -1, np.int64)
+    graph = np.full((n, WIDTH), -1, np.int64)
     start = int(np.argmin(((x - x.mean(axis=0)) ** 2).sum(axis=1)))
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[start], order[order != start]])
@@ -132,7 +144,7 @@ def build_graph(x: np.ndarray, seed: int = 7) -> tuple[np.ndarray, int]:
         # Batches grow with the graph, so that early rows see one another.
         rows = order[placed : placed + max(1, min(BATCH, step))]
         found, _ = beam_search(x, graph, start, x[rows], BUILD_BEAM)
-        graph[rows] = robust_prune(x, rows, np.concatenate([found, np.where(found[:, :1] < 0, -1, graph[found[:, 0]])], axis=1))
+        graph[rows, :DEGREE] = robust_prune(x, rows, np.concatenate([found, np.where(found[:, :1] < 0, -1, graph[found[:, 0]])], axis=1))
         _add_reverse(x, graph, rows)
         placed += len(rows)
         step = placed
@@ -155,7 +167,10 @@ def _add_reverse(x: np.ndarray, graph: np.ndarray, rows: np.ndarray) -> None:
         for at in range(0, len(some), BATCH):
             part = some[at : at + BATCH]
             both = np.concatenate([graph[nodes[part]], more[part]], axis=1)
-            graph[nodes[part]] = np.sort(both, axis=1)[:, ::-1][:, :DEGREE] if easy else robust_prune(x, nodes[part], both)
+            if easy:
+                graph[nodes[part]] = np.sort(both, axis=1)[:, ::-1][:, :WIDTH]
+            else:
+                graph[nodes[part], :DEGREE], graph[nodes[part], DEGREE:] = robust_prune(x, nodes[part], both), -1
 
 
 def _lifted(exact: np.ndarray) -> np.ndarray:
@@ -250,16 +265,19 @@ def search(index: DataFrame, queries: DataFrame, groups: DataFrame, k: int = 20)
     index (rep) stands for."""
     shards = index.select("shard", F.shiftright("shard", 32).cast("int").alias("dim")).distinct()
     # A query goes to the shards of its length: a stated query set against all rows.
+    parts = max(1, -(-queries.count() // QUERY_ROWS))
     asked = queries.join(shards, "dim").select("shard", F.lit(True).alias("query"), F.lit(None).cast("long").alias("row"), "id", "vec")
-    both = index.withColumn("query", F.lit(False)).unionByName(asked, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", "query", "row")
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    held = index.withColumn("query", F.lit(False)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    both = held.unionByName(asked, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", "query", "row")
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, held, finder = None, [], None
+        at_work, held, finder = None, [], None
         for batch in batches:
-            for lo, hi in _runs_of(batch[["shard", "query"]].to_numpy()):
+            for lo, hi in _runs_of(batch[["shard", "part", "query"]].to_numpy()):
                 part = batch.iloc[lo:hi]
-                if part.shard.iloc[0] != shard:
-                    shard, held, finder = part.shard.iloc[0], [], None
+                if (part.shard.iloc[0], part.part.iloc[0]) != at_work:
+                    at_work, held, finder = (part.shard.iloc[0], part.part.iloc[0]), [], None
                 if not part["query"].iloc[0]:
                     held.append(part)
                     continue

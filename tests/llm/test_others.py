@@ -212,3 +212,28 @@ def test_graph_recall():
     true = np.argsort(((x[None] - asked[:, None]) ** 2).sum(axis=2), axis=1)[:, :20]
     assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(found, true, strict=True)]) > 0.9
     assert (graph < 0).sum() < graph.size and all(i not in row for i, row in enumerate(graph.tolist()))
+
+
+def test_unit_vectors_have_one_level(spark):
+    x = np.random.default_rng(3).normal(size=(200, 16))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)  # norms a little below and above 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, [1e-300] * 16), (901, [1e300] * 16)], "vec_id long, embedding array<double>")
+    level = {r.id: r.level for r in ann.usable(df).collect()}
+    assert len(level) == 202 and len({level[i] for i in range(200)}) == 1 and level[900] < level[0] < level[901]
+
+
+def test_a_wide_beam_is_sorted_few_times(monkeypatch):
+    x = np.random.default_rng(0).normal(size=(2000, 24)).astype(np.float32)
+    graph, start = ann.build_graph(x)
+    sort, calls = np.argsort, []
+    monkeypatch.setattr(ann.np, "argsort", lambda *a, **b: calls.append(1) or sort(*a, **b))
+    ann.beam_search(x, graph, start, x[:50], 240)
+    assert len(calls) < 120
+
+
+def test_shards_in_several_tasks(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(700, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, ann.nearest(df, 2, 5, least_shards=1).collect()))
+    monkeypatch.setattr(ann, "QUERY_ROWS", 60)
+    assert sorted(map(tuple, ann.nearest(df, 2, 5, least_shards=1).collect())) == whole and len(whole) == 350 * 5
