@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from labframe import schema
 from labframe.operators import extract as E
 from labframe.operators import lifecycle as M
+from labframe.sources.files import stored
+from labframe.streaming.streams import folder
 
 FIELDS = ["field_name", "value", "unit", "reference_range", "abnormal_flag", "confidence", "page_num"]
 ANSWER = "array<struct<field_name:string,value:string,unit:string,reference_range:string,abnormal_flag:string,confidence:double,page_num:int>>"
@@ -89,7 +91,11 @@ def extractor(provider: str, ask: Ask | None = None, consent: bool = False) -> C
 
 
 def extract(pages: DataFrame, by: str, primary: Callable[[DataFrame, str], DataFrame], fallback: bool = True) -> DataFrame:
-    """FIELDS, extractor, fallback_reason: the primary extractor's fields, and the rules' for documents it failed on."""
-    rows = primary(pages, by)
-    own = rows.withColumn("error", F.col("error_type")).drop("error_type")
-    return M.with_fallback(own, rule_based(pages, by).drop("error", "error_type"), by) if fallback else own.filter("error IS NULL").drop("error")
+    """FIELDS, extractor, fallback_reason: the primary extractor's fields, and the rules' for documents it failed on. The rules read
+    the pages of these documents only; the primary's rows are stored, so that an extractor is asked once."""
+    own = primary(pages, by).withColumn("error", F.col("error_type")).drop("error_type")
+    if not fallback:
+        return own.filter("error IS NULL").drop("error")
+    own = stored(own, folder(pages.sparkSession, "extracted"))
+    failed = pages.join(own.filter("error IS NOT NULL").select(by).distinct(), by, "left_semi")
+    return M.with_fallback(own, rule_based(failed, by).drop("error", "error_type"), by)

@@ -98,6 +98,16 @@ def test_answers_are_checked_and_failures_fall_back(spark):
     assert got == {(0, "95", "primary"), *[(i, "92", "rule_based") for i in (1, 2, 3, 4, 5, 7)]}
 
 
+def test_rules_read_only_documents_that_failed(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, 1, "Glucose 92 mg/dL") for i in range(4)], "doc long, page_num int, text string")
+    fine = json.dumps([{"field_name": "glucose", "value": "95", "unit": "mg/dL", "confidence": 90.0, "page_num": 1}])
+    answered = spark.createDataFrame([(0, 200, fine), (1, 403, ""), (2, 503, ""), (3, 200, "[]")], "doc long, status int, answer string")
+    rules, read = PR.rule_based, []
+    monkeypatch.setattr(PR, "rule_based", lambda some, by: read.extend(r.doc for r in some.collect()) or rules(some, by))
+    got = PR.extract(pages, "doc", lambda df, by: PR.checked(answered, by)).filter("field_name IS NOT NULL").collect()
+    assert sorted(read) == [1, 2] and {(r.doc, r.value) for r in got} == {(0, "95"), (1, "92"), (2, "92")}
+
+
 def test_a_provider_gets_one_prompt_per_document(spark):
     pages = spark.createDataFrame([(1, 2, "second"), (1, 1, "first"), (2, 1, None)], "doc long, page_num int, text string")
 
