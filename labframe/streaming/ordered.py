@@ -124,6 +124,8 @@ def ordered_stream(
     kinds = dict(rows.dtypes)
     waiting = ", ".join([f"{t} long", *[f"{c} {kinds[c]}" for c in columns]])
     timed = rows.filter(F.col(t).isNotNull()).select(*keys, F.col(t).cast("long").alias(t), *columns, F.timestamp_seconds(t).alias("_at")).withWatermark("_at", delay)
+    # The step reads whole seconds. The timestamp stays out of pandas, which can't hold one beyond the year 2262.
+    timed = timed.drop("_at")
     names = [c.split()[0] for c in schema.split(", ")]
     processor = Ordered(waiting, names, start, step, alarm, ring, keep)
     return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "EventTime")

@@ -41,6 +41,17 @@ def test_leases_out_of_order_equal_the_batch(spark, tmp_path):
     assert Counter((r[0], r[3]) for r in got if r[2] == "expired") == +ends and sum(ends.values()) > 3
 
 
+def test_times_beyond_2262(spark, tmp_path):
+    """Nanoseconds in 64 bits end in April 2262; whole seconds don't."""
+    late = [(d, seq, t + 9_223_250_000, *rest) for d, seq, t, *rest in requests(120)]
+    assert late[0][2] < 2**63 // 10**9 < late[-1][2]
+    rows = spark.createDataFrame(late, REQUEST)
+    stream = O.lease_stream(O.arrivals(rows, "t", "seq", f"{tmp_path}/in", 3 * 3600, 3), "3 hours")
+    with O.rocks_state(spark):
+        got = [tuple(r) for r in O.write_once(stream, str(tmp_path / "out")).filter("seq is not null").collect()]
+    assert Counter(got) == Counter(tuple(r) for r in W.lease_log(rows).collect())
+
+
 def test_state_of_old_attempts_goes(spark, tmp_path):
     rows = spark.createDataFrame([(k, DAY * 10 + k * DAY + i * 600, 100 * k + i) for k in range(6) for i in range(4)], "user_id long, t long, event_id long")
     stream = O.allowed_stream(O.arrivals(rows, "t", "event_id", f"{tmp_path}/in", 60, 6), ["user_id"], "event_id", 3600, 2, False, "60 seconds")
