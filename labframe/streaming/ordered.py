@@ -4,14 +4,15 @@ An event waits in its key's state until the watermark has passed its time; then
 their times. So the result doesn't depend on how events fall into micro-batches, and equals ``fold.ordered_fold`` over the
 same rows, as long as no event comes later than the watermark allows. Later ones are dropped.
 
-Per key the state holds the events that wait, and what the fold keeps as JSON. A timer is set for the earliest thing that can
-happen: the next waiting event, an alarm of the fold (a lease that runs out), or the time from which the state says nothing
-any more; then it is deleted, so keys that nobody uses don't stay.
+Per key the state holds the events that wait, packed by thousands, and what the fold keeps as JSON. A timer is set for the
+earliest thing that can happen: the next waiting event, an alarm of the fold (a lease that runs out), or the time from which
+the state says nothing any more; then it is deleted, so keys that nobody uses don't stay.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -23,6 +24,20 @@ from pyspark.sql.streaming import StatefulProcessor
 from labframe.operators import fold
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: So many waiting events are one value of the state, and so many result rows one frame.
+PACK = 10_000
+PLAIN = {int, str, bool, type(None)}
+
+
+def _plain(x, whole: bool):
+    """Whole numbers beside nulls arrive as fractions, which must not stay so."""
+    if pd.api.types.is_scalar(x) and pd.isna(x):
+        return None
+    return int(x) if whole else x
+
+
+def _packs(events: list[tuple]) -> list[tuple[bytes]]:
+    return [(pickle.dumps(events[k : k + PACK]),) for k in range(0, len(events), PACK)]
 
 
 @contextmanager
@@ -48,27 +63,27 @@ class Ordered(StatefulProcessor):
     """
 
     def __init__(self, waiting: str, names: list[str], start: Callable, step: Callable, alarm: Callable | None = None, ring: Callable | None = None, keep: int | None = None):
-        self.columns = [c.split()[0] for c in waiting.split(", ")]
-        self.kinds = {c: "Int64" for c, kind in (x.split() for x in waiting.split(", ")) if kind in ("bigint", "long", "int")}
-        self.waiting, self.names, self.start, self.step, self.alarm, self.ring, self.keep = waiting, names, start, step, alarm or (lambda s: None), ring, keep
+        self.columns = {c: kind in ("bigint", "long", "int") for c, kind in (x.split() for x in waiting.split(", "))}
+        self.names, self.start, self.step, self.alarm, self.ring, self.keep = names, start, step, alarm or (lambda s: None), ring, keep
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.events = handle.getListState("events", self.waiting)
+        self.events = handle.getListState("events", "pack binary")
         self.state = handle.getValueState("state", "json string, last long")
 
     def close(self) -> None:
         pass
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now, new = timerValues.getCurrentWatermarkInMs() // 1000, []
+        now, first = timerValues.getCurrentWatermarkInMs() // 1000, None
         for frame in rows:
-            # Whole numbers beside nulls arrive as fractions, which the state would not take. Plain lists: a key has few rows a batch.
-            columns = [frame[c].tolist() for c in self.columns]
-            new += zip(*[[None if pd.api.types.is_scalar(x) and pd.isna(x) else int(x) if c in self.kinds else x for x in own] for c, own in zip(self.columns, columns, strict=True)], strict=True)
-        if new := [r for r in new if r[0] > now or not now]:  # what is due has been taken: the rest is late
-            self.events.appendList(new)
-            self.handle.registerTimer(max(1, min(r[0] for r in new)) * 1000)
+            # Plain lists: a key may have few rows a batch.
+            columns = [[x if type(x) in PLAIN else _plain(x, whole) for x in frame[c].tolist()] for c, whole in self.columns.items()]
+            if new := [r for r in zip(*columns, strict=True) if r[0] > now or not now]:  # what is due has been taken: the rest is late
+                self.events.appendList(_packs(new))
+                first = min(r[0] for r in new) if first is None else min(first, min(r[0] for r in new))
+        if first is not None:
+            self.handle.registerTimer(max(1, first) * 1000)
         return iter(())
 
     def load(self):
@@ -81,9 +96,9 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() // 1000
-        events = list(self.events.get()) if self.events.exists() else []
-        due = sorted((tuple(e) for e in events if e[0] <= now), key=lambda e: tuple((x is not None, x) for x in e[:2]))
-        later = [tuple(e) for e in events if e[0] > now]
+        events = [e for (pack,) in self.events.get() for e in pickle.loads(pack)] if self.events.exists() else []
+        due = sorted((e for e in events if e[0] <= now), key=lambda e: (e[0], e[1] is not None, e[1]))
+        later = [e for e in events if e[0] > now]
         state, last = self.load()
         out = []
 
@@ -97,7 +112,7 @@ class Ordered(StatefulProcessor):
             last = event[0]
         rings(now)
         if due:
-            self.events.put(later) if later else self.events.clear()
+            self.events.put(_packs(later)) if later else self.events.clear()
         next_ = [e[0] for e in later]
         if last is not None:
             if (t := self.alarm(state)) is not None:
@@ -111,8 +126,8 @@ class Ordered(StatefulProcessor):
                 self.state.update((json.dumps(vars(state)), last))
         if next_:
             self.handle.registerTimer(max(min(next_), now + 1) * 1000)
-        if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=self.names, dtype=object)
+        for k in range(0, len(out), PACK):
+            yield pd.DataFrame([(*key, *r) for r in out[k : k + PACK]], columns=self.names, dtype=object)
 
 
 def ordered_stream(

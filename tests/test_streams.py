@@ -52,6 +52,25 @@ def test_times_beyond_2262(spark, tmp_path):
     assert Counter(got) == Counter(tuple(r) for r in W.lease_log(rows).collect())
 
 
+def test_waiting_events_of_a_key_are_packed(spark, tmp_path):
+    """Many events of one key wait as few values of the state, and all come out in order of their times."""
+    n, source, out = 25_000, str(tmp_path / "in"), str(tmp_path / "out")
+    kind = "user_id long, t long, event_id long"
+    events = spark.range(n).selectExpr("IF(id % 5000 = 7, NULL, 7L) AS user_id", f"{DAY} + pmod(id * 7919, {n}) AS t", "id AS event_id")
+    events.coalesce(1).write.mode("append").parquet(source)
+    stream = O.allowed_stream(spark.readStream.schema(kind).parquet(source), ["user_id"], "event_id", 100, 2, False, "1 day")
+    with O.rocks_state(spark):
+        assert O.write_once(stream, out).count() == 0
+        waiting = spark.read.format("statestore").option("stateVarName", "events").option("flattenCollectionTypes", True).load(f"{out}/progress")
+        assert 2 <= waiting.count() <= 8
+        spark.createDataFrame([(-1, 9 * DAY, None)], kind).write.mode("append").parquet(source)
+        got = O.write_once(stream, out)
+        counts = Counter(r.user_id for r in got.filter("allowed").collect())
+        assert got.count() == got.select("event_id").distinct().count() == n
+    want = R.greedy(events.selectExpr("user_id", "timestamp_seconds(t) AS ts"), ["user_id"], 100, 2, False)
+    assert counts == {r.user_id: r.n_allowed for r in want.collect()}
+
+
 def test_state_of_old_attempts_goes(spark, tmp_path):
     rows = spark.createDataFrame([(k, DAY * 10 + k * DAY + i * 600, 100 * k + i) for k in range(6) for i in range(4)], "user_id long, t long, event_id long")
     stream = O.allowed_stream(O.arrivals(rows, "t", "event_id", f"{tmp_path}/in", 60, 6), ["user_id"], "event_id", 3600, 2, False, "60 seconds")
